@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, mixing
+from factloom.llm import bpe, chat, mixing, token_store
 from factloom.llm.common import table
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    return token_store.checksums(token_store.read(spark, path))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -118,5 +133,5 @@ select doc_id, size::bigint as size, source_size, target,
   least(passes * size + greatest(0, least(e, words - passes * shard_size) - (e - size)), 3 * size)::bigint as taken
 from l"""
 
-QUERIES = {"op5_mixing": op5_mixing, "op8_chat": op8_chat}
+QUERIES = {"op1_token_files": op1_token_files, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
 ORACLES = {"op5_mixing": OP5_SQL, "op8_chat": _op8_sql()}
