@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, mixing, token_store
+from factloom.llm import bpe, chat, media, mixing, token_store, topk
 from factloom.llm.common import table
 
 
@@ -20,6 +20,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read(spark, path))
 
 
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v")).filter("v is not null")
+    return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors)
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_column(media.mux_column(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -133,5 +142,17 @@ select doc_id, size::bigint as size, source_size, target,
   least(passes * size + greatest(0, least(e, words - passes * shard_size) - (e - size)), 3 * size)::bigint as taken
 from l"""
 
-QUERIES = {"op1_token_files": op1_token_files, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
-ORACLES = {"op5_mixing": OP5_SQL, "op8_chat": _op8_sql()}
+QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op6_matroska": op6_matroska, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from s qualify rank <= 20"""
+
+ORACLES = {"op2_maxscore": OP2_SQL, "op5_mixing": OP5_SQL, "op8_chat": _op8_sql()}
