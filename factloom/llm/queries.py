@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, media, mixing, simhash, token_store, topk
+from factloom.llm import bpe, chat, media, mixing, simhash, suffix_dedup, token_store, topk
 from factloom.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_column(media.mux_column(table(spark, sf_dir, "documents")))
 
@@ -148,7 +153,7 @@ select doc_id, size::bigint as size, source_size, target,
   least(passes * size + greatest(0, least(e, words - passes * shard_size) - (e - size)), 3 * size)::bigint as taken
 from l"""
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op3_simhash": op3_simhash, "op6_matroska": op6_matroska, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op3_simhash": op3_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op6_matroska": op6_matroska, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
 OP2_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
