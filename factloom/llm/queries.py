@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, media, mixing, simhash, suffix_dedup, token_store, topk
+from factloom.llm import bpe, chat, media, mixing, quality, simhash, suffix_dedup, token_store, topk, toxicity
 from factloom.llm.common import table
 
 
@@ -40,6 +40,16 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_column(media.mux_column(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.grade(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -153,7 +163,7 @@ select doc_id, size::bigint as size, source_size, target,
   least(passes * size + greatest(0, least(e, words - passes * shard_size) - (e - size)), 3 * size)::bigint as taken
 from l"""
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op3_simhash": op3_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op6_matroska": op6_matroska, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op3_simhash": op3_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op6_matroska": op6_matroska, "op7_toxicity": op7_toxicity, "op10_quality": op10_quality, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
 OP2_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
