@@ -22,14 +22,15 @@ def pattern_scan(lines: DataFrame, patterns: list[dict]) -> DataFrame:
     """
     hits = []
     for seq, p in enumerate(patterns):
-        start = F.length(F.substring_index(F.regexp_replace(F.col("text"), f"(?s)({p['regex']}).*", "\u0000"), "\u0000", 1))
+        match = F.regexp_extract("text", p["regex"], 0)
+        start = F.instr("text", match) - 1
         hits.append(
             F.when(
                 F.col("text").rlike(p["regex"]),
                 F.struct(
                     F.lit(seq).alias("rule_seq"),
                     start.alias("start_char"),
-                    (start + F.length(F.regexp_extract("text", p["regex"], 0))).alias("end_char"),
+                    (start + F.length(match)).alias("end_char"),
                     *[F.lit(p[k]).alias(k) for k in ("code", "topic", "confidence", "severity")],
                 ),
             )

@@ -78,10 +78,15 @@ def unsorted(df: DataFrame, scope: list[str], ordinal: str, name: str) -> DataFr
 
 
 def tree_digest(files: DataFrame, keys: list[str], path: str, content: Column) -> DataFrame:
-    """(keys, digest): SHA-256 over the sorted lines ``path|sha256`` of each tree."""
-    lines = files.select(*keys, F.concat_ws("|", F.col(path), F.sha2(content, 256)).alias("_l"))
-    agg = F.sha2(F.array_join(F.sort_array(F.collect_list("_l")), "\n"), 256).alias("digest")
-    return lines.groupBy(*keys).agg(agg) if keys else lines.agg(agg)
+    """(keys, digest): SHA-256 over the sorted lines ``shard:digest`` of a tree's 256 shards; a shard's digest is
+    that of its sorted lines ``path|sha256``, and a path's shard the first byte of its SHA-256.
+
+    Shards keep the lines of a large tree out of one group.
+    """
+    lines = files.select(*keys, F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 2).alias("_s"), F.concat_ws("|", F.col(path).cast("string"), F.sha2(content, 256)).alias("_l"))
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    shards = lines.groupBy(*keys, "_s").agg(joined("_l").alias("_d")).withColumn("_d", F.concat_ws(":", "_s", "_d"))
+    return shards.groupBy(*keys).agg(joined("_d").alias("digest"))
 
 
 def audit_failures(rows: DataFrame, sources: DataFrame, key: str, text: str, vague: str) -> DataFrame:
