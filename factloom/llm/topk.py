@@ -10,8 +10,8 @@ that stay competitive. The shards' best k are merged by a window on the query.
 A query's vectors come in blocks of rows, so its k-th best score grows as the shard is traversed;
 bounds are those of each block of rows.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; shorter
-vectors count as zero in the missing components; ties go to the smaller id; rows with equal ids and
+Defined results: vectors that are null or hold null or non-finite components, and rows without an
+id, take no part; shorter vectors count as zero in the missing components; ties go to the smaller id; rows with equal ids and
 vectors are candidates each; a query is never its own candidate (by id); fewer than k candidates
 give all; empty tables give no rows; other columns are ignored.
 """
@@ -97,6 +97,7 @@ class Shard:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best ``vectors`` (vec_id, v) for each query (vec_id, v)."""
+    queries, vectors = (df.filter("vec_id is not null and v is not null") for df in (queries, vectors))
     sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
     n_queries = queries.count()
     dims, shards = sizes["dims"] or 0, max(1, -(-sizes["n"] // SHARD_ROWS))
