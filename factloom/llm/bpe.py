@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that a worker's caches hold at most (about 200 bytes each).
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 def byte_chars() -> dict[int, str]:
