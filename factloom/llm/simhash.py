@@ -7,9 +7,10 @@ counters add the differing bits up, and words whose lanes have all passed the ra
 
 Buckets: ``exact_keys`` cuts the bits so that any two fingerprints within the radius agree on a whole
 key (pigeonhole), so no link is lost; ``sampled_keys`` draws keys at random for wide fingerprints
-and a wide radius. A bucket of more than ``BUCKET`` fingerprints is not compared but cut by further
-bits in the same way, until it is small; equal fingerprints are one, so the exact keys always end.
-A bucket emits a spanning forest of its links, and components are found over all of them.
+and a wide radius. With exact keys, a bucket of more than ``BUCKET`` fingerprints is not compared but cut by
+further bits in the same way, until it is small; equal fingerprints are one, so that always ends. With
+sampled keys, which are approximate anyway, it is dealt several times at random into blocks, which join the
+members of a dense group; what they leave apart, the next round of keys meets again. A bucket emits a spanning forest of its links, and components are found over all of them.
 
 Defined results: a null or empty text has the fingerprint zero, which links like any other; fewer
 words than a shingle are one shingle; repeated rows share fingerprint and component; an empty table
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm import graph
@@ -33,6 +35,8 @@ from factloom.llm.common import staged
 
 #: Fingerprints that are compared in one bucket at most.
 BUCKET = 128
+#: Times that a large bucket of sampled keys is dealt into blocks.
+DEALS = 3
 #: Rows of whole buckets that a task compares at a time.
 CHUNK = 1 << 16
 
@@ -155,15 +159,22 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels[:] = up
 
 
-def links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that span the links inside each group; ``groups`` are sorted."""
+def links(groups: np.ndarray, fps: np.ndarray, radius: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers that span the links inside each group; ``groups`` are sorted.
+
+    Rows with equal ``known`` labels are linked already and not compared.
+    """
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(groups)]]))
     order = np.argsort(-sizes, kind="stable")  # large groups first: those with rows left are a prefix
     size = np.repeat(sizes[order], sizes[order])
     place = np.arange(len(size)) - np.repeat(np.cumsum(sizes[order]) - sizes[order], sizes[order])
     rows = np.repeat(starts[order], sizes[order]) + place
-    planes, labels = Planes(fps[rows], radius), np.arange(len(rows))
+    planes = Planes(fps[rows], radius)
+    by_label = np.lexsort((np.arange(len(rows)), known[rows], groups[rows]))
+    fresh = np.concatenate([[True], (known[rows][by_label][1:] != known[rows][by_label][:-1]) | (groups[rows][by_label][1:] != groups[rows][by_label][:-1])])
+    labels = np.empty(len(rows), np.int64)
+    labels[by_label] = by_label[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for offset in range(1, int(sizes.max(initial=0))):
         n = int(np.searchsorted(-size, -offset, side="left"))
@@ -180,86 +191,84 @@ def links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def exact_keys(radius: int, bits: int = 64):
-    """Keys for which any two fingerprints within the radius agree on one: pairs of radius + 2 pieces,
-    then, for a large bucket, one of radius + 1 pieces of the bits that its key leaves free."""
+    """Keys of which any two fingerprints within the radius share one: pairs of radius + 2 pieces of the bits.
 
-    def cut(parent: frozenset | None, _number: int) -> list[frozenset]:
-        free = [i for i in range(bits) if i not in (parent or ())]
-        if parent is None:
-            pieces = [frozenset(free[i :: radius + 2]) for i in range(radius + 2)]
-            return [a | b for a, b in combinations(pieces, 2)]
-        pieces = [frozenset(free[i :: radius + 1]) for i in range(radius + 1)]
-        return [parent | p for p in pieces if p]
-
-    return cut
+    Returns the rounds of keys and the function that cuts a large bucket: by one of radius + 1 pieces of
+    the bits that its key leaves free, of which two such fingerprints again share one.
+    """
+    pieces = [frozenset(range(i, bits, radius + 2)) for i in range(radius + 2)]
 
+    def cut(parent: frozenset, _number: int) -> list[frozenset]:
+        free = [i for i in range(bits) if i not in parent]
+        return [parent | p for p in (frozenset(free[i :: radius + 1]) for i in range(radius + 1)) if p]
 
-def sampled_keys(bits: int, tables: int, size: int, more: int = 3, more_size: int = 6):
-    """``tables`` keys of ``size`` bits drawn at random with a fixed seed; a large bucket is cut by
-    ``more`` further draws of ``more_size`` bits."""
+    return [[a | b for a, b in combinations(pieces, 2)]], cut
 
-    def cut(parent: frozenset | None, number: int) -> list[frozenset]:
-        rng = random.Random(number)
-        if parent is None:
-            return [frozenset(rng.sample(range(bits), size)) for _ in range(tables)]
-        free = [i for i in range(bits) if i not in parent]
-        return [parent | frozenset(rng.sample(free, min(more_size, len(free)))) for _ in range(more)] if free else []
 
-    return cut
+def sampled_keys(bits: int, tables: tuple[int, ...], size: int):
+    """Keys of ``size`` bits drawn at random with a fixed seed, so many a round, and no function that cuts."""
+    rng = random.Random(0)
+    return [[frozenset(rng.sample(range(bits), size)) for _ in range(n)] for n in tables], None
 
 
-def _masked(keys: list[tuple[int, frozenset]], width: int) -> Column:
-    """An array of (key, value) structs: the number of each key and a hash of the fingerprint's bits in it."""
+def _masks(keys: list[tuple[int, frozenset]], width: int) -> Column:
+    """A constant array of (key, m0, m1, ...): the number of each key and its bits as words."""
 
     def words(bits: frozenset) -> list[int]:
         out = np.zeros(64 * width, np.uint8)
         out[list(bits)] = 1
         return [int(x) for x in np.packbits(out, bitorder="little").view("<i8")]
 
-    structs = []
-    for number, bits in keys:
-        parts = [F.col("fp")[i].bitwiseAND(F.lit(m)) for i, m in enumerate(words(bits)) if m]
-        structs.append(F.struct(F.lit(number).alias("key"), F.xxhash64(*parts).alias("value")))
-    return F.array(*structs)
+    one = lambda k, bits: F.struct(F.lit(k).alias("key"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(words(bits))])
+    return F.array(*[one(k, bits) for k, bits in keys])
+
 
+def similar_links(nodes: DataFrame, keys: list[frozenset], cut, radius: int, width: int, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) of the nodes (node, fp, label) within the radius, spanning the links between labels in all buckets.
 
-def similar_links(nodes: DataFrame, radius: int, width: int, cut, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) of the nodes (node, fp) within the radius, spanning the links of all buckets."""
-    numbered = [(i, bits) for i, bits in enumerate(cut(None, 0))]
-    known = dict(numbered)
-    rows = nodes.select("node", "fp", F.explode(_masked(numbered, width)).alias("_")).select("node", "fp", "_.*")
-    small = None
+    A bucket counts if it holds two labels. Its rows travel without their fingerprints until then. Without
+    ``cut``, a large bucket is dealt ``DEALS`` times at random into blocks of about ``bucket`` rows.
+    """
+    known = dict(enumerate(keys))
+    asked, wide, small = list(known.items()), nodes, None
+    same = W.partitionBy("key", "value")
     while True:
-        counts = staged(rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-        large = {r["key"] for r in counts.filter(F.col("n") > bucket).select("key").distinct().collect()}
-        children = {k: cut(known[k], k + 1) for k in sorted(large)}
-        ends = [k for k in large if not children[k]]
-        fine = (F.col("n") <= bucket) | F.col("key").isin(ends) if ends else F.col("n") <= bucket
-        part = rows.join(counts.filter(fine).select("key", "value"), ["key", "value"])
+        each = _masks(asked, width) if wide is nodes else _children(asked, width)
+        value = F.xxhash64(*[F.col("fp")[i].bitwiseAND(F.col(f"_.m{i}")) for i in range(width)])
+        rows = wide.select("node", "label", "fp", F.explode(each).alias("_")).select("node", "label", "_.key", value.alias("value"))
+        rows = rows.withColumns({"n": F.count(F.lit(1)).over(same), "_a": F.min("label").over(same), "_b": F.max("label").over(same)})
+        rows = staged(rows.filter("_a <> _b").select("key", "value", "node", "n"), "buckets")
+        if cut is None:
+            blocks = F.ceil(F.col("n") / bucket)
+            dealt = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > bucket, DEALS - 1).otherwise(0))))
+            block = F.xxhash64("value", "_j", F.pmod(F.xxhash64("node", "_j"), blocks))
+            small = dealt.select("key", F.when(F.col("n") > bucket, block).otherwise(F.col("value")).alias("value"), "node")
+            break
+        large = [r["key"] for r in rows.filter(F.col("n") > bucket).select("key").distinct().collect()]  # at most one row a key
+        below = {k: cut(known[k], k + 1) for k in sorted(large)}
+        last = [k for k in large if not below[k]]
+        fine = (F.col("n") <= bucket) | F.col("key").isin(last) if last else F.col("n") <= bucket
+        part = rows.filter(fine).select("key", "value", "node")
         small = part if small is None else small.unionByName(part)
-        children = {k: c for k, c in children.items() if c}
-        if not children:
+        if not any(below.values()):
             break
-        hot = staged(rows.join(counts.filter(~fine).select("key", "value"), ["key", "value"]), "hot")
-        cases, fresh = None, len(known)
-        for k, sets in children.items():
-            below = []
-            for bits in sets:
-                known[fresh] = bits
-                below.append((fresh, bits))
-                fresh += 1
-            cases = (F if cases is None else cases).when(F.col("key") == k, _masked(below, width))
-        # a bucket keeps its own value in its parts' values, as keys grow
-        rows = hot.select("node", "fp", F.explode(cases).alias("_")).select("node", "fp", "_.*")
+        asked, fresh = [], len(known)
+        for k, sets in below.items():
+            if sets:
+                asked.append((k, list(enumerate(sets, fresh))))
+                known.update(asked[-1][1])
+                fresh += len(sets)
+        # keys grow, so the value of a part covers that of its bucket
+        wide = rows.filter(~fine).select("key", "node").distinct().join(nodes, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def some(table: pa.Table) -> pa.RecordBatch:
-            key, value, node = (table.column(i).to_numpy() for i in range(3))
+            key, value, node, label = (table.column(i).to_numpy() for i in range(4))
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (value[1:] != value[:-1])]))
-            flat = pa.concat_arrays(table.column(3).chunks).flatten().to_numpy().view(np.uint64).reshape(-1, width)
-            a, b = links(group, flat, radius)
+            flat = pa.concat_arrays(table.column(4).chunks).flatten().to_numpy().view(np.uint64).reshape(-1, width)
+            a, b = links(group, flat, radius, label)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for b in batches:
@@ -275,21 +284,38 @@ def similar_links(nodes: DataFrame, radius: int, width: int, cut, bucket: int =
         if sum(x.num_rows for x in held):
             yield some(pa.Table.from_batches(held))
 
-    dealt = small.select("key", "value", "node", "fp").repartition("key", "value").sortWithinPartitions("key", "value")
-    return dealt.mapInArrow(compare, "a long, b long")
+    full = small.join(nodes, "node").select("key", "value", "node", "label", "fp")
+    return full.repartition("key", "value").sortWithinPartitions("key", "value").mapInArrow(compare, "a long, b long")
 
 
-def groups(fps: DataFrame, radius: int, width: int = 1, cut=None, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) of ``fps`` (doc_id, fp): documents whose fingerprints link, by smallest doc_id."""
+def _children(asked: list[tuple[int, list]], width: int) -> Column:
+    """The keys below the ``key`` of a row in a large bucket."""
+    out = None
+    for k, sets in asked:
+        out = (F if out is None else out).when(F.col("key") == k, _masks(sets, width))
+    return out
+
+
+def groups(fps: DataFrame, radius: int, width: int = 1, keys=None, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id) of ``fps`` (doc_id, fp): documents whose fingerprints link, by smallest doc_id.
+
+    After each round of keys, only buckets that hold fingerprints of different components are compared again.
+    """
+    rounds, cut = keys or exact_keys(radius, 64 * width)
     fps = staged(fps.select("doc_id", "fp"), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    edges = similar_links(nodes.filter("node is not null"), radius, width, cut or exact_keys(radius, 64 * width), bucket)
-    found = graph.components(edges)
+    labelled, edges, found = nodes.filter("node is not null").withColumn("label", F.col("node")), None, None
+    for some in rounds:
+        if found is not None:
+            labelled = staged(nodes.filter("node is not null").join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("label")), "labelled")
+        more = staged(similar_links(labelled, some, cut, radius, width, bucket), "links")
+        edges = more if edges is None else edges.unionByName(more)
+        found = staged(graph.components(edges), "components")
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(staged(labels, "labels"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, tables: int = 48, size: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, tables: tuple[int, ...] = (16, 96), size: int = 26) -> DataFrame:
     """(doc_id, fp, component_id): near duplicates by a Jaccard similarity of word shingles.
 
     Of sets with Jaccard similarity J, the cosine is 2 J / (1 + J) when they are equally large, and a bit differs
