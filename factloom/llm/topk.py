@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Queries in a block, vectors in a shard, and vectors whose bounds are taken together.
-QUERY_BLOCK, SHARD_ROWS, ROW_BLOCK = 4096, 8192, 1024
+QUERY_BLOCK, SHARD_ROWS, ROW_BLOCK = 4096, 8192, 2048
 
 
 def quantized(vector: Column, scale: int = 64) -> Column:
@@ -67,22 +67,22 @@ class Shard:
         for first, postings, high, low in self.blocks:
             bounds = np.maximum(query * high, query * low)
             order = np.argsort(-bounds, kind="stable")
-            ahead = bounds[order].sum() - np.cumsum(bounds[order])  # what the dimensions after each can add at most
-            if floor > ahead[0] + bounds[order[0]] if len(order) else False:
+            rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0.0]])  # the most that the dimensions from each on can add
+            if rest[0] < floor:
                 continue
-            # non-essential: the longest tail whose bounds sum to less than the k-th best score
-            essential = int(np.searchsorted(-ahead, -floor, side="right")) + 1 if floor > -np.inf else len(order)
-            essential = min(essential, len(order))
-            dims = order[:essential]
-            part = query[dims] @ postings[dims]
-            rows = np.arange(postings.shape[1])
-            for d in order[essential:]:
-                rest = ahead[essential - 1]
-                live = part + rest >= floor
-                if not live.all():
-                    rows, part = rows[live], part[live]
-                part = part + query[d] * postings[d, rows]
-                essential += 1
+            # non-essential: the longest tail that cannot reach the k-th best score on its own
+            at = int(np.argmax(rest < floor)) if rest[-1] < floor else len(order)
+            essential = np.zeros(len(query))
+            essential[order[:at]] = query[order[:at]]
+            part, rows, step = essential @ postings, np.arange(postings.shape[1]), 4
+            while at < len(order):
+                live = part + rest[at] >= floor
+                rows, part = rows[live], part[live]
+                if not len(rows):
+                    break
+                dims = order[at : at + step]
+                part = part + query[dims] @ postings[np.ix_(dims, rows)]
+                at, step = at + step, 2 * step
             own = self.ids[first + rows]
             keep = (part >= floor) & (own != query_id)
             ids, scores = np.concatenate([ids, own[keep]]), np.concatenate([scores, part[keep]])
