@@ -66,7 +66,7 @@ class LibraryEncoder:
         if any(mark.encode() in w for w in words):
             return [one(w) for w in words]
         joined = f" {mark} ".join(w.decode() for w in words)
-        ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(ids == mark_id)
         if len(cuts) != len(words) - 1:
             return [one(w) for w in words]
@@ -186,11 +186,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         enc = library_encoder(vocabulary)
         total = np.zeros(max(enc.size, (end_id or 0) + 1), np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                ids = np.frombuffer(x, enc.dtype)
-                total += np.bincount(ids, minlength=len(total)) if len(ids) > len(total) // 8 else 0
-                if len(ids) <= len(total) // 8:
-                    np.add.at(total, ids, 1)
+            for at in range(0, b.num_rows, 512):
+                total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 512).to_pylist()), enc.dtype), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
