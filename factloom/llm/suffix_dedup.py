@@ -257,41 +257,51 @@ def _ranges(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[a], at[a], at[b] + LENGTH
 
 
-_RUN = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("strings", pa.binary())])
+_RUN = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary()), ("n", pa.int64()), ("strings", pa.binary())])
 
 
-def _run_batch(ids, tags, starts, ends, keys=None, strings=None) -> pa.RecordBatch:
-    n = len(ids)
-    key = pa.array(keys) if keys is not None else pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([key, *map(pa.array, (ids, tags, starts, ends)), strings if strings is not None else pa.nulls(n, pa.binary())], schema=_RUN)
+def _run_batch(ids, tags, starts, n, keys=None, strings=None) -> pa.RecordBatch:
+    """starts: the places of a run in its document, as packed 64-bit integers; n: its strings."""
+    key = pa.array(keys) if keys is not None else pa.nulls(len(ids), pa.int64())
+    text = pa.array(strings, pa.binary()) if strings is not None else pa.nulls(len(ids), pa.binary())
+    return pa.RecordBatch.from_arrays([key, pa.array(ids), pa.array(tags), pa.array(starts, pa.binary()), pa.array(n), text], schema=_RUN)
+
+
+def _packed(places: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    raw, ends = places.astype("<i8").tobytes(), (cuts * 8).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _send_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
-    """Rows of step 2 of (doc_id, text, keys, hot keys); rows without a key are answers."""
+    """Rows of step 2 of (doc_id, text, keys, hot keys); rows without a key are answers.
+
+    Of equal runs in a chunk the smallest document's goes on, once with all its places; the others are answered.
+    """
     held: list[tuple] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        ids, tags, firsts, lasts, keys, hashes = (np.concatenate(c) for c in zip(*(h[:6] for h in held), strict=True))
+        ids, tags, firsts, n, keys, hashes = (np.concatenate(c) for c in zip(*(h[:6] for h in held), strict=True))
         strings = [s for h in held for s in h[6]]
-        order = np.lexsort((ids, hashes))
-        same = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
-        leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        done = np.zeros(len(ids), bool)
-        done[order] = same & (ids[order] > ids[order][leader])  # the leader is the smallest document
-        repeat = np.zeros(len(ids), bool)
-        repeat[order] = same & ~done[order]
-        if done.any():
-            d = np.flatnonzero(done)
-            back = d[np.lexsort((firsts[d], tags[d], ids[d]))]
+        order = np.lexsort((firsts, tags, ids, hashes))
+        ids, tags, firsts, n, keys, hashes = (c[order] for c in (ids, tags, firsts, n, keys, hashes))
+        group = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        least = np.repeat(ids[group], np.diff(np.concatenate([group, [len(ids)]])))
+        done = np.flatnonzero(ids > least)
+        if len(done):
+            back = done[np.lexsort((firsts[done], tags[done], ids[done]))]
+            i, t, a, z = ids[back], tags[back], firsts[back], firsts[back] + n[back] - 1
             # runs that touch become one answer
-            new = np.concatenate([[True], (ids[back][1:] != ids[back][:-1]) | (tags[back][1:] != tags[back][:-1]) | (firsts[back][1:] > lasts[back][:-1] + LENGTH)])
-            a = np.flatnonzero(new)
-            yield _run_batch(ids[back][a], tags[back][a], firsts[back][a], np.maximum.reduceat(lasts[back], a) + LENGTH)
-        rest = np.flatnonzero(~done)
-        for a in range(0, len(rest), 1 << 14):
-            r = rest[a : a + (1 << 14)]
-            yield _run_batch(ids[r], tags[r], firsts[r], lasts[r] + LENGTH, keys[r], pa.array([strings[i] for i in r.tolist()], pa.binary()))
+            new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (a[1:] > z[:-1] + LENGTH)]))
+            reach = np.maximum.reduceat(z, new)
+            yield _run_batch(i[new], t[new], _packed(a[new], np.arange(len(new) + 1)), reach - a[new] + 1)
+        rest = np.flatnonzero(ids == least)
+        fresh = np.concatenate([[True], (hashes[rest][1:] != hashes[rest][:-1]) | (tags[rest][1:] != tags[rest][:-1])])
+        cuts = np.concatenate([np.flatnonzero(fresh), [len(rest)]])
+        places, kept = _packed(firsts[rest], cuts), rest[fresh]
+        for a in range(0, len(kept), 1 << 14):
+            r = kept[a : a + (1 << 14)]
+            yield _run_batch(ids[r], tags[r], places[a : a + (1 << 14)], n[r], keys[r], [strings[i] for i in order[r].tolist()])
 
     for b, texts in _sliced(batches, 1):
         doc, first, last, _, key = runs(texts)
@@ -320,7 +330,7 @@ def _send_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Rec
         tags = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
         base = starts[doc[row]]
         send_key = np.where(hot[row], _mix(digest), key[row])
-        held.append((_ids(b.column(0))[doc[row]], tags[doc[row]], f - base, z - base, send_key.view(np.int64), _mix(digest ^ send_key), strings))
+        held.append((_ids(b.column(0))[doc[row]], tags[doc[row]], f - base, z - f + 1, send_key.view(np.int64), _mix(digest ^ send_key), strings))
         size += sum(map(len, texts))
         if size >= CHUNK:
             yield from flush()
@@ -329,34 +339,46 @@ def _send_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Rec
         yield from flush()
 
 
-def _index(table: pa.Table) -> pa.RecordBatch:
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The packed places of all rows and the borders of each row's own."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i8")
+    return flat, (offsets - offsets[0]) // 8
+
+
+def _answers(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(starts), pa.array(ends)], ["doc_id", "tag", "start", "end"])
+
+
+def _index(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Answers of whole groups of runs (rows in any order)."""
-    ids, tags, start, end = (table.column(i).to_numpy() for i in range(1, 5))
+    ids, tags, n = (table.column(i).to_numpy() for i in (1, 2, 4))
+    places, borders = _places(pa.concat_arrays(table.column(3).chunks))
     strings = pa.concat_arrays(table.column(5).chunks)
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
     data = np.frombuffer(strings.buffers()[2], np.uint8)
-    order = np.argsort(ids, kind="stable")
-    levels, out = SuffixLevels(), []
+    order, levels = np.argsort(ids, kind="stable"), SuffixLevels()
     for part in np.array_split(order, BATCHES):
         if not len(part):
             continue
-        n = end[part] - start[part] - LENGTH + 1
-        row = np.repeat(part, n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        row = np.repeat(part, n[part])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
         smaller = levels.add(_windows(data, offsets[row] + at), ids[row])
         r, a, b = _ranges(row[smaller], at[smaller])
-        out.append((r, start[r] + a, start[r] + b))
-    r, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(tags[r]), pa.array(a), pa.array(b)], ["doc_id", "tag", "start", "end"])
+        k = (borders[1:] - borders[:-1])[r]  # each range at every place of its run
+        each = np.repeat(np.arange(len(r)), k)
+        start = places[borders[r][each] + np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)]
+        yield _answers(ids[r][each], tags[r][each], start + a[each], start + b[each])
 
 
 def _meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
-        answers = b.filter(b.column(0).is_null())
-        if answers.num_rows:
-            yield answers.select(["doc_id", "tag", "start", "end"])
+        done = b.filter(b.column(0).is_null())
+        if done.num_rows:
+            start, _ = _places(done.column(3))
+            yield _answers(done.column(1), done.column(2), start, start + done.column(4).to_numpy() + LENGTH - 1)
             b = b.filter(b.column(0).is_valid())
         if b.num_rows:
             held.append(b)
@@ -367,11 +389,11 @@ def _meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns = np.flatnonzero(key[1:] != key[:-1])
             if len(turns):
                 cut = int(turns[-1]) + 1
-                yield _index(table.slice(0, cut))
+                yield from _index(table.slice(0, cut).combine_chunks())
                 rest = table.slice(cut).combine_chunks()
                 held, rows = rest.to_batches(), rest.num_rows
     if rows:
-        yield _index(pa.Table.from_batches(held))
+        yield from _index(pa.Table.from_batches(held))
 
 
 def _apply(text: bytes, copy: bool, tags: list | None, starts: list | None, ends: list | None) -> tuple[int, int, bytes]:
@@ -430,9 +452,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = shared_anchors(judged, bits, hot)
     keys = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("very"))
     asked = judged.join(keys, "doc_id").select("doc_id", "text", "keys", "very")
-    sent = asked.mapInArrow(lambda it: _send_runs(it, 64 - bits), "key long, doc_id long, tag long, start long, end long, strings binary")
+    sent = asked.mapInArrow(lambda it: _send_runs(it, 64 - bits), "key long, doc_id long, tag long, starts binary, n long, strings binary")
     tasks = max(buckets, total // (32 << 20))
-    spread = F.coalesce("key", F.xxhash64("doc_id", "start"))
+    spread = F.coalesce("key", F.xxhash64("doc_id", "starts"))
     dealt = sent.repartition(tasks, spread).sortWithinPartitions("key")
     ranges = dealt.mapInArrow(_meet_runs, "doc_id long, tag long, start long, end long")
     ranges = ranges.groupBy("doc_id").agg(F.collect_list("tag").alias("tags"), F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
