@@ -477,6 +477,32 @@ def d11_unambiguous(spark, sf_dir):
     return graph.reachable(edges, edges.filter("src < 3").select(F.col("src").alias("source")), defs=defs)
 
 
+
+# All sources at once: the SQL above holds "src < 3", so these have none and a test compares them with brute force.
+
+
+def _all_sources(edges) -> DataFrame:
+    return edges.select(F.col("src").alias("source")).distinct()
+
+
+@query()
+def d11_reachable_all(spark, sf_dir):
+    edges = call_edges(spark, sf_dir)
+    return graph.reachable(edges, _all_sources(edges))
+
+
+@query()
+def d11_truncated_all(spark, sf_dir):
+    edges = call_edges(spark, sf_dir)
+    return graph.truncated(graph.reachable(edges, _all_sources(edges), depth=2), edges, depth=2)
+
+
+@query()
+def d11_unambiguous_all(spark, sf_dir):
+    edges = call_edges(spark, sf_dir)
+    defs = edges.groupBy(F.col("dst").alias("name")).agg(F.when(F.count(F.lit(1)) <= 12, 1).otherwise(2).alias("n"))
+    return graph.reachable(edges, _all_sources(edges), defs=defs)
+
 # --- constraints ------------------------------------------------------------------------------------
 
 
