@@ -219,14 +219,18 @@ class LatinEncoder(Encoder):
 LATIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and vocabulary."""
+def splits_latin(path: str) -> bool:
+    """Whether a vocabulary normalises and splits as ``LatinEncoder`` does."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    latin = kinds == ["NFC", "Replace", "Lowercase"] and LATIN_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
-    return (LatinEncoder if latin else Encoder)(path)
+    return kinds == ["NFC", "Replace", "Lowercase"] and LATIN_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker and vocabulary."""
+    return (LatinEncoder if splits_latin(path) else Encoder)(path)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

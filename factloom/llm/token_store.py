@@ -1,18 +1,20 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length codes.
 
-All texts are encoded with the tokenizers library and staged; the ids of the whole corpus are
-counted and ranked, frequent ids first; documents are dealt by ranges of doc_id and written as
-files of blocks. A block holds a header, its documents' ids and lengths, a stream of control bytes
-(two bits for each rank: its code takes one to four bytes) and a stream of data bytes. Reading
-looks up the four lengths of each control byte in a table and gathers the ranks with numpy.
+All texts are encoded with the tokenizers library and staged, each task with the counts of its ids;
+the ids of the whole corpus are ranked, frequent ids first; documents are dealt by ranges of doc_id
+and written as files of blocks. A block holds a header, its documents' ids and lengths, a stream of
+control bytes (two bits for each rank: its code takes one to four bytes) and a stream of data bytes.
+Reading looks up the four lengths of each control byte in a table and gathers the ranks with numpy.
 
 Files are written and read by Spark's own sources, so any file system that Spark reaches will do:
-a block is one row of a text file whose line separator is not part of the block. A file is
-bounded by ``file_bytes``, a block by ``block_tokens`` or one document.
+a block is one row of a text file whose line separator is not part of the block. A file is about
+``file_bytes``, which grows with the corpus between two bounds; a block is bounded by
+``block_tokens`` or one document. A doc_id that many rows share, null among them, fills as many
+files as it needs: its rows are dealt by a hash of their ids.
 
 Defined results: a null text is an empty one and has the end id alone; documents with equal ids
-lie next to each other, ordered by their tokens; an empty table gives no rows; other columns are
-ignored.
+lie next to each other, ordered by their tokens' hash; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,26 +25,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.bpe import LatinEncoder, splits_latin
 from factloom.llm.common import new_path, staged
 
 #: Header of a block: magic, global number of the first token, documents, control bytes, data bytes.
 MAGIC, HEADER = b"TKB1", struct.Struct("<4sqqqq")
 #: Words that the library encodes in one call, and bytes of text that are split at a time.
 CALL_WORDS, SLICE_BYTES = 256, 1 << 20
-CACHE = 1 << 20
+#: Words, and pre-tokens, that a worker keeps at most (about 150 bytes each).
+CACHE = 1 << 19
+#: Files of a corpus and bytes of a file at least and at most, if the caller does not say.
+FILES, FILE_BYTES = 20_000, (8 << 20, 256 << 20)
+#: Cuts that are taken in one step at most.
+CUTS = 1000
 #: Stands for a null doc_id in a file.
 NONE = -(1 << 63)
 #: Lengths of the four codes that a control byte tells of.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
+def drops_spaces(library) -> bool:
+    """Whether the ids of a text are those of its words between ASCII white space."""
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    words = ["x", "Ab1", "é'", "?!", "the"]
+    return all(
+        not ids(c) and ids(c + a + c + c + b) == ids(a) + ids(b) for c in " \t\n\v\f\r" for a in words for b in words
+    )
+
+
 class LibraryEncoder:
     """The tokenizers library, with the ids of words between ASCII white space kept in a bounded cache.
 
-    Words that are new go to the library many at a time, kept apart by a special token.
+    New words go to the library many at a time, kept apart by a special token. Where the vocabulary splits as
+    ``LatinEncoder`` does, words are first cut into its pre-tokens, which are far fewer. A vocabulary whose ids
+    depend on white space gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -54,37 +74,98 @@ class LibraryEncoder:
         self.library.no_padding()
         specials = sorted((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
         self.mark = specials[-1] if specials else None
+        self.specials = [t.encode() for _, t in specials]
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), 1 + (specials[-1][0] if specials else 0))
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.by_words, self.latin = drops_spaces(self.library), splits_latin(path)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _ask(self, words: list[bytes]) -> list[bytes]:
-        one = lambda w: np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+    def _one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _pick(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, k = ids.tobytes(), self.dtype.itemsize
+        return [raw[a:b] for a, b in zip((k * starts).tolist(), (k * ends).tolist(), strict=True)]
+
+    def _ask_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens: each has one token that ends a word, its last."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._ask(pieces)
+        return self._pick(ids, np.concatenate([[0], ends[:-1]]), ends)
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """The ids of words without special tokens inside."""
         if self.mark is None:
-            return [one(w) for w in words]
+            return [self._one(w) for w in words]
         mark_id, mark = self.mark
-        if any(mark.encode() in w for w in words):
-            return [one(w) for w in words]
-        joined = f" {mark} ".join(w.decode() for w in words)
-        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+        ids = np.array(self.library.encode_batch_fast([f" {mark} ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(ids == mark_id)
         if len(cuts) != len(words) - 1:
-            return [one(w) for w in words]
-        starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-        raw, k = ids.tobytes(), self.dtype.itemsize
-        return [raw[a * k : b * k] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            return [self._one(w) for w in words]
+        return self._pick(ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words, which are kept while there is room."""
+        out: dict[bytes, bytes] = {}
+        joined = b"\n".join(new)
+        if any(s in joined for s in self.specials):
+            out = {w: self._one(w.decode()) for w in new if any(s in w for s in self.specials)}
+            new = [w for w in new if w not in out]
+            joined = b"\n".join(new)
+        if not new:
+            return out
+        texts = joined.decode().split("\n")
+        if self.latin:
+            plain = list(map(LatinEncoder.PLAIN.fullmatch, texts))
+            whole = [t for t, m in zip(texts, plain, strict=True) if m is None]
+            if whole:
+                new, texts = ([x for x, m in zip(xs, plain, strict=True) if m] for xs in (new, texts))
+        else:
+            whole, texts = texts, []
+        for i in range(0, len(whole), CALL_WORDS):
+            some = whole[i : i + CALL_WORDS]
+            out.update(zip(map(str.encode, some), self._ask(some), strict=True))
+        if texts:
+            cut = list(map(LatinEncoder.SPLIT.findall, "\n".join(texts).lower().split("\n")))
+            need = {p for parts in cut for p in parts}
+            own = {p: ids for p, ids in zip(need, map(self.pieces.get, need), strict=True) if ids is not None}
+            ask = list(need.difference(own))
+            for i in range(0, len(ask), CALL_WORDS):
+                some = ask[i : i + CALL_WORDS]
+                own.update(zip(some, self._ask_pieces(some), strict=True))
+            if len(self.pieces) + len(ask) <= CACHE:
+                self.pieces.update((p, own[p]) for p in ask)
+            find = own.__getitem__
+            out.update((w, find(parts[0]) if len(parts) == 1 else b"".join(map(find, parts))) for w, parts in zip(new, cut, strict=True))
+        if len(self.words) + len(out) <= CACHE:
+            self.words.update(out)
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        extra: dict[bytes, bytes] = {}
-        for i in range(0, len(new), CALL_WORDS):
-            some = new[i : i + CALL_WORDS]
-            (known if len(known) < CACHE else extra).update(zip(some, self._ask(some), strict=True))
-        if not extra:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known.get(w) or extra.get(w, b"") for w in words]) for words in split]
+        if not self.by_words:
+            return [self._one(t.decode()) for t in texts]
+        find, split, out, open_ = self.words.get, [], [], []
+        for i, t in enumerate(texts):
+            words = t.split()
+            ids = list(map(find, words))
+            if None in ids:
+                open_.append(i)
+                split.append((words, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if open_:
+            learnt = self._learn(list({w for words, ids in split for w, x in zip(words, ids, strict=True) if x is None}))
+            for i, (words, ids) in zip(open_, split, strict=True):
+                out[i] = b"".join([learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)])
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -161,47 +242,55 @@ def read_blocks(content: memoryview) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield start, ids, counts, decode_codes(control, data, counts)
 
 
-def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_bytes: int = 8 << 20, block_tokens: int = 1 << 20) -> str:
+def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_bytes: int | None = None, block_tokens: int = 1 << 20) -> str:
     """Encode ``docs`` (doc_id, text) into files in the shared folder; return the folder.
 
-    file_bytes: about so many code bytes make a file. end_id: appended to each document.
+    file_bytes: about so many code bytes make a file; by default a share of the corpus within ``FILE_BYTES``.
+    end_id: appended to each document.
     """
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(max(enc.size, (end_id or 0) + 1), np.int64)
+        names, digest = ["doc_id", "n_tokens", "spread", "ids", "counts"], xxhash.xxh64_intdigest
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             at = 0
             for some in slices(texts):
                 ids = [x + end for x in enc.encode(some)]
+                total += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(total))
                 n = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                spread = pa.array([digest(x) >> 33 for x in ids], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), n, spread, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
                 at += len(some)
+        # one row a task, of as many figures as the vocabulary has ids
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([total.tobytes()])], names)
 
-    tokens = staged(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary"), "tokens")
+    kind = "doc_id long, n_tokens long, spread int, ids binary, counts binary"
+    encoded = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, kind), "tokens")
+    tokens = encoded.filter("n_tokens is not null").drop("counts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = library_encoder(vocabulary)
-        total = np.zeros(max(enc.size, (end_id or 0) + 1), np.int64)
+        total = np.zeros(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 512).to_pylist()), enc.dtype), minlength=len(total))
+            for row in b.column(0).to_pylist():
+                own = np.frombuffer(row, np.int64)
+                total = own + (total if len(total) else 0)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
     # one row for each id of the vocabulary at most, however large the corpus
-    counted = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = encoded.filter("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(((-r["n"], r["id"]) for r in counted))
     by_rank = np.array([i for _, i in order], np.int64)
-    n_all = -sum(n for n, _ in order)
+    n_bytes = -sum(n for n, _ in order) * 3 // 2
     path = new_path(spark, "token-files")
     ranks = spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "block binary")
     ranks.coalesce(1).select(F.col("block").cast("string")).write.option("lineSep", "\n").text(f"{path}/ranks")
-    n_files = max(1, -(-n_all * 3 // 2 // file_bytes))
-    cuts = tokens.select(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)], 10_000).alias("c")).first()["c"] if n_files > 1 else None
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    size = file_bytes or min(max(n_bytes // FILES, FILE_BYTES[0]), FILE_BYTES[1])
+    bounds = _bounds(tokens, max(1, -(-n_bytes // size)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = library_encoder(vocabulary).dtype
@@ -210,22 +299,21 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
-                counts = np.array(some.column(1).to_pylist(), np.int64)
-                ranks = rank_of[np.frombuffer(b"".join(some.column(2).to_pylist()), dtype)]
+                counts = some.column(1).to_numpy()
+                ranks = rank_of[np.frombuffer(b"".join(some.column(3).to_pylist()), dtype)]
                 control, data, sizes = encode_codes(ranks, counts)
                 n_control = -(-counts // 4)
                 c, d = control.tobytes(), data.tobytes()
                 ce, de = np.cumsum(n_control).tolist(), np.cumsum(sizes).tolist()
                 cols = [
-                    pa.array(_part(some.column(0), bounds)),
-                    some.column(0),
-                    some.column(1),
+                    pa.array(_part(some.column(0), some.column(2), bounds)),
+                    *some.columns[:3],
                     pa.array([c[e - k : e] for e, k in zip(ce, n_control.tolist(), strict=True)], pa.binary()),
                     pa.array([d[e - k : e] for e, k in zip(de, sizes.tolist(), strict=True)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n_tokens", "control", "data"])
+                yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n_tokens", "spread", "control", "data"])
 
-    coded = tokens.mapInArrow(code, "part int, doc_id long, n_tokens long, control binary, data binary")
+    coded = tokens.mapInArrow(code, "part int, doc_id long, n_tokens long, spread int, control binary, data binary")
     totals = _starts(tokens, bounds)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +330,36 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         if rows:
             yield pack_block(start, rows)
 
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "data", "control")
-    blocks = dealt.mapInArrow(block, "block binary")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "spread", "data", "control")
+    blocks = dealt.drop("spread").mapInArrow(block, "block binary")
     blocks.select(F.col("block").cast("string")).write.option("lineSep", "\n").text(f"{path}/blocks")
     return path
 
 
-def _part(doc_ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    """The file of each document; null ids come first."""
-    return np.searchsorted(bounds, np.array([NONE if x is None else x for x in doc_ids.to_pylist()], np.int64), "left").astype(np.int32)
+def _part(doc_ids: pa.Array, spread: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The file of each document; null ids come first. A bound that is there several times is an id of several files."""
+    ids = doc_ids.fill_null(NONE).to_numpy()
+    first, last = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    return (first + ((last - first) * spread.to_numpy().astype(np.int64) >> 31)).astype(np.int32)
+
+
+def _bounds(tokens: DataFrame, files: int) -> np.ndarray:
+    """About ``files`` - 1 ascending cuts of the doc_ids into equal parts: in two steps, so that no list of figures is long."""
+    ids = tokens.select(F.coalesce("doc_id", F.lit(NONE)).alias("id"))
+    steps = max(1, round(files**0.5)) if files > CUTS else files
+    cut = lambda k: F.percentile_approx("id", [i / k for i in range(1, k)], 10 * CUTS).alias("c")
+    if steps < 2:
+        return np.zeros(0, np.int64)
+    coarse = np.sort(np.array(ids.select(cut(steps)).first()["c"] or [], np.int64))
+    if steps == files or not len(coarse):
+        return coarse
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(coarse, b.column(0).to_numpy(), "left"))], ["id", "step"])
+
+    fine = ids.mapInArrow(place, "id long, step long").groupBy("step").agg(cut(-(-files // steps))).collect()  # a figure a file
+    return np.sort(np.concatenate([coarse, *(np.array(r["c"], np.int64) for r in fine)]))
 
 
 def _starts(tokens: DataFrame, bounds: np.ndarray) -> dict[int, int]:
@@ -259,10 +368,11 @@ def _starts(tokens: DataFrame, bounds: np.ndarray) -> dict[int, int]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(bounds) + 1, np.int64)
         for b in batches:
-            np.add.at(total, _part(b.column(0), bounds), np.array(b.column(1).to_pylist(), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["part", "n"])
+            np.add.at(total, _part(b.column(0), b.column(2), bounds), b.column(1).to_numpy())
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["part", "n"])
 
-    rows = tokens.select("doc_id", "n_tokens").mapInArrow(add, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("doc_id", "n_tokens", "spread").mapInArrow(add, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(len(bounds) + 1, np.int64)
     for r in rows:
         n[r["part"]] = r["n"]
