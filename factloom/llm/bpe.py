@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 
 #: Entries that a worker's caches hold at most (about 200 bytes each).
 CACHE = 1 << 18
+#: Bytes of text that are split at a time.
+SLICE_BYTES = 1 << 22
 
 
 def byte_chars() -> dict[int, str]:
@@ -43,13 +45,16 @@ class PairTable:
     """Which neighbouring tokens merging would leave apart. Ids must follow the order of the merges."""
 
     def __init__(self, joins: dict[tuple[int, int], int], halves: dict[int, tuple[int, int]]):
-        self.joins, self.halves, self.known = joins, halves, {}
+        self.joins, self.halves = joins, halves
+        self.known: dict[int, bool] = {}
 
     def fits(self, left: int, right: int) -> bool:
         key = left << 32 | right
         found = self.known.get(key)
         if found is None:
-            found = self.known[key] = self.apart(left, right, None)
+            found = self.apart(left, right, None)
+            if len(self.known) < CACHE:
+                self.known[key] = found
         return found
 
     def apart(self, left: int, right: int, before: int | None) -> bool:
@@ -81,6 +86,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if spec.get("decoder"):
+            raise ValueError("only vocabularies whose tokens are joined by spaces can be decoded here")
         self.library = Tokenizer.from_file(path)
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -120,6 +127,7 @@ class Encoder:
         self.automaton.make_automaton()
         split = "|".join(re.escape(s) for s in self.specials)
         self.special_pattern = re.compile(f"({split})") if split else None
+        self.special_bytes = [s.encode() for s in self.specials]
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
@@ -191,6 +199,11 @@ class Encoder:
                         known[w] = ids
         return b"".join(got)
 
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin, with the end of all."""
+        ids = list(map(self.encode, texts))
+        return np.frombuffer(b"".join(ids), self.dtype), np.cumsum([0, *map(len, ids)]) // self.dtype.itemsize
+
     def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The strings of all ids, a space after each, as one buffer, and where each ends in it."""
         starts, sizes = self.offsets[ids], self.offsets[ids.astype(np.int64) + 1] - self.offsets[ids]
@@ -199,6 +212,93 @@ class Encoder:
         return self.buffer[np.arange(len(shift)) + shift], ends
 
 
+#: Byte classes: white space, letter, digit, other printable ASCII, and bytes of words that go to the library whole.
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+_CLASS = np.full(256, WHOLE, np.uint8)
+_CLASS[0x21:0x7F] = OTHER
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[48:58], _CLASS[[9, 10, 11, 12, 13, 32]] = DIGIT, SPACE
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Letters after an apostrophe that make a piece with it: one letter, and the second of two.
+_SHORT, _LONG = np.frombuffer(b"stmd", np.uint8), {ord("r"): ord("e"), ord("v"): ord("e"), ord("l"): ord("l")}
+
+
+def latin_pieces(texts: list[bytes], specials: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Texts cut into pre-tokens, each with the white space before it, as one array, and the first piece of each text.
+
+    ASCII letters are lower-cased. A stretch without white space that holds a special token or anything else than
+    ASCII and Latin-1 letters, which composition leaves as they are, stays one piece and as it is.
+    """
+    joined = b"".join(texts)
+    starts = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(joined, np.uint8)
+    if not len(data):
+        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(texts) + 1, np.int64)
+    kind, low = _CLASS[data], _LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    cut = first.copy()
+    cut[1:-1] |= (kind[:-1] != SPACE) & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    whole = np.flatnonzero(kind == WHOLE)
+    if any(x in joined for x in specials):
+        whole = np.concatenate([whole, *(np.array([m.start() for m in re.finditer(re.escape(x), joined)], np.int64) for x in specials)])
+    kept = None
+    if len(whole):
+        inside = kind != SPACE
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1] | first[1:-1]
+        word = np.cumsum(opens)
+        flagged = np.zeros(int(word[-1]) + 1, bool)
+        flagged[word[whole]] = True
+        kept = flagged[word] & inside
+        cut[:-1][kept & ~opens] = False
+        low[kept] = data[kept]
+    mark = np.flatnonzero(data[:-1] == 0x27)
+    mark = mark[((kind[mark - 1] != OTHER) | first[mark]) & ~first[mark + 1]]
+    if kept is not None:
+        mark = mark[~kept[mark]]
+    if len(mark):
+        one = np.isin(low[mark + 1], _SHORT)
+        after = low[np.minimum(mark + 2, len(low) - 1)]
+        two = np.zeros(len(mark), bool)
+        for x, y in _LONG.items():
+            two |= (low[mark + 1] == x) & (after == y)
+        two &= (mark + 2 < len(data)) & ~first[mark + 2]
+        cut[mark[one | two] + 1] = False
+        cut[mark[one] + 2] = True
+        cut[mark[two] + 3] = True
+    offsets = np.flatnonzero(cut)
+    offsets[-1] = len(data)
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(low)])
+    return pieces.dictionary_encode(), np.searchsorted(offsets, starts)
+
+
+def names_of(pieces: pa.DictionaryArray) -> list[bytes]:
+    """The distinct pieces without their white space."""
+    own = pieces.dictionary
+    offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].tolist() if len(own) else [0]
+    raw = own.buffers()[2].to_pybytes() if len(own) else b""
+    return [raw[a:b].strip() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def gathered(codes: np.ndarray, ids: list[bytes], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces one after another, and where each piece ends."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize
+    flat, begins = np.frombuffer(b"".join(ids), dtype), np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[codes] - (ends - n), n)], ends
+
+
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive stretches of ``values`` that end at ``ends``."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 class LatinEncoder(Encoder):
     """For vocabularies that lower-case and split at letters, digits and the rest (``word_bpe_49k``).
 
@@ -207,12 +307,26 @@ class LatinEncoder(Encoder):
     """
 
     PLAIN = re.compile("[\\x21-\\x7eÀ-ÖØ-öø-ÿ]+")
-    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-    def pre_tokens(self, word: str) -> list[bytes]:
-        if self.PLAIN.fullmatch(word):
-            return [p.encode() for p in self.SPLIT.findall(word.lower())]
-        return super().pre_tokens(word)
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of a piece of ``latin_pieces`` without its white space."""
+        text = piece.decode()
+        if not self.PLAIN.fullmatch(text) or any(x in text for x in self.specials):
+            return self.word(piece)
+        return np.array(self.merge(text.lower().encode()), self.dtype).tobytes()
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, starts = latin_pieces(texts, self.special_bytes)
+        known, ids = self.words, []
+        for p in names_of(pieces):
+            x = known.get(p)
+            if x is None:
+                x = self.piece(p) if p else b""
+                if len(known) < CACHE:
+                    known[p] = x
+            ids.append(x)
+        tokens, ends = gathered(pieces.indices.to_numpy(), ids, self.dtype)
+        return tokens, np.concatenate([[0], ends])[starts]
 
 
 #: The splitting pattern that LatinEncoder stands for.
@@ -233,6 +347,18 @@ def encoder(path: str) -> Encoder:
     return (LatinEncoder if splits_latin(path) else Encoder)(path)
 
 
+def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts of about ``SLICE_BYTES`` together."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= SLICE_BYTES:
+            yield some
+            some, size = [], 0
+    yield some
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -243,9 +369,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            ids = [enc.encode(t) for t in texts_of(b.column(1))]
-            n = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary())], [key, "n_tokens", "ids"])
+            at = 0
+            for some in slices(texts_of(b.column(1))):
+                ids, begins = enc.encode_all(some)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(np.diff(begins)), packed(ids, begins[1:])], [key, "n_tokens", "ids"])
+                at += len(some)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_tokens long, ids binary")
@@ -256,19 +384,23 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        width = enc.dtype.itemsize
         for b in batches:
-            rows = []
-            for t in texts_of(b.column(1)):
-                ids = np.frombuffer(enc.encode(t), enc.dtype)
-                text, _ = enc.decode_all(ids)
-                text = text[:-1]
-                chars = int(np.count_nonzero((text & 0xC0) != 0x80))
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").data).hexdigest(), hashlib.sha256(text.data).hexdigest(), chars))
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, [key, "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
+            at = 0
+            for some in slices(texts_of(b.column(1))):
+                ids, begins = enc.encode_all(some)
+                text, ends = enc.decode_all(ids)
+                wide, ends = memoryview(ids.astype("<u4").view(np.uint8)), np.concatenate([[0], ends])[begins]
+                letters, text = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)]), memoryview(text)
+                rows = []
+                for x, y, a, z in zip((4 * begins[:-1]).tolist(), (4 * begins[1:]).tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    z = max(a, z - 1)
+                    rows.append((hashlib.sha256(wide[x:y]).hexdigest(), hashlib.sha256(text[a:z]).hexdigest(), int(letters[z] - letters[a])))
+                cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+                arrays = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(some)), pa.array(np.diff(begins)), *arrays], [key, "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"]
+                )
+                at += len(some)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")

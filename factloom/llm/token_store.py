@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import LatinEncoder, splits_latin
+from factloom.llm.bpe import LatinEncoder, gathered, latin_pieces, names_of, packed, slices, splits_latin, texts_of
 from factloom.llm.common import new_path, staged
 
 #: Header of a block: magic, global number of the first token, documents, control bytes, data bytes.
 MAGIC, HEADER = b"TKB1", struct.Struct("<4sqqqq")
-#: Words that the library encodes in one call, and bytes of text that are split at a time.
-CALL_WORDS, SLICE_BYTES = 256, 1 << 20
-#: Words, and pre-tokens, that a worker keeps at most (about 150 bytes each).
+#: Pieces that the library encodes in one call, and rows that are coded at a time.
+CALL_WORDS, ROWS = 256, 512
+#: Pieces that a worker keeps at most (about 150 bytes each).
 CACHE = 1 << 19
 #: Files of a corpus and bytes of a file at least and at most, if the caller does not say.
 FILES, FILE_BYTES = 20_000, (8 << 20, 256 << 20)
@@ -48,21 +48,11 @@ NONE = -(1 << 63)
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def drops_spaces(library) -> bool:
-    """Whether the ids of a text are those of its words between ASCII white space."""
-    ids = lambda t: library.encode(t, add_special_tokens=False).ids
-    words = ["x", "Ab1", "é'", "?!", "the"]
-    return all(
-        not ids(c) and ids(c + a + c + c + b) == ids(a) + ids(b) for c in " \t\n\v\f\r" for a in words for b in words
-    )
-
-
 class LibraryEncoder:
-    """The tokenizers library, with the ids of words between ASCII white space kept in a bounded cache.
+    """The tokenizers library, with the ids of pre-tokens kept in a bounded cache.
 
-    New words go to the library many at a time, kept apart by a special token. Where the vocabulary splits as
-    ``LatinEncoder`` does, words are first cut into its pre-tokens, which are far fewer. A vocabulary whose ids
-    depend on white space gets whole texts.
+    Texts are cut into pre-tokens where the vocabulary splits as ``latin_pieces`` does; those that are new go to
+    the library many at a time. Other vocabularies get whole texts.
     """
 
     def __init__(self, path: str):
@@ -77,13 +67,12 @@ class LibraryEncoder:
         self.specials = [t.encode() for _, t in specials]
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), 1 + (specials[-1][0] if specials else 0))
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.by_words, self.latin = drops_spaces(self.library), splits_latin(path)
+        self.latin = splits_latin(path)
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.size, bool)
         if suffix:
             self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _one(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -112,60 +101,40 @@ class LibraryEncoder:
         return self._pick(ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words, which are kept while there is room."""
-        out: dict[bytes, bytes] = {}
-        joined = b"\n".join(new)
-        if any(s in joined for s in self.specials):
-            out = {w: self._one(w.decode()) for w in new if any(s in w for s in self.specials)}
-            new = [w for w in new if w not in out]
-            joined = b"\n".join(new)
-        if not new:
-            return out
-        texts = joined.decode().split("\n")
-        if self.latin:
-            plain = list(map(LatinEncoder.PLAIN.fullmatch, texts))
-            whole = [t for t, m in zip(texts, plain, strict=True) if m is None]
-            if whole:
-                new, texts = ([x for x, m in zip(xs, plain, strict=True) if m] for xs in (new, texts))
-        else:
-            whole, texts = texts, []
-        for i in range(0, len(whole), CALL_WORDS):
-            some = whole[i : i + CALL_WORDS]
-            out.update(zip(map(str.encode, some), self._ask(some), strict=True))
-        if texts:
-            cut = list(map(LatinEncoder.SPLIT.findall, "\n".join(texts).lower().split("\n")))
-            need = {p for parts in cut for p in parts}
-            own = {p: ids for p, ids in zip(need, map(self.pieces.get, need), strict=True) if ids is not None}
-            ask = list(need.difference(own))
-            for i in range(0, len(ask), CALL_WORDS):
-                some = ask[i : i + CALL_WORDS]
-                own.update(zip(some, self._ask_pieces(some), strict=True))
-            if len(self.pieces) + len(ask) <= CACHE:
-                self.pieces.update((p, own[p]) for p in ask)
-            find = own.__getitem__
-            out.update((w, find(parts[0]) if len(parts) == 1 else b"".join(map(find, parts))) for w, parts in zip(new, cut, strict=True))
-        if len(self.words) + len(out) <= CACHE:
-            self.words.update(out)
+        """The ids of new pieces, which are kept while there is room."""
+        out: dict[bytes, bytes] = {b"": b""}
+        for kind, some in self._sorted(new):
+            for i in range(0, len(some), CALL_WORDS):
+                call = some[i : i + CALL_WORDS]
+                out.update(zip(map(str.encode, call), kind(call), strict=True))
+        if len(self.pieces) + len(out) <= CACHE:
+            self.pieces.update(out)
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_words:
-            return [self._one(t.decode()) for t in texts]
-        find, split, out, open_ = self.words.get, [], [], []
-        for i, t in enumerate(texts):
-            words = t.split()
-            ids = list(map(find, words))
-            if None in ids:
-                open_.append(i)
-                split.append((words, ids))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if open_:
-            learnt = self._learn(list({w for words, ids in split for w, x in zip(words, ids, strict=True) if x is None}))
-            for i, (words, ids) in zip(open_, split, strict=True):
-                out[i] = b"".join([learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)])
-        return out
+    def _sorted(self, new: list[bytes]) -> list[tuple]:
+        """(how to ask, strings) of pre-tokens, words and stretches with special tokens."""
+        special = {p for p in new if any(s in p for s in self.specials)} if any(s in b" ".join(new) for s in self.specials) else set()
+        texts = [p.decode() for p in new if p and p not in special]
+        plain = list(map(LatinEncoder.PLAIN.fullmatch, texts))
+        return [
+            (self._ask_pieces, [t for t, m in zip(texts, plain, strict=True) if m]),
+            (self._ask, [t for t, m in zip(texts, plain, strict=True) if not m]),
+            (lambda some: list(map(self._one, some)), [p.decode() for p in special]),
+        ]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin, with the end of all."""
+        if not self.latin:
+            ids = [self._one(t.decode()) for t in texts]
+            return np.frombuffer(b"".join(ids), self.dtype), np.cumsum([0, *map(len, ids)]) // self.dtype.itemsize
+        pieces, starts = latin_pieces(texts, self.specials)
+        names = names_of(pieces)
+        ids = list(map(self.pieces.get, names))
+        if None in ids:
+            learnt = self._learn(list({p for p, x in zip(names, ids, strict=True) if x is None}))
+            ids = [learnt[p] if x is None else x for p, x in zip(names, ids, strict=True)]
+        tokens, ends = gathered(pieces.indices.to_numpy(), ids, self.dtype)
+        return tokens, np.concatenate([[0], ends])[starts]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -177,15 +146,10 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= SLICE_BYTES:
-            yield some
-            some, size = [], 0
-    yield some
+def flat(column: pa.Array, dtype: np.dtype) -> np.ndarray:
+    """The values of all rows of a binary column one after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(dtype) if len(column) else np.zeros(0, dtype)
 
 
 def encode_codes(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,18 +216,19 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         total = np.zeros(max(enc.size, (end_id or 0) + 1), np.int64)
         names, digest = ["doc_id", "n_tokens", "spread", "ids", "counts"], xxhash.xxh64_intdigest
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             at = 0
-            for some in slices(texts):
-                ids = [x + end for x in enc.encode(some)]
-                total += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(total))
-                n = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
-                spread = pa.array([digest(x) >> 33 for x in ids], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), n, spread, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+            for some in slices(texts_of(b.column(1))):
+                ids, begins = enc.encode(some)
+                if end_id is not None:
+                    ids = np.insert(ids, begins[1:], end_id)
+                    begins = begins + np.arange(len(begins))
+                total += np.bincount(ids, minlength=len(total))
+                column = packed(ids, begins[1:])
+                spread = pa.array([digest(x.as_buffer()) >> 33 for x in column], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(np.diff(begins)), spread, column, pa.nulls(len(some), pa.binary())], names)
                 at += len(some)
         # one row a task, of as many figures as the vocabulary has ids
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([total.tobytes()])], names)
@@ -297,19 +262,15 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
         rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
                 counts = some.column(1).to_numpy()
-                ranks = rank_of[np.frombuffer(b"".join(some.column(3).to_pylist()), dtype)]
-                control, data, sizes = encode_codes(ranks, counts)
-                n_control = -(-counts // 4)
-                c, d = control.tobytes(), data.tobytes()
-                ce, de = np.cumsum(n_control).tolist(), np.cumsum(sizes).tolist()
+                control, data, sizes = encode_codes(rank_of[flat(some.column(3), dtype)], counts)
                 cols = [
                     pa.array(_part(some.column(0), some.column(2), bounds)),
                     *some.columns[:3],
-                    pa.array([c[e - k : e] for e, k in zip(ce, n_control.tolist(), strict=True)], pa.binary()),
-                    pa.array([d[e - k : e] for e, k in zip(de, sizes.tolist(), strict=True)], pa.binary()),
+                    packed(control, np.cumsum(-(-counts // 4))),
+                    packed(data, np.cumsum(sizes)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n_tokens", "spread", "control", "data"])
 
@@ -388,11 +349,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file in b.column(0):
                 for start, doc_ids, counts, ranks in read_blocks(memoryview(file.as_buffer())):
-                    raw = by_rank[ranks].tobytes()
                     ends = np.cumsum(counts)
-                    cuts = zip((4 * (ends - counts)).tolist(), (4 * ends).tolist(), strict=True)
-                    none = doc_ids == NONE
-                    cols = [pa.array(doc_ids, pa.int64(), mask=none), pa.array(start + ends - counts), pa.array(counts, pa.int64()), pa.array([raw[x:y] for x, y in cuts], pa.binary())]
+                    cols = [pa.array(doc_ids, pa.int64(), mask=doc_ids == NONE), pa.array(start + ends - counts), pa.array(counts, pa.int64()), packed(by_rank[ranks], ends)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("content")
