@@ -33,7 +33,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Remove the folders of ``staged`` tables that no later step reads."""
+    for df in frames:
+        drop_path(df.sparkSession, df.staged_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

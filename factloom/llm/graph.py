@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import staged
+from factloom.llm.common import dropped, staged
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of ``edges`` (a, b); root is the smallest node that a node reaches.
+    """(node, root) of all nodes of ``edges`` (a, b); root is the smallest node that a node reaches. A staged table.
 
     Alternating large-star and small-star rounds: every node hands its smallest neighbour first to
     its larger ones, then to its smaller ones. Minima are aggregated before the shuffle and joined back,
     so a node with very many neighbours is no single group; the rounds grow with the logarithm of
-    the longest chain. Each round is a written table.
+    the longest chain. Each round is a written table, which goes when the next one is there.
     """
     edges = staged(_canonical(edges), "edges")
     before = _mark(edges)
@@ -34,10 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").select("a", "m", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = staged(_canonical(small), "edges")
-        now = _mark(edges)
+        after = staged(_canonical(small), "edges")
+        now = _mark(after)
+        dropped(edges, least, large, low)
+        edges = after
         if now == before:
             break
         before = now
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = staged(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    dropped(edges)
+    return out

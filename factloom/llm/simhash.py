@@ -10,12 +10,9 @@ key (pigeonhole), so no link is lost. A bucket of more than ``BUCKET`` fingerpri
 further bits in the same way, until it is small; equal fingerprints are one, so that always ends. A bucket emits
 a spanning forest of its links, and components are found over all of them.
 
-``near_duplicates`` is exact for a Jaccard similarity of shingle sets and takes no fingerprints: sets that are
-similar enough share a shingle of their prefixes (prefix filter), and every candidate pair is compared by its
-whole sets before it links.
-
 Defined results: a null or empty text has the fingerprint zero, which links like any other; fewer
-words than a shingle are one shingle; repeated rows share fingerprint and component; an empty table
+words than a shingle are one shingle; repeated rows share fingerprint and component; rows without a
+doc_id link others like any row, and a component of only such rows has no component_id; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -28,21 +25,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm import graph
-from factloom.llm.common import staged
+from factloom.llm.common import dropped, staged
 
 #: Fingerprints that are compared in one bucket at most.
 BUCKET = 128
-#: Rows of one block of a large bucket of a prefix shingle; every two blocks meet.
-BLOCK = 512
-#: Neighbours that a row of a bucket meets in the first round, which joins dense groups.
-REACH = 4
-#: Shingles at most whose frequency orders the prefixes, counted in one of ``SAMPLE`` documents.
-COMMON = 200_000
-SAMPLE = 8
 #: Rows of whole buckets that a task compares at a time.
 CHUNK = 1 << 16
 
@@ -199,7 +188,7 @@ def links(groups: np.ndarray, fps: np.ndarray, radius: int, known: np.ndarray) -
 def exact_keys(radius: int, bits: int = 64):
     """Keys of which any two fingerprints within the radius share one: pairs of radius + 2 pieces of the bits.
 
-    Returns the rounds of keys and the function that cuts a large bucket: by one of radius + 1 pieces of
+    Returns the keys and the function that cuts a large bucket: by one of radius + 1 pieces of
     the bits that its key leaves free, of which two such fingerprints again share one.
     """
     pieces = [frozenset(range(i, bits, radius + 2)) for i in range(radius + 2)]
@@ -208,7 +197,7 @@ def exact_keys(radius: int, bits: int = 64):
         free = [i for i in range(bits) if i not in parent]
         return [parent | p for p in (frozenset(free[i :: radius + 1]) for i in range(radius + 1)) if p]
 
-    return [[a | b for a, b in combinations(pieces, 2)]], cut
+    return [a | b for a, b in combinations(pieces, 2)], cut
 
 
 def _masks(keys: list[tuple[int, frozenset]], width: int) -> Column:
@@ -229,14 +218,16 @@ def similar_links(nodes: DataFrame, keys: list[frozenset], cut, radius: int, wid
     A bucket counts if it holds two labels. Its rows travel without their fingerprints until then.
     """
     known = dict(enumerate(keys))
-    asked, wide, small = list(known.items()), nodes, None
-    same = W.partitionBy("key", "value")
+    asked, wide, small, held = list(known.items()), nodes, None, []
     while True:
         each = _masks(asked, width) if wide is nodes else _children(asked, width)
         value = F.xxhash64(*[F.col("fp")[i].bitwiseAND(F.col(f"_.m{i}")) for i in range(width)])
         rows = wide.select("node", "label", "fp", F.explode(each).alias("_")).select("node", "label", "_.key", value.alias("value"))
-        rows = rows.withColumns({"n": F.count(F.lit(1)).over(same), "_a": F.min("label").over(same), "_b": F.max("label").over(same)})
-        rows = staged(rows.filter("_a <> _b").select("key", "value", "node", "n"), "buckets")
+        # counts are aggregated before the shuffle and joined back, so a large bucket is no single group
+        buckets = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        rows = rows.join(buckets.filter("low <> high").select("key", "value", "n"), ["key", "value"])
+        rows = staged(rows.select("key", "value", "node", "n"), "buckets")
+        held.append(rows)
         large = [r["key"] for r in rows.filter(F.col("n") > bucket).select("key").distinct().collect()]  # at most one row a key
         below = {k: cut(known[k], k + 1) for k in sorted(large)}
         last = [k for k in large if not below[k]]
@@ -278,7 +269,9 @@ def similar_links(nodes: DataFrame, keys: list[frozenset], cut, radius: int, wid
             yield some(pa.Table.from_batches(held))
 
     full = small.join(nodes, "node").select("key", "value", "node", "label", "fp")
-    return full.repartition("key", "value").sortWithinPartitions("key", "value").mapInArrow(compare, "a long, b long")
+    found = staged(full.repartition("key", "value").sortWithinPartitions("key", "value").mapInArrow(compare, "a long, b long"), "links")
+    dropped(*held)
+    return found
 
 
 def _children(asked: list[tuple[int, list]], width: int) -> Column:
@@ -289,198 +282,18 @@ def _children(asked: list[tuple[int, list]], width: int) -> Column:
     return out
 
 
-def groups(fps: DataFrame, radius: int, width: int = 1, keys=None, bucket: int = BUCKET) -> DataFrame:
+def groups(fps: DataFrame, radius: int, width: int = 1, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of ``fps`` (doc_id, fp): documents whose fingerprints link, by smallest doc_id.
 
-    After each round of keys, only buckets that hold fingerprints of different components are compared again.
+    A node is a fingerprint with a number of its own, so rows without a doc_id link others too.
     """
-    rounds, cut = keys or exact_keys(radius, 64 * width)
+    keys, cut = exact_keys(radius, 64 * width)
     fps = staged(fps.select("doc_id", "fp"), "fingerprints")
-    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    labelled, edges, found = nodes.filter("node is not null").withColumn("label", F.col("node")), None, None
-    for some in rounds:
-        if found is not None:
-            labelled = staged(nodes.filter("node is not null").join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("label")), "labelled")
-        more = staged(similar_links(labelled, some, cut, radius, width, bucket), "links")
-        edges = more if edges is None else edges.unionByName(more)
-        found = staged(graph.components(edges), "components")
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(staged(labels, "labels"), "fp").select("doc_id", "fp", "component_id")
-
-
-def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every text."""
-    for t in texts.cast(pa.binary()).to_pylist():
-        yield np.unique(shingle_hashes(t or b"", words))
-
-
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shingles of a sample of documents, and their counts.
-
-    They only order the prefixes; any order gives the same links.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for h in _sets(b.column(0), words):
-                held.append(h)
-                size += len(h)
-                if size >= 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["h"])
-                    held, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["h"])
-
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    top = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = top.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, n, prefix): hash and size of a shingle set, and its first shingles, rare ones first.
-
-    A set of n shingles shares at least similarity * n with any set that is similar enough, so one of its first
-    n - ceil(similarity * n) + 1.
-    """
-    common, counts = common_shingles(docs, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, sizes, firsts = [], [], []
-            for h in _sets(b.column(1), words):
-                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-                often = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), np.int64)
-                keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
-                fps.append(np.frombuffer(xxhash.xxh128_digest(h.tobytes()), "<i8") if len(h) else np.zeros(2, np.int64))
-                sizes.append(len(h))
-                firsts.append(h[np.lexsort((h, often))[:keep]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "prefix"]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>, n int, prefix array<long>")
-
-
-def _whole(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of about ``CHUNK`` rows that hold whole groups of the first columns, with the number of each row's group."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def numbered(table: pa.Table) -> np.ndarray:
-        turn = np.zeros(table.num_rows, bool)
-        for c in range(columns):
-            x = table.column(c).to_numpy()
-            turn[1:] |= x[1:] != x[:-1]
-        return np.cumsum(turn)
-
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows >= CHUNK:
-            table = pa.Table.from_batches(held)
-            group = numbered(table)
-            at = int(np.searchsorted(group, group[-1]))
-            if at:
-                yield table.slice(0, at), group[:at]
-                held = table.slice(at).combine_chunks().to_batches()
-                rows -= at
-    if rows:
-        table = pa.Table.from_batches(held)
-        yield table, numbered(table)
-
-
-def candidates(buckets: DataFrame, similarity: float, reach: int = 0) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket, of different labels, that their sizes and places allow to be similar enough.
-
-    ``buckets`` is (key, n, pos, node, label). Of a shared shingle at ``pos``, the first that two sets share, what is left
-    of either set bounds what they share. With ``reach``, each row meets only so many following rows of like size;
-    without, all of its bucket: every two blocks of a large bucket are a group of their own.
-    """
-    if reach:
-        rows = buckets.withColumns({"part": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
-    else:
-        same = W.partitionBy("key")
-        rows = buckets.withColumns({"size": F.count(F.lit(1)).over(same), "_a": F.min("label").over(same), "_b": F.max("label").over(same)}).filter("_a <> _b")
-        blocks = F.ceil(F.col("size") / BLOCK)
-        rows = rows.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")))
-        rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-        rows = rows.withColumn("part", F.least("block", "_o") * F.col("_n") + F.greatest("block", "_o"))
-        rows = rows.withColumn("block", F.when(F.col("block") == F.col("_o"), -1).otherwise(F.col("block")))
-    share = similarity / (1 + similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _whole(batches, 2):
-            n, pos, node, label, block = (table.column(i).to_numpy() for i in range(2, 7))
-            left, at, offset, found = n - pos, np.arange(len(n)), 0, []
-            while len(at) and (not reach or offset < reach):
-                offset += 1
-                at = at[at + offset < len(n)]
-                at = at[group[at] == group[at + offset]]
-                to = at + offset
-                # -1 marks the rows of a group of one block, which all meet
-                ok = (label[at] != label[to]) & (node[at] != node[to]) & ((block[at] != block[to]) | (block[at] == -1) | bool(reach))
-                ok &= np.minimum(left[at], left[to]) >= np.ceil(share * (n[at] + n[to]) - 1e-6)
-                found.append(np.stack([np.minimum(node[at[ok]], node[to[ok]]), np.maximum(node[at[ok]], node[to[ok]])], axis=1))
-                if sum(map(len, found)) >= 1 << 20:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    if len(found[0]) >= 1 << 19:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["a", "b"])
-                        found = []
-            if found:
-                each = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], ["a", "b"])
-
-    rows = rows.select("key", "part", "n", "pos", "node", "label", "block")
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in _sets(b.column(1), words)], pa.binary())], ["doc_id", "h"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok[i] = shared >= similarity * (len(x) + len(y) - shared) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], ["a", "b"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").distinct().mapInArrow(sets, "doc_id long, h binary"), "sets")
-    first = held.select(F.col("doc_id").alias("a"), F.col("h").alias("x"))
-    second = held.select(F.col("doc_id").alias("b"), F.col("h").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id): groups of documents linked by a Jaccard similarity of word shingle sets, exactly.
-
-    ``fp`` is a 128-bit hash of the set; equal sets are one node. A first round compares neighbours in the buckets of
-    prefix shingles and joins dense groups; the second compares all that is still apart.
-    """
-    signed = staged(prefixes(docs, words, similarity), "prefixes")
-    nodes = staged(signed.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    same = W.partitionBy("key")
-    rows = nodes.filter("node is not null").select("n", "node", F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.withColumns({"_a": F.min("node").over(same), "_b": F.max("node").over(same)}).filter("_a <> _b")
-    rows = staged(rows.select("key", "n", "pos", "node"), "buckets")
-    close = staged(candidates(rows.withColumn("label", F.col("node")), similarity, REACH), "pairs")
-    edges = staged(verified(close, docs, words, similarity), "links")
-    found = staged(graph.components(edges), "components")
-    apart = rows.join(found, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rest = candidates(apart.select("key", "n", "pos", "node", "label"), similarity).join(close, ["a", "b"], "left_anti")  # those are compared already
-    rest = staged(rest, "pairs")
-    edges = edges.unionByName(staged(verified(rest, docs, words, similarity), "links"))
-    found = staged(graph.components(edges), "components")
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return signed.join(staged(labels, "labels"), "fp").select("doc_id", "fp", "component_id")
+    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = similar_links(nodes.select("node", "fp", F.col("node").alias("label")), keys, cut, radius, width, bucket)
+    found = graph.components(edges)
+    roots = staged(nodes.join(found, "node", "left").select("fp", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = staged(roots.join(least, "root").select("fp", "component_id"), "labels")
+    dropped(nodes, edges, found, roots)
+    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")

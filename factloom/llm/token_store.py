@@ -320,7 +320,9 @@ def _bounds(tokens: DataFrame, files: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(coarse, b.column(0).to_numpy(), "left"))], ["id", "step"])
 
     fine = ids.mapInArrow(place, "id long, step long").groupBy("step").agg(cut(-(-files // steps))).collect()  # a figure a file
-    return np.sort(np.concatenate([coarse, *(np.array(r["c"], np.int64) for r in fine)]))
+    # an id of several coarse cuts has all its rows in one step, which is that much larger
+    times = {i: int((coarse == c).sum()) for i, c in enumerate(coarse.tolist())}
+    return np.sort(np.concatenate([coarse, *(np.repeat(np.array(r["c"], np.int64), times.get(r["step"], 1)) for r in fine)]))
 
 
 def _starts(tokens: DataFrame, bounds: np.ndarray) -> dict[int, int]:

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, media, mixing, quality, simhash, suffix_dedup, token_store, topk, toxicity
+from factloom.llm import bpe, chat, media, mixing, near, quality, simhash, suffix_dedup, token_store, topk, toxicity
 from factloom.llm import queries as q
 from factloom.llm import textmodel as tm
 from tests.llm.helpers import SCHEMA, edge_docs, edge_rows, empty_docs, rows_of
@@ -134,7 +134,7 @@ def test_near_duplicates_finds_similar_sets(spark):
         w = t.split()
         w[100] = "changed"
         rows.append((100 + i, " ".join(w)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(40)) and all(got[100 + i] == i for i in range(40))
 
 
@@ -337,11 +337,48 @@ def test_bpe_equals_the_library(spark, library):
     assert bpe.round_trip(empty_docs(spark), q.vocabulary()).count() == 0
 
 
-def test_bpe_of_random_words(library):
+def test_encoders_of_random_words(library):
+    """op1's and op9's encoders of hostile strings, many at a time, as the library has them."""
     import random
 
-    rng, enc = random.Random(3), bpe.encoder(q.vocabulary())
-    letters = "aeinorstlé'ß1!?<|日́İ\u0085"
-    for _ in range(1500):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(enc.encode(text.encode()), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    rng, own, asked = random.Random(3), bpe.encoder(q.vocabulary()), token_store.library_encoder(q.vocabulary())
+    letters = ["a", "E", "i", "ll", "'ve", "re", "s", "t", "é", "É", "×", "'", "ß", "12", "!", "?", "<|", "日", "\u0301", "İ", "\u0085", " ", "\n ", "\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "'S", "\u00a0", "K"]
+    for size in (1, 7, 300):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(size * 5)]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        for encode in (own.encode_all, asked.encode):
+            ids, begins = encode([t.encode() for t in texts])
+            assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:])] == want
+
+
+def test_encoders_of_other_vocabularies():
+    """op1 encodes whole texts where white space matters; op9 refuses what it could not decode."""
+    from tokenizers import Tokenizer
+
+    path = q.vocabulary("byte_bpe_50k.json")
+    texts = ["Hello world  foo", "", " x\n\ny "]
+    ids, begins = token_store.library_encoder(path).encode([t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:])] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        bpe.encoder(path)
+
+
+def test_token_files_split_hot_ids(spark, library):
+    """A null and a repeated doc_id with most rows each fill several files, and starts stay right."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} of many") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = token_store.write(docs, q.vocabulary(), end_id=2, file_bytes=500)
+    got = token_store.read(spark, path).collect()
+    assert sorted(r["ids"] for r in got) == sorted(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t in rows)
+    ordered = sorted(got, key=lambda r: r["start"])
+    ends = np.cumsum([r["n_tokens"] for r in ordered])
+    assert [r["start"] for r in ordered] == [0, *ends[:-1].tolist()]
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
+    assert ids == sorted(ids) and spark.read.format("binaryFile").load(f"{path}/blocks").filter("length > 0").count() > 10
+
+
+def test_bounds_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "CUTS", 8)
+    ids = spark.range(1000).selectExpr("case when id % 3 = 0 then 500 else id end as doc_id")
+    bounds = token_store._bounds(ids, 60)
+    assert 40 <= len(bounds) <= 70 and sorted(bounds.tolist()) == bounds.tolist() and (bounds == 500).sum() > 10
