@@ -78,11 +78,20 @@ def missing_companions(subjects: DataFrame, catalog: DataFrame, exclusions: Data
     return out.select("id", "key", "companion").distinct()
 
 
+#: Keys that create the account.
+INIT_KEYS = ("init", "init_if_needed")
+
+
+def has_any(keys: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(F.exists(keys, lambda k: k["key"].isin(*names)), F.lit(False))
+
+
 def key_conflicts(constraints: DataFrame, conflicts: list[tuple[str, str]]) -> DataFrame:
-    """(container, field, left, right) of keys that exclude each other, and of a payer that is the field itself."""
+    """(container, field, left, right) of keys that exclude each other, and of a payer that is the created field itself."""
     keys = F.col("keys")
     cases = [F.when(has_key(keys, a) & has_key(keys, b), F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"))) for a, b in conflicts]
-    own = F.when(has_key(keys, "init") & (value_of(keys, "payer") == F.col("field")), F.struct(F.lit("init").alias("left"), F.lit("payer").alias("right")))
+    created = F.when(has_key(keys, "init"), "init").otherwise("init_if_needed")
+    own = F.when(has_any(keys, INIT_KEYS) & (value_of(keys, "payer") == F.col("field")), F.struct(created.alias("left"), F.lit("payer").alias("right")))
     return constraints.select("container", "field", F.explode(F.array_compact(F.array(*cases, own))).alias("_")).select("container", "field", "_.*")
 
 
@@ -103,13 +112,13 @@ def family_applicability(constraints: DataFrame, families: DataFrame) -> DataFra
 def lifecycle_requirements(constraints: DataFrame, fields: DataFrame, types: list[str]) -> DataFrame:
     """issues (container, field, issue): wrong type for init, realloc or close; no ``mut`` with realloc or close; payer not mutable."""
     keys = F.col("keys")
-    life = has_key(keys, "init") | has_key(keys, "realloc") | has_key(keys, "close")
+    life = has_any(keys, INIT_KEYS) | has_key(keys, "realloc") | has_key(keys, "close")
     moved = has_key(keys, "realloc") | has_key(keys, "close")
     typed = constraints.join(fields.select("container", F.col("name").alias("field"), "type_name"), ["container", "field"])
     issues = typed.select("container", "field", F.explode(F.array_compact(F.array(
         F.when(life & ~F.col("type_name").isin(*types), "type"), F.when(moved & ~has_flag(keys, "mut"), "mut")))).alias("issue"))
     payers = constraints.select("container", "field", value_of(keys, "payer").alias("_payer")).filter("_payer is not null")
-    mutable = constraints.filter(has_flag(keys, "mut") | has_key(keys, "init")).select("container", F.col("field").alias("_payer")).distinct()
+    mutable = constraints.filter(has_flag(keys, "mut") | has_any(keys, INIT_KEYS)).select("container", F.col("field").alias("_payer")).distinct()
     declared = fields.select("container", F.col("name").alias("_payer")).distinct()
     fixed = payers.join(declared, ["container", "_payer"], "left_semi").join(mutable, ["container", "_payer"], "left_anti")
     return issues.unionByName(fixed.select("container", "field", F.lit("payer").alias("issue")))
@@ -129,6 +138,32 @@ def token_checks(references: DataFrame, fields: DataFrame, expected: DataFrame)
     return known.filter(~F.array_contains("types", F.col("type_name"))).select("container", "field", "role", "target", "type_name")
 
 
+def token_targets(constraints: DataFrame, targets: DataFrame) -> DataFrame:
+    """(container, field, issue) of fields (container, field, type_name, keys) with a key of a family whose target type they lack.
+
+    targets (prefix, types array, issue): keys of a family start with its prefix; of several families the first by issue counts.
+    """
+    wide = constraints.select("container", "field", "type_name", F.explode(F.transform("keys", lambda k: k["key"])).alias("key"))
+    wide = wide.withColumn("prefix", F.concat(F.substring_index("key", "::", 1), F.lit("::")))
+    bad = wide.filter(F.col("key").contains("::")).join(targets, "prefix").filter(~F.array_contains("types", F.col("type_name")))
+    return bad.groupBy("container", "field").agg(F.min("issue").alias("issue"))
+
+
+def program_overrides(constraints: DataFrame, fields: DataFrame, key: str, programs: list[str]) -> DataFrame:
+    """(container, field, program, type_name) where the field that ``key`` names is no token program; unknown names are silent."""
+    named = constraints.select("container", "field", value_of(F.col("keys"), key).alias("program")).filter("program is not null")
+    typed = named.join(fields.select("container", F.col("name").alias("program"), "type_name").distinct(), ["container", "program"])
+    return typed.filter(~F.col("type_name").isin(*programs)).select("container", "field", "program", "type_name").distinct()
+
+
+def exclusive_groups(constraints: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
+    """(container, field, families) of fields whose keys come from more than one of exclusive families (key prefixes)."""
+    keys = F.transform("keys", lambda k: F.concat(F.substring_index(k["key"], "::", 1), F.lit("::")))
+    held = [F.array_sort(F.array_intersect(F.array_distinct(keys), F.array(*map(F.lit, g)))) for g in groups]
+    rows = constraints.select("container", "field", F.explode(F.array(*[F.array_join(h, ",") for h in held])).alias("families"))
+    return rows.filter(F.col("families").contains(",")).distinct()
+
+
 def unchecked_named(fields: DataFrame, names: DataFrame, types: list[str], guards: list[str]) -> DataFrame:
     """fields of unchecked types whose name is in ``names`` and that have none of the guard keys (array<string>)."""
     rows = fields.filter(F.col("type_name").isin(*types) & ~F.exists("keys", lambda k: k.isin(*guards)))

@@ -64,7 +64,11 @@ def preflight(invocations: DataFrame, catalog: DataFrame | None = None) -> DataF
     return out if catalog is None else out.join(catalog, "name")
 
 
-def preflight_report(detected: DataFrame) -> DataFrame:
-    """A2: (name, invocations, n_invocations) of each error; the indexes are distinct and sorted."""
-    distinct = detected.select("name", "index").distinct()
-    return distinct.groupBy("name").agg(F.sort_array(F.collect_list("index")).alias("invocations"), F.count(F.lit(1)).alias("n_invocations"))
+def preflight_report(detected: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A2: (keys, name, invocations, n_invocations) of each error; the indexes are distinct and sorted.
+
+    keys: columns of one report, such as its document. A report lists all its invocations, so it should be bounded.
+    """
+    group = [*(keys or []), "name"]
+    distinct = detected.select(*group, "index").distinct()
+    return distinct.groupBy(*group).agg(F.sort_array(F.collect_list("index")).alias("invocations"), F.count(F.lit(1)).alias("n_invocations"))

@@ -26,6 +26,18 @@ def missing_refs(refs: DataFrame, decls: DataFrame, scope: list[str], name: str
     return out.join(known.select(*scope, name).distinct(), [*scope, name], "left_anti")
 
 
+def unknown_usages(usages: DataFrame, functions: DataFrame, fields: DataFrame) -> DataFrame:
+    """(context, account) used in a context's functions but no field of it, nor of a container that one of its fields is.
+
+    usages (fn, account), functions (fn, context), fields (container, name, type_name); functions without context are silent.
+    """
+    used = usages.join(functions.filter("context is not null").select("fn", "context").distinct(), "fn").select("context", "account").distinct()
+    own = fields.select(F.col("container").alias("context"), F.col("name").alias("account"), "type_name").distinct()
+    inner = fields.select(F.col("container").alias("type_name"), F.col("name").alias("account")).distinct()
+    nested = own.select("context", "type_name").distinct().join(inner, "type_name").select("context", "account")
+    return used.join(own.select("context", "account").unionByName(nested).distinct(), ["context", "account"], "left_anti")
+
+
 def gated_absence(subjects: DataFrame, present: DataFrame, gate: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct ``keys`` of subjects that ``present`` lacks, only where ``gate`` has the key."""
     return subjects.select(*keys).distinct().join(gate.select(*keys).distinct(), keys, "left_semi").join(present.select(*keys).distinct(), keys, "left_anti")
@@ -161,12 +173,30 @@ def _prefixes(key: str, proper: bool) -> Column:
 
 
 def longest_prefix(keys: DataFrame, stored: DataFrame, key: str = "key") -> DataFrame:
-    """(key, prefix): the longest stored key that a key starts with. Prefixes are exploded, so the join is on equality."""
+    """(key, prefix): the longest stored key that a key starts with. Prefixes are exploded, so the join is on equality."""
     parts = keys.select(key).distinct().withColumn("prefix", F.explode(_prefixes(key, False)))
     hits = parts.join(stored.select(F.col(key).alias("prefix")).distinct(), "prefix", "left_semi")
     return hits.groupBy(key).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 
+def module_path(file: Column) -> Column:
+    """The module path of a source file below ``src``: ``crate``, folders and the file's stem, joined by ``::``; null for others."""
+    inner = F.regexp_extract(file, "(?:^|/)src/(.+)\\.rs$", 1)
+    stem = F.regexp_replace(inner, "(^|/)(mod|lib|main)$", "")
+    return F.when(inner != "", F.concat_ws("::", F.lit("crate"), F.when(stem != "", F.replace(stem, F.lit("/"), F.lit("::")))))
+
+
+def path_exists(paths: DataFrame, files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """The paths (root, path) such as ``crate::state::Escrow`` that are known: all segments but the last are the
+    module of a file (root, file) and this file declares (root, file, name) the last. Others are unconfirmed, not absent.
+    """
+    parts = F.split("path", "::")
+    asked = paths.select("root", "path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "::").alias("_m"), F.element_at(parts, -1).alias("name"))
+    modules = files.select("root", "file", module_path(F.col("file")).alias("_m")).filter("_m is not null").distinct()
+    found = asked.filter(F.size(parts) >= 2).join(modules, ["root", "_m"]).join(declarations.select("root", "file", "name").distinct(), ["root", "file", "name"], "left_semi")
+    return found.select("root", "path").distinct()
+
+
 def prefix_collisions(keys: DataFrame, scope: list[str], key: str = "key") -> DataFrame:
     """(scope, prefix, key) pairs where a key is a proper prefix of a longer one of the same scope; empty and equal keys are none."""
     distinct = keys.select(*scope, key).filter(F.length(key) > 0).distinct()

@@ -31,6 +31,14 @@ def rollup_totals(df: DataFrame, levels: list[str], measures: dict[str, Column])
     return df.rollup(*levels).agg(*[c.alias(n) for n, c in measures.items()])
 
 
+def static_totals(findings: DataFrame, corpus: str, counters: dict[str, Column]) -> DataFrame:
+    """A3: (corpus, findings, counters..., files) of each corpus and, with a null corpus, of all; files are counted once."""
+    counts = [F.count_if(c).alias(n) for n, c in counters.items()]
+    each = findings.groupBy(corpus, "file").agg(F.count(F.lit(1)).alias("findings"), *counts)
+    sums = [F.sum(c).alias(c) for c in ("findings", *counters)]
+    return each.rollup(corpus).agg(*sums, F.count(F.lit(1)).alias("files"))
+
+
 def coverage_summary(df: DataFrame, one: str, other: str) -> DataFrame:
     """Counts by each of two columns and in all, by grouping sets."""
     df = df.withColumns({"_one": F.col(one), "_other": F.col(other)})

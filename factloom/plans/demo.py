@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars
 from factloom.operators import artifacts, constraints, drift, findings, graph, guards, preflight, references, reports, telemetry
 from factloom.sources import readers, sinks
+from factloom.sources.staging import new_path
 from factloom.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,16 +145,8 @@ def d1_stream_preflight(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = invocations_of(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     out = updates.stream_preflight(rows)
-    return _run(spark, out.select(F.floor(F.unix_micros("start") / 3_600_000_000).cast("long").alias("hour"), "name", "n"), "complete")
-
-
-def _run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
-    name = "stream_" + uuid.uuid4().hex
-    return updates.run_available(result, name, f"{base}/{name}", mode)
+    out = out.select(F.floor(F.unix_micros("start") / 3_600_000_000).cast("long").alias("hour"), "name", "n")
+    return updates.run_latest(out, new_path(spark, "preflight"), ["hour", "name"])
 
 
 # --- findings ---------------------------------------------------------------------------------------
@@ -446,7 +439,7 @@ def call_edges(spark, sf_dir) -> DataFrame:
 _EDGES_SQL = """
 with recursive e as (select distinct user_id as src, dst from (
   select user_id, lead(user_id) over (partition by epoch_us(ts) // 86400000000 order by ts, event_id) as dst from events where event_type = 'error') where dst is not null),
-s as (select distinct src as source from e where src < 3),
+s as (select distinct src as source from e),
 r as (select source, source as name, 0 as depth from s union select r.source, e.dst, r.depth + 1 from r join e on e.src = r.name where r.depth < {depth}),
 m as (select source, name, min(depth) as depth from r where depth > 0 group by all)"""
 
@@ -454,13 +447,13 @@ m as (select source, name, min(depth) as depth from r where depth > 0 group by a
 @query(_EDGES_SQL.format(depth=8) + " select source, name, depth from m")
 def d11_reachable(spark, sf_dir):
     edges = call_edges(spark, sf_dir)
-    return graph.reachable(edges, edges.filter("src < 3").select(F.col("src").alias("source")))
+    return graph.reachable(edges, _all_sources(edges))
 
 
 @query(_EDGES_SQL.format(depth=2) + " select distinct source from m where depth = 2 and name in (select src from e)")
 def d11_truncated(spark, sf_dir):
     edges = call_edges(spark, sf_dir)
-    reach = graph.reachable(edges, edges.filter("src < 3").select(F.col("src").alias("source")), depth=2)
+    reach = graph.reachable(edges, _all_sources(edges), depth=2)
     return graph.truncated(reach, edges, depth=2)
 
 
@@ -468,17 +461,14 @@ def d11_truncated(spark, sf_dir):
 with recursive e0 as (select distinct user_id as src, dst from (
   select user_id, lead(user_id) over (partition by epoch_us(ts) // 86400000000 order by ts, event_id) as dst from events where event_type = 'error') where dst is not null),
 u as (select dst from e0 group by dst having count(*) <= 12), e as (select * from e0 where dst in (select dst from u)),
-s as (select distinct src as source from e0 where src < 3),
+s as (select distinct src as source from e0),
 r as (select source, source as name, 0 as depth from s union select r.source, e.dst, r.depth + 1 from r join e on e.src = r.name where r.depth < 8)
 select source, name, min(depth) as depth from r where depth > 0 group by all""")
 def d11_unambiguous(spark, sf_dir):
     edges = call_edges(spark, sf_dir)
     defs = edges.groupBy(F.col("dst").alias("name")).agg(F.when(F.count(F.lit(1)) <= 12, 1).otherwise(2).alias("n"))
-    return graph.reachable(edges, edges.filter("src < 3").select(F.col("src").alias("source")), defs=defs)
-
-
+    return graph.reachable(edges, _all_sources(edges), defs=defs)
 
-# All sources at once: the SQL above holds "src < 3", so these have none and a test compares them with brute force.
 
 
 def _all_sources(edges) -> DataFrame:

@@ -46,9 +46,9 @@ def read_invocations(documents: DataFrame, text: str = "text") -> tuple[DataFram
     return good, rows.filter("reason is not null").select("id", "reason")
 
 
-def load_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A catalog (constraints, errors, topics) of JSON lines or one JSON array; Spark broadcasts it if it is small."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def load_catalog(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A catalog (constraints, errors, topics), one JSON array a file or JSON lines; Spark broadcasts it if it is small."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def manifest_facts(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from factloom.functions.scalars import sarif_level
 
@@ -47,10 +48,22 @@ def to_report(files: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return files.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("report"))
 
 
-def stream_findings(findings: DataFrame, path: str, checkpoint: str, key: str = "file"):
-    """Each micro-batch replaces the findings of the documents in it, as dynamic partitions of ``key``."""
+def stream_findings(findings: DataFrame, path: str, key: str = "file"):
+    """Each micro-batch replaces the findings of the documents in it. Start it and read with ``read_stream_findings``.
+
+    A batch is a folder, written again as a whole if it is repeated; a document without findings comes as a row with
+    null elsewhere and clears what it had.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return findings.writeStream.foreachBatch(publish).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
 
-    def publish(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
-    return findings.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_stream_findings(spark: SparkSession, path: str, schema: StructType, key: str = "file", present: str = "code") -> DataFrame:
+    """The findings of each document's last batch; rows whose ``present`` column is null only clear."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    last = rows.groupBy(F.col(key).alias("_k")).agg(F.max("batch").alias("_b"))
+    current = rows.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_b")))
+    return current.filter(F.col(present).isNotNull()).select(*schema.names)

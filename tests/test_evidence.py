@@ -394,7 +394,30 @@ def test_typing_and_versions(spark):
 
 
 def test_stream_sink_replaces_documents(spark, tmp_path):
-    df = spark.createDataFrame([("f", 1), ("g", 2)], "file string, line int")
-    df.write.parquet(f"{tmp_path}/in")
-    sinks.stream_findings(updates.read_updates(spark, f"{tmp_path}/in", "file string, line int"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    schema = "file string, code string, line int"
+    publish = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: sinks.stream_findings(updates.read_updates(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out").awaitTermination()
+    publish([("f", "a", 1), ("f", "b", 2), ("g", "c", 3), ("h", "d", 4)])
+    run()
+    publish([("f", "e", 5), ("h", None, None)])
+    run()
+    got = sinks.read_stream_findings(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema)
+    assert rows(got) == [("f", "e", 5), ("g", "c", 3)]
+
+
+def test_module_paths(spark):
+    f = spark.createDataFrame([("p/src/state/escrow.rs",), ("src/lib.rs",), ("p/src/a/mod.rs",), ("p/tests/x.rs",), ("src/main.rs",)], "file string")
+    got = [r[0] for r in f.select(references.module_path(F.col("file"))).collect()]
+    assert got == ["crate::state::escrow", "crate", "crate::a", None, "crate"]
+
+
+def test_token_rules(spark):
+    f = spark.createDataFrame
+    keys = "array<struct<key:string,value:string,has_value:boolean>>"
+    k = lambda **x: [(n.replace("__", "::"), v, v is not None) for n, v in x.items()]
+    c = f([("C", "a", "Mint", k(token__mint="m", mint__decimals=None)), ("C", "b", "TokenAccount", k(token__token_program="p"))], f"container string, field string, type_name string, keys {keys}")
+    targets = f([("token::", ["TokenAccount"], "token"), ("mint::", ["Mint"], "mint")], "prefix string, types array<string>, issue string")
+    assert rows(constraints.token_targets(c, targets)) == [("C", "a", "token")]
+    fields = f([("C", "p", "System")], "container string, name string, type_name string")
+    assert rows(constraints.program_overrides(c, fields, "token::token_program", ["Token"])) == [("C", "b", "p", "System")]
+    assert rows(constraints.exclusive_groups(c, [("token::", "mint::")])) == [("C", "a", "mint::,token::")]
