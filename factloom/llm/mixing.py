@@ -2,12 +2,14 @@
 
 All words are shared out by source weight; a source's target stops at ``cap`` times its size and the
 excess goes to the others by weight. Targets become blocks of equally many words by Sainte-Lague
-(highest quotients target / (2 s + 1)), first over sources, then over the shards of each source. A
-shard's documents lie in a seeded order; its quota of blocks is taken from the start of that
-stream, whole passes over the shard first. A large source has many shards, so no task holds one.
+(highest quotients target / (2 s + 1)), first over sources, then over the groups of shards of each
+source, then over the shards of each group. A shard's documents lie in a seeded order; its quota of
+blocks is taken from the start of that stream, whole passes over the shard first. A large source
+has many shards and these many groups, so no task holds a source or all its shards. The order
+comes from doc_id and text, so rows that share a doc_id, null among them, are spread as well.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source, last in
-order; repeated rows count each; an empty table gives no rows; other columns are ignored.
+order; repeated rows count each; an empty table gives no rows; other columns are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD_BREAK, staged
+from factloom.llm.common import WORD_BREAK, dropped, staged
 
 WEIGHTS = (1, 2, 3)
 
@@ -59,49 +61,60 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: int = 3) -> DataF
 
 
 def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes: str, seats: str) -> DataFrame:
-    """``parties`` with ``quota``: the seats of each group by highest quotients, ties to smaller keys.
+    """``parties`` with ``quota``: the seats of each group by highest quotients, ties to smaller keys. Group and party keys are not null.
 
-    The rounded quotas differ from the result by the group's surplus, so only as many quotients a
-    party as that surplus are ranked.
+    The rounded quotas differ from the result by the group's surplus. With P parties, V votes and a surplus D a party of
+    v votes gains or loses at most v (|D| + P) / V + 1 seats, so only so many of its quotients are ranked: some three a party.
     """
-    g, v, n = W.partitionBy(*group), F.col(votes).cast("double"), F.col(seats)
-    total = F.sum(v).over(g)
-    start = parties.withColumn("_r", F.when(total > 0, F.floor(v * n / total + 0.5)).otherwise(0).cast("long"))
-    start = start.withColumn("_d", F.when(total > 0, n - F.sum("_r").over(g)).otherwise(0).cast("long"))
-    more = start.filter("_d != 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_d"))))
+    keys = list(dict.fromkeys(group + party))
+    v, n = F.col(votes).cast("double"), F.col(seats)
+    totals = parties.groupBy(*group).agg(F.sum(v).alias("_v"), F.count(F.lit(1)).alias("_p"))
+    start = parties.join(totals, group).withColumn("_r", F.when(F.col("_v") > 0, F.floor(v * n / F.col("_v") + 0.5)).otherwise(0).cast("long"))
+    given = start.groupBy(*group).agg(F.sum("_r").alias("_given"))
+    start = start.join(given, group).withColumn("_d", F.when(F.col("_v") > 0, n - F.col("_given")).otherwise(0).cast("long"))
+    most = F.least(F.abs("_d"), (F.floor(v * (F.abs("_d") + F.col("_p")) / F.col("_v")) + 2).cast("long"))
+    more = start.filter("_d != 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), most)))
     seat = F.when(F.col("_d") > 0, F.col("_r") + F.col("_k") - 1).otherwise(F.col("_r") - F.col("_k"))
     more = more.withColumn("_s", seat).filter("_s >= 0").withColumn("_q", v / (2 * F.col("_s") + 1))
     sign = F.signum("_d")
-    keys = [F.row_number().over(W.partitionBy(*group).orderBy(*party)).alias("_n")]
-    more = more.select("*", *keys)
+    # ties: added seats go to smaller keys first, taken ones from larger keys
+    more = more.withColumn("_n", F.dense_rank().over(W.partitionBy(*group).orderBy(*party)))
     best = W.partitionBy(*group).orderBy(-sign * F.col("_q"), sign * F.col("_n"), sign * F.col("_s"))
     more = more.withColumn("_b", F.row_number().over(best)).filter("_b <= abs(_d)")
-    change = more.groupBy(*dict.fromkeys(group + party)).agg(F.sum(sign).cast("long").alias("_c"))
-    joined = start.join(change, list(dict.fromkeys(group + party)), "left")
-    return joined.withColumn("quota", F.col("_r") + F.coalesce("_c", F.lit(0))).drop("_r", "_d", "_c")
+    change = more.groupBy(*keys).agg(F.sum(sign).cast("long").alias("_c"))
+    joined = start.join(change, keys, "left")
+    return joined.withColumn("quota", F.col("_r") + F.coalesce("_c", F.lit(0))).drop("_r", "_d", "_c", "_v", "_p", "_given")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = 3, block: int = 8, shard_words: int = 1 << 17, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = 3, block: int = 8, shard_words: int = 1 << 17, group_shards: int = 1 << 12, seed: str = "mix", carry: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, shard) of all documents.
 
-    block: words in a block. shard_words: about so many words of a source make a shard.
+    block: words in a block. shard_words: about so many words of a source make a shard. group_shards: about so many
+    shards of a source share out the quota of a group. carry: all columns of ``docs`` come along as the struct ``carried``.
     """
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = staged(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), order.alias("_o")), "mix-sizes")
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []
+    sized = staged(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), order.alias("_o"), *carried), "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     sources = sources.withColumns({"_all": F.lit(0), "_seats": F.round(F.col("total") / block).cast("long")})
     sources = sainte_lague(sources, ["_all"], ["source_no"], "target", "_seats").withColumnRenamed("quota", "source_quota")
     sources = staged(sources.select("source", "source_no", "source_size", "target", "source_quota"), "mix-sources")
     number = F.conv(F.substring("_o", 1, 8), 16, 10).cast("long")
     placed = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    placed = placed.withColumn("shard", number % (1 + F.floor(F.col("source_size") / shard_words)))
-    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("_seats"))
-    shards = sainte_lague(shards, ["source_no"], ["shard"], "shard_size", "_seats")
-    shards = staged(shards.select("source_no", "shard", "shard_size", (F.col("quota") * block).alias("quota_words")), "mix-shards")
+    shards_of = 1 + F.floor(F.col("source_size") / shard_words)
+    placed = placed.withColumn("shard", number % shards_of)
+    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("source_size").alias("source_size"))
+    shards = staged(shards.withColumn("shards", F.col("shard") % (1 + F.floor(shards_of / group_shards))), "mix-shards")
+    parts = shards.groupBy("source_no", "shards").agg(F.sum("shard_size").alias("part_size"), F.first("source_quota").alias("_seats"))
+    parts = sainte_lague(parts, ["source_no"], ["shards"], "part_size", "_seats").select("source_no", "shards", F.col("quota").alias("_seats"))
+    quotas = sainte_lague(shards.join(parts, ["source_no", "shards"]), ["source_no", "shards"], ["shard"], "shard_size", "_seats")
+    quotas = staged(quotas.select("source_no", "shard", "shard_size", (F.col("quota") * block).alias("quota_words")), "mix-quotas")
+    dropped(shards)
     stream = W.partitionBy("source_no", "shard").orderBy("_o", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    laid = placed.withColumn("_end", F.sum("size").over(stream)).join(shards, ["source_no", "shard"])
+    laid = placed.withColumn("_end", F.sum("size").over(stream)).join(quotas, ["source_no", "shard"])
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota_words") / F.col("shard_size"))).otherwise(0)
     rest = F.col("quota_words") - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - (F.col("_end") - F.col("size")))
     taken = F.least(passes * F.col("size") + part, F.col("size") * cap).cast("long")
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard")
+    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard", *(["carried"] if carry else []))

@@ -103,7 +103,7 @@ from f group by conv_id"""
 
 OP5_SQL = r"""
 with d as (
-  select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as o,
+  select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as o,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size
   from documents
 ), s0 as (

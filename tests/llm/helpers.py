@@ -43,10 +43,17 @@ def edge_docs(spark, ids=True):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(edge_rows(ids), SCHEMA)
-    clash = ["ids", "n_tokens", "fp", "node", "key", "value", "size", "target", "copy", "carried", "_o", "shard", "p_text", "n", "host", "path", "component_id", "part"]
+    clash = ["ids", "n_tokens", "fp", "node", "key", "value", "size", "target", "copy", "carried", "_o", "shard", "p_text", "n", "host", "path", "component_id", "part", "kept", "n_bytes", "n_removed", "n_spans", "carried", "row", "_id", "_copies", "_copy", "taken", "a`b"]
     return df.withColumns({c: F.lit(c) for c in clash}).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def odd_docs(spark):
+    """With columns of other types under the operators' own names."""
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(edge_rows(), SCHEMA).withColumns({"n_bytes": F.lit(7).cast("long"), "kept": F.lit("kept"), "_id": F.lit(1.5), "row": F.array(F.lit(1)), "carried": F.lit(True)})
+
+
 def empty_docs(spark):
     return edge_docs(spark).limit(0)
 

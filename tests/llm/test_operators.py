@@ -211,6 +211,35 @@ def test_sainte_lague_is_highest_quotients(spark):
         assert got == {i: sum(1 for _, j in heap if j == i) for i in range(len(votes))}, seats
 
 
+def test_mixing_in_many_groups(spark):
+    """Shards in several groups, and a hot null doc_id: shares stay near the targets."""
+    rows = [(None if i % 3 == 0 else i, "word " * (i % 40), "ab"[i % 2]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, shard_words=100, group_shards=16, carry=True).select("*", F.col("carried.doc_id").alias("id")).collect()
+    assert len(out) == 2000 and sum(r["id"] is None for r in out) == 667 and len({r["shard"] for r in out if r["doc_id"] is None}) > 20
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 0.01 * own[0]["target"]
+
+
+def test_sainte_lague_of_many_equal_shards(spark):
+    """A million equal parties with 2.4 seats each, in seconds; the smallest keys get the rest."""
+    df = spark.range(1_000_000).selectExpr("0 as g", "id as p", "1000L as votes", "2400000L as seats")
+    got = mixing.sainte_lague(df, ["g"], ["p"], "votes", "seats").groupBy("quota").agg(F.count("p").alias("n"), F.max("p").alias("last")).collect()
+    assert {r["quota"]: (r["n"], r["last"]) for r in got} == {3: (400_000, 399_999), 2: (600_000, 999_999)}
+
+
+def test_sainte_lague_against_a_heap(spark):
+    rng = np.random.default_rng(4)
+    votes = [rng.integers(0, 10 ** int(e), n).tolist() for n, e in ((3, 1), (40, 2), (40, 5), (25, 7), (60, 1))]
+    seats = [7, 200, 33, 1000, 95]
+    df = spark.createDataFrame([(g, p, int(v), seats[g]) for g, vs in enumerate(votes) for p, v in enumerate(vs)], "g int, p int, votes long, seats long")
+    got = {(r["g"], r["p"]): r["quota"] for r in mixing.sainte_lague(df, ["g"], ["p"], "votes", "seats").collect()}
+    for g, vs in enumerate(votes):
+        best = sorted((-v / (2 * s + 1), i, s) for i, v in enumerate(vs) if v for s in range(seats[g]))[: seats[g]]
+        assert [got[g, i] for i in range(len(vs))] == [sum(j == i for _, j, _ in best) for i in range(len(vs))]
+
+
 # 6
 def test_media_round_trip(spark):
     got = media.read_column(media.mux_column(edge_docs(spark))).collect()
