@@ -58,13 +58,47 @@ def brute_top(vectors, queries, k):
 @pytest.mark.parametrize("n,k,block", [(300, 5, 16), (50, 20, 7), (3, 20, 4)])
 def test_shard_search_is_exact(n, k, block):
     rng = np.random.default_rng(n)
-    v = rng.integers(-3, 4, (n, 6)).astype(float)
+    v = rng.integers(-3, 4, (n, 6))
     shard = topk.Shard(np.arange(n), v, block)
     for i in range(0, n, 7):
         ids, scores = shard.best(i, v[i], k)
         assert [(i, r + 1, int(j), int(s)) for r, (j, s) in enumerate(zip(ids, scores))] == brute_top(list(enumerate(v.astype(int).tolist())), [(i, v[i].astype(int).tolist())], k)
 
 
+def test_shard_reads_few_postings():
+    """Groups of like vectors: most blocks are left out and most postings of the others are not read; the result is exact."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 8, (60, 32))
+    v = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(0, 1.5, (6000, 32))).astype(np.int64)
+    shard = topk.Shard(np.arange(6000), v, 128)
+    for i in range(0, 6000, 300):
+        ids, scores = shard.best(i, v[i], 20)
+        full = v @ v[i]
+        order = [j for j in np.lexsort((np.arange(6000), -full)) if j != i][:20]
+        assert ids.tolist() == order and scores.tolist() == full[order].tolist()
+    assert shard.read < 0.2 * 20 * v.size
+
+
+def test_shard_of_large_numbers():
+    v = np.array([[1 << 40, 3], [1 << 40, 2], [-(1 << 40), 1], [0, 0]], np.int64)
+    shard = topk.Shard(np.arange(4), v[:, :1] // (1 << 9))
+    ids, scores = shard.best(0, np.array([1 << 31], np.int64), 4)
+    assert ids.tolist() == [1, 3, 2] and scores.tolist() == [1 << 62, 0, -(1 << 62)]
+    with pytest.raises(OverflowError):
+        topk.Shard(np.arange(4), v).best(9, v[0], 2)
+
+
+def test_top_k_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(12)
+    v = rng.integers(-4, 5, (400, 5)).tolist()
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, v array<long>")
+    got = topk.top_k(df.filter("vec_id % 20 = 0"), df, 6)
+    rows = list(enumerate(v))
+    assert rows_of(got.select("query_id", "rank", "vec_id", "score")) == sorted(brute_top(rows, rows[::20], 6), key=repr)
+
+
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [3.0]), (None, [9.0, 9.0]), (8, [-0.01, -0.01])]
