@@ -5,17 +5,18 @@ doc_id; strings are judged on the input. The work is dealt out by content:
 
 1. Every string of ``LENGTH`` bytes has an anchor, the leftmost least hash among its ``GRAM``-byte
    substrings, so equal strings have equal anchors and neighbouring strings share theirs: a
-   document is a row of runs of strings, one run an anchor. Hashes of all anchors are dealt by
-   hash; those of one document only are dropped there, the others go back to their documents.
-2. Each run with such an anchor is sent, with its bytes, to the task of its anchor. A task reads
-   its runs in batches by ascending doc_id: each batch gets a suffix array (its strings in
-   sorted order), which is merge-scanned against the levels of the index, and becomes a level;
+   document is a row of runs of strings, one run an anchor. Anchors of one document only are
+   dropped (``shared.shared_keys``), the others go back to their documents.
+2. Each run with such an anchor is sent, with its bytes, to the task of its anchor. A task takes whole
+   anchors, about ``RUNS`` runs at a time, as one text with an index of its own, since no match leaves an anchor.
+   It reads the runs in batches by ascending doc_id: each batch gets a suffix array (the places of its strings
+   in sorted order), which is merge-scanned against the levels of the index, and becomes a level;
    levels of similar size merge, so there are logarithmically many.
 3. The strings found go back to their documents as byte ranges.
 
 Documents stay in one table bucketed by doc_id, so their texts are shuffled once. Exact copies of a
-document with a smaller doc_id are found by digest and leave before step 1. Repeats inside a chunk
-of documents are answered there and sent on once; an anchor of more than ``HOT`` documents has its
+document with a smaller doc_id are found by digest and leave before step 1. Runs that repeat inside a chunk
+of documents, byte for byte, are answered there and sent on once; an anchor of more than ``HOT`` documents has its
 strings dealt each by its own hash. So neither a frequent passage nor its differing borders meet in
 one task.
 
@@ -26,7 +27,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +34,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from factloom.llm import shared
 from factloom.llm.common import new_path, staged
 
 LENGTH, GRAM = 50, 20
 #: Documents from which an anchor's strings are dealt one by one.
 HOT = 1000
-#: Bytes of text hashed at a time, bytes whose anchors are gathered before they are sent, and
-#: anchors that a task of step 1 sees on average.
-SLICE, CHUNK, ANCHORS = 1 << 20, 1 << 25, 1 << 20
+#: Bytes of text hashed at a time, and bytes whose runs are gathered before they are sent.
+SLICE, CHUNK = 1 << 20, 1 << 25
 #: Runs that are indexed together (whole anchors), and batches they are read in.
 RUNS, BATCHES = 1 << 15, 4
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -111,136 +112,59 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _send_anchors(ids: np.ndarray, keys: np.ndarray, shift: int) -> Iterator[dict]:
-    """Rows for step 1 of a chunk's (document, key) pairs: keys of several of its documents answered
-    at once and sent on with their count, all keys by bucket."""
-    order = np.lexsort((ids, keys))
-    ids, keys = ids[order], keys[order]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-    ids, keys = ids[fresh], keys[fresh]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.concatenate([start, [len(keys)]]))
-    many = np.repeat(count > 1, count)
-    numbers, place = np.unique(ids[start], return_inverse=True)
-    place = np.where(count > 1, len(numbers), place).astype(np.uint32)
-    bucket = (keys[start] >> np.uint64(shift)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        own = place[a:b]
-        used, back = np.unique(own[own < len(numbers)], return_inverse=True)
-        slot = np.full(b - a, len(used), np.uint32)
-        slot[own < len(numbers)] = back
-        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-        gaps = np.diff(numbers[used], prepend=0)
-        yield {
-            "bucket": int(bucket[a]),
-            "key": (keys[start[a:b]] & np.uint64((1 << shift) - 1) if shift < 32 else keys[start[a:b]] >> np.uint64(shift - 32)).astype(np.uint32).tobytes(),
-            "slot": slot.astype(kind).tobytes(),
-            "docs": zlib.compress(gaps.tobytes(), 1),
-            "counts": count[a:b][own == len(numbers)].astype(np.uint32).tobytes(),
-        }
-    keys, ids = keys[many], ids[many]
-    bucket = (keys >> np.uint64(shift)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield {"bucket": int(bucket[a]), "key": keys[a:b].tobytes(), "docs": zlib.compress(ids[a:b].tobytes(), 1)}
-
-
-def _short(keys: np.ndarray, shift: int) -> np.ndarray:
-    """A key's bucket and the 32 bits after it, which is what step 1 compares."""
-    return keys >> np.uint64(shift - 32)
-
-
-def shared_anchors(docs: DataFrame, bits: int, many: int) -> DataFrame:
-    """(doc_id, key, hot) of the anchors that several of ``docs`` (doc_id, text) have; hot: more than ``many``.
-
-    The first ``bits`` bits of a hash are its task.
-    """
-    shift = 64 - bits
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("slot", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, size = [], [], 0
-        for b, texts in _sliced(batches, 1):
-            doc, *_, key = runs(texts)
-            ids.append(_ids(b.column(0))[doc])
-            keys.append(key)
-            size += sum(map(len, texts))
-            if size >= CHUNK:
-                yield pa.RecordBatch.from_pylist(list(_send_anchors(np.concatenate(ids), np.concatenate(keys), shift)), schema)
-                ids, keys, size = [], [], 0
-        if sum(map(len, keys)):
-            yield pa.RecordBatch.from_pylist(list(_send_anchors(np.concatenate(ids), np.concatenate(keys), shift)), schema)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, keys, ids, counts = ["doc_id", "key", "hot"], [], [], []
-        told = []
-        for b in batches:
-            for bucket, key, slot, docs_, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if slot is None:  # repeats inside one chunk
-                    told.append((_short(np.frombuffer(key, np.uint64), shift), np.frombuffer(zlib.decompress(docs_), np.int64)))
-                    continue
-                low = np.frombuffer(key, np.uint32).astype(np.uint64)
-                numbers = np.cumsum(np.frombuffer(zlib.decompress(docs_), np.int64))
-                slots = np.frombuffer(slot, np.uint16 if len(slot) == 2 * len(low) else np.uint32)
-                n = np.ones(len(low), np.int64)
-                n[slots == len(numbers)] = np.frombuffer(count, np.uint32)
-                keys.append(low | np.uint64(bucket << 32))
-                ids.append(np.concatenate([numbers, [0]])[slots])
-                counts.append(n)
-        if not keys:
-            return
-        keys_, ids_, counts_ = np.concatenate(keys), np.concatenate(ids), np.concatenate(counts)
-        order = np.argsort(keys_, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], keys_[order][1:] != keys_[order][:-1]]))
-        size = np.diff(np.concatenate([start, [len(order)]]))
-        n_docs = np.add.reduceat(counts_[order], start)
-        known, per_row = keys_[order][start], np.repeat(n_docs, size)
-        single = counts_[order] == 1
-        pick = single & (per_row > 1)
-        out = [(ids_[order][pick], keys_[order][pick], per_row[pick] > many)]
-        for k, d in told:
-            out.append((d, k, n_docs[np.searchsorted(known, k)] > many))
-        for d, k, h in out:
-            for a in range(0, len(d), 1 << 16):
-                s = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(k[s].view(np.int64)), pa.array(h[s])], names)
-
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, key binary, slot binary, docs binary, counts binary")
-    dealt = sent.repartitionById(1 << bits, F.col("bucket"))
-    return dealt.mapInArrow(meet, "doc_id long, key long, hot boolean")
+def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    for b, texts in _sliced(batches, 1):
+        doc, *_, key = runs(texts)
+        yield _ids(b.column(0))[doc], key, sum(map(len, texts))
 
 
 class SuffixLevels:
-    """Levels of sorted strings, each with the smallest document it starts in."""
+    """A logarithmic family of suffix arrays over one text.
 
-    def __init__(self) -> None:
+    A level is the places of distinct strings of ``LENGTH`` bytes in sorted order, each with the smallest document it starts in.
+    """
+
+    def __init__(self, text: np.ndarray) -> None:
+        self.text = text
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Index a batch, by ascending document, of no smaller documents than before; return which of its strings start in a smaller one."""
+    def add(self, places: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Index the strings at the ``places`` of a batch, by ascending document, of no smaller documents than before; return which start in a smaller one."""
+        strings = _windows(self.text, places)
         order = np.argsort(strings, kind="stable")
         ranked = strings[order]
         start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        least, own = docs[order][start], ranked[start]
+        array, least, own = places[order][start], docs[order][start], ranked[start]
         size = np.diff(np.concatenate([start, [len(ranked)]]))
         for level, level_docs in self.levels:
-            at = np.minimum(np.searchsorted(level, own), len(level) - 1)
-            least = np.where(level[at] == own, np.minimum(level_docs[at], least), least)
+            mine, theirs = self._meet(own, level)
+            least[mine] = np.minimum(least[mine], level_docs[theirs])
         smaller = np.empty(len(strings), bool)
         smaller[order] = np.repeat(least, size) < docs[order]
-        self.levels.append((own, least))
+        self.levels.append((array, least))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
             self._merge()
         return smaller
 
+    def _scan(self, own: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of a level's strings and then ``own``, both sorted, and which are equal to the one before: a merge of two runs."""
+        both = np.concatenate([_windows(self.text, level), own])
+        order = np.argsort(both, kind="stable")  # a stable sort merges two sorted runs in one pass
+        ranked = both[order]
+        return order, np.concatenate([[False], ranked[1:] == ranked[:-1]])
+
+    def _meet(self, own: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``own`` strings and those of a level are equal."""
+        order, same = self._scan(own, level)
+        at = np.flatnonzero(same)
+        return order[at] - len(level), order[at - 1]
+
     def _merge(self) -> None:
         (a, a_docs), (b, b_docs) = self.levels[-2:]
-        both, docs = np.concatenate([a, b]), np.concatenate([a_docs, b_docs])
-        order = np.argsort(both, kind="stable")  # two sorted runs: one pass
-        both, docs = both[order], docs[order]
-        start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        self.levels[-2:] = [(both[start], np.minimum.reduceat(docs, start))]
+        order, same = self._scan(_windows(self.text, b), a)
+        start = np.flatnonzero(~same)
+        docs = np.minimum.reduceat(np.concatenate([a_docs, b_docs])[order], start)
+        self.levels[-2:] = [(np.concatenate([a, b])[order][start], docs)]
 
 
 def _windows(data: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -272,7 +196,7 @@ def _packed(places: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _send_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+def _send_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows of step 2 of (doc_id, text, keys, hot keys); rows without a key are answers.
 
     Of equal runs in a chunk the smallest document's goes on, once with all its places; the others are answered.
@@ -283,9 +207,17 @@ def _send_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Rec
     def flush() -> Iterator[pa.RecordBatch]:
         ids, tags, firsts, n, keys, hashes = (np.concatenate(c) for c in zip(*(h[:6] for h in held), strict=True))
         strings = [s for h in held for s in h[6]]
-        order = np.lexsort((firsts, tags, ids, hashes))
+        while True:
+            order = np.lexsort((firsts, tags, ids, hashes))
+            group = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+            size = np.diff(np.concatenate([group, [len(order)]]))
+            first, at = np.repeat(order[group], size), np.repeat(size > 1, size)
+            # equal hashes count only with equal bytes; runs of one hash but other bytes get a number of their own
+            other = [i for i, f in zip(order[at].tolist(), first[at].tolist(), strict=True) if strings[i] != strings[f]]
+            if not other:
+                break
+            hashes[other] = _mix(hashes[other] + np.arange(1, len(other) + 1, dtype=np.uint64))
         ids, tags, firsts, n, keys, hashes = (c[order] for c in (ids, tags, firsts, n, keys, hashes))
-        group = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         least = np.repeat(ids[group], np.diff(np.concatenate([group, [len(ids)]])))
         done = np.flatnonzero(ids > least)
         if len(done):
@@ -305,14 +237,14 @@ def _send_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Rec
 
     for b, texts in _sliced(batches, 1):
         doc, first, last, _, key = runs(texts)
-        short = _short(key, shift).view(np.int64)
+        short = shared.short(key, bits).view(np.int64)
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         wanted, hot = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-        for i, (shared, very) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+        for i, (asked, very) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
             a, z = bounds[i], bounds[i + 1]
-            if shared and z > a:
-                wanted[a:z] = np.isin(short[a:z], np.array(shared, np.int64))
+            if asked and z > a:
+                wanted[a:z] = np.isin(short[a:z], np.array(asked, np.int64))
                 if very:
                     hot[a:z] = np.isin(short[a:z], np.array(very, np.int64))
         w = np.flatnonzero(wanted)
@@ -357,13 +289,13 @@ def _index(table: pa.Table) -> Iterator[pa.RecordBatch]:
     strings = pa.concat_arrays(table.column(5).chunks)
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
     data = np.frombuffer(strings.buffers()[2], np.uint8)
-    order, levels = np.argsort(ids, kind="stable"), SuffixLevels()
+    order, levels = np.argsort(ids, kind="stable"), SuffixLevels(data)
     for part in np.array_split(order, BATCHES):
         if not len(part):
             continue
         row = np.repeat(part, n[part])
         at = np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-        smaller = levels.add(_windows(data, offsets[row] + at), ids[row])
+        smaller = levels.add(offsets[row] + at, ids[row])
         r, a, b = _ranges(row[smaller], at[smaller])
         k = (borders[1:] - borders[:-1])[r]  # each range at every place of its run
         each = np.repeat(np.arange(len(r)), k)
@@ -447,12 +379,12 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     writer.bucketBy(buckets, "doc_id").saveAsTable(name)
     lying = spark.table(name)
 
-    bits = min(max(1, (max(buckets, total // 15 // ANCHORS) - 1).bit_length()), 24)
+    bits = shared.bits_for(total // 15, buckets)
     judged = lying.filter("not copy and doc_id is not null").select("doc_id", "text")
-    shared = shared_anchors(judged, bits, hot)
-    keys = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("very"))
+    anchors = shared.shared_keys(judged, _anchor_keys, bits, hot)
+    keys = anchors.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("very"))
     asked = judged.join(keys, "doc_id").select("doc_id", "text", "keys", "very")
-    sent = asked.mapInArrow(lambda it: _send_runs(it, 64 - bits), "key long, doc_id long, tag long, starts binary, n long, strings binary")
+    sent = asked.mapInArrow(lambda it: _send_runs(it, bits), "key long, doc_id long, tag long, starts binary, n long, strings binary")
     tasks = max(buckets, total // (32 << 20))
     spread = F.coalesce("key", F.xxhash64("doc_id", "starts"))
     dealt = sent.repartition(tasks, spread).sortWithinPartitions("key")
@@ -470,6 +402,6 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             )
 
     final = lying.join(ranges, "doc_id", "left").select("doc_id", "text", "carried", "copy", "tags", "starts", "ends")
-    kind = lying.schema["carried"].dataType.simpleString()
-    out = final.mapInArrow(apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, carried {kind}")
+    longs = [StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    out = final.mapInArrow(apply, StructType([*longs, StructField("kept", BinaryType()), lying.schema["carried"]]))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *([F.col(f"carried.`{c}`") for c in more]))

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,15 +207,43 @@ def test_suffix_dedup_of_an_empty_table(spark):
 
 def test_suffix_levels_merge_and_find():
     rng = np.random.default_rng(2)
-    index, seen = suffix_dedup.SuffixLevels(), {}
+    strings = [bytes(rng.integers(97, 100, 3).astype(np.uint8)).ljust(50, b"x") for _ in range(800)]
+    index, seen = suffix_dedup.SuffixLevels(np.frombuffer(b"".join(strings), np.uint8)), {}
     for batch in range(20):
-        strings = np.array([bytes(rng.integers(97, 100, 3).astype(np.uint8)).ljust(50, b"x") for _ in range(40)], "S50")
-        docs = np.full(40, batch)
-        want = [seen.get(s, batch) < batch for s in strings.tolist()]
-        assert index.add(strings, docs).tolist() == want
-        for s in strings.tolist():
-            seen.setdefault(s, batch)
-    assert len(index.levels) <= 6
+        own = range(40 * batch, 40 * batch + 40)
+        want = [seen.get(strings[i], batch) < batch for i in own]
+        assert index.add(50 * np.array(own), np.full(40, batch)).tolist() == want
+        for i in own:
+            seen.setdefault(strings[i], batch)
+    assert len(index.levels) <= 6 and sum(len(level) for level, _ in index.levels) < 200
+
+
+def test_suffix_family_grows_geometrically():
+    """Levels stay few while batches come in, and hold places, not strings."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 256, 64_000).astype(np.uint8)
+    index = suffix_dedup.SuffixLevels(text)
+    for batch in range(64):
+        assert not index.add(np.arange(1000 * batch, min(1000 * batch + 1000, len(text) - 49)), np.full(min(1000, len(text) - 49 - 1000 * batch), batch)).any()
+        assert len(index.levels) <= 8
+    repeats = index.add(np.arange(5000, 5100), np.full(100, 99))
+    assert repeats.all()
+
+
+@pytest.mark.parametrize("same", [0, 1])
+def test_equal_hashes_of_other_bytes(spark, monkeypatch, same):
+    """Runs whose hashes all collide are told apart by their bytes."""
+    monkeypatch.setattr(suffix_dedup.xxhash, "xxh64_intdigest", lambda s: 5 if same and len(s) < 200 else hash(s) & (1 << 64) - 1)
+    texts = [b"a" * 10 + bytes(range(48, 108)) + b"b" * k for k in range(4)] + [bytes(range(40, 100)) * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(texts), pa.array([None] * 5, pa.list_(pa.int64())), pa.array([None] * 5, pa.list_(pa.int64()))], ["a", "b", "c", "d"])
+    keys = suffix_dedup.runs(texts)[-1]
+    wanted = [suffix_dedup.shared.short(keys, 4).view(np.int64).tolist()] * 5
+    batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wanted), pa.array([[]] * 5, pa.list_(pa.int64()))], ["a", "b", "c", "d"])
+    rows = [r for b in suffix_dedup._send_runs(iter([batch]), 4) for r in b.to_pylist()]
+    sent = [r["strings"] for r in rows if r["key"] is not None]
+    _, first, last, *_ = suffix_dedup.runs(texts)
+    joined = b"".join(texts)
+    assert set(sent) == {joined[a : z + 50] for a, z in zip(first.tolist(), last.tolist())}
 
 
 # 5
