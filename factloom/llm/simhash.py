@@ -94,11 +94,12 @@ class Planes:
 
     def __init__(self, fps: np.ndarray, radius: int):
         n, width = fps.shape
-        bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, width * 8), axis=1, bitorder="little")
         words = -(-n // 64) + 2
-        flat = np.zeros((bits.shape[1], words * 64), np.uint8)
-        flat[:, :n] = bits.T
-        self.planes = np.packbits(flat, axis=1, bitorder="little").view("<u8")
+        self.planes = np.empty((64 * width, words), "<u8")
+        flat = np.zeros((64, words * 64), np.uint8)
+        for w in range(width):  # one word at a time, which keeps the unpacked bits few
+            flat[:, :n] = np.unpackbits(np.ascontiguousarray(fps[:, w]).astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+            self.planes[64 * w : 64 * w + 64] = np.packbits(flat, axis=1, bitorder="little").view("<u8")
         self.radius = radius
         # counters start so that they run over at radius + 1
         self.counters = (radius + 1).bit_length()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import LatinEncoder, gathered, latin_pieces, names_of, packed, slices, splits_latin, texts_of
+from factloom.llm.bpe import LatinEncoder, flat, gathered, latin_pieces, names_of, packed, slices, splits_latin, texts_of
 from factloom.llm.common import new_path, staged
 
 #: Header of a block: magic, global number of the first token, documents, control bytes, data bytes.
@@ -146,12 +146,6 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def flat(column: pa.Array, dtype: np.dtype) -> np.ndarray:
-    """The values of all rows of a binary column one after another."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(dtype) if len(column) else np.zeros(0, dtype)
-
-
 def encode_codes(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Control bytes, data bytes, and data bytes of each document; ``counts`` ranks a document, which starts a new control byte."""
     slots = -(-counts // 4) * 4
