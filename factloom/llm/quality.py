@@ -3,8 +3,8 @@
 A classifier of the text gives each document a probability of good quality. Sites are hosts with
 paths below them: the mean of a host is shrunk toward the global mean and that of a path toward its host's, by
 pseudo-counts that the method of moments takes from how much means differ between hosts and between
-the paths of a host. A document's odds are its text's likelihood ratio times the odds of its path,
-without its own share in them.
+the paths of a host. A document's odds are its text's likelihood ratio times the odds of its path; its own share is
+taken out of the means of its path and of its host.
 
 All statistics are sums grouped by path first, then by host, then overall, so a host with a third
 of all rows is partial sums before it is shuffled.
@@ -95,8 +95,8 @@ def _strength(groups: DataFrame, mean: Column, spread: Column) -> float:
     return float(min(1e6, max(1.0, got["all"] / got["n"] / excess))) if excess > 1e-12 else 1e6
 
 
-def site_posteriors(scores: DataFrame) -> tuple[DataFrame, float, float]:
-    """(host, path, n, s, host_mean) of all paths, the pseudo-counts below a host, and the global mean."""
+def site_posteriors(scores: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host, path, n, s, host_n, host_s, host_mean) of all paths, the pseudo-counts below a host and below the whole, and the global mean."""
     paths = staged(
         scores.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_text").alias("s"), F.sum(F.col("p_text") ** 2).alias("ss")), "paths"
     )
@@ -105,9 +105,11 @@ def site_posteriors(scores: DataFrame) -> tuple[DataFrame, float, float]:
     mean = float(min(1 - 1e-6, max(1e-6, total["s"] / total["n"]))) if total["n"] else 0.5
     spread = F.col("ss") - F.col("s") ** 2 / F.col("n")
     per_host = _strength(hosts, F.lit(mean), spread)
-    means = hosts.select(F.col("host").alias("_host"), ((F.col("s") + per_host * mean) / (F.col("n") + per_host)).alias("host_mean"))
+    means = hosts.select(
+        F.col("host").alias("_host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + per_host * mean) / (F.col("n") + per_host)).alias("host_mean")
+    )
     joined = staged(paths.join(means, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "path-means")
-    return joined, _strength(joined, F.col("host_mean"), spread), mean
+    return joined, _strength(joined, F.col("host_mean"), spread), per_host, mean
 
 
 def grade(docs: DataFrame, model: TextModel, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
@@ -116,12 +118,14 @@ def grade(docs: DataFrame, model: TextModel, host: str = "source", path: str = "
     host, path: columns of ``docs``; ``url_host`` and ``url_path`` make them of URLs.
     """
     scores = staged(text_scores(docs, model, host, path), "text-scores")
-    paths, strength, mean = site_posteriors(scores)
-    paths = paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_mean")
+    paths, strength, per_host, mean = site_posteriors(scores)
+    paths = paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_n", "host_s")
     joined = scores.join(paths, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    site = (F.col("s") - F.col("p_text") + strength * F.col("host_mean")) / (F.col("n") - 1 + strength)
-    joined = joined.withColumn("p_path", F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    inside = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    joined = joined.withColumn("p_host", inside((F.col("host_s") - F.col("p_text") + per_host * mean) / (F.col("host_n") - 1 + per_host)))
+    site = (F.col("s") - F.col("p_text") + strength * F.col("p_host")) / (F.col("n") - 1 + strength)
+    joined = joined.withColumn("p_path", inside(site))
     odds = lambda c: c / (1 - c)
     final = odds(F.col("p_text")) / (mean / (1 - mean)) * odds(F.col("p_path"))
     joined = joined.withColumn("p_good", final / (1 + final))
-    return joined.select("doc_id", "host", "path", "p_text", F.col("host_mean").alias("p_host"), "p_path", "p_good", (F.col("p_good") >= threshold).alias("keep"))
+    return joined.select("doc_id", "host", "path", "p_text", "p_host", "p_path", "p_good", (F.col("p_good") >= threshold).alias("keep"))

@@ -62,16 +62,12 @@ class Features:
         return np.array([self.row(t) for t in texts]).reshape(len(texts), self.size)
 
 
-def choose_terms(texts: list[bytes], y: np.ndarray, most: int) -> dict[bytes, int]:
-    """The terms that tell the two classes apart best by a two-proportion score, ties by term.
+def _best_terms(yes: Counter, no: Counter, n1: int, n0: int, most: int) -> list[bytes]:
+    """The terms that tell two classes of ``n1`` and ``n0`` documents apart best by a two-proportion score, ties by term.
 
     Of terms with one beginning and equal counts, which the same documents hold, one stays.
     """
-    yes, no = Counter(), Counter()
-    for t, v in zip(texts, y.tolist(), strict=True):
-        (yes if v else no).update(terms_of(set(words_of(t))))
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    scored = []
+    n1, n0, scored = max(1, n1), max(1, n0), []
     for w in yes.keys() | no.keys():
         a, b = yes[w], no[w]
         if a + b < 4:
@@ -83,7 +79,38 @@ def choose_terms(texts: list[bytes], y: np.ndarray, most: int) -> dict[bytes, in
         chosen.setdefault(same, w)
         if len(chosen) >= most:
             break
-    return {w: i for i, w in enumerate(chosen.values())}
+    return list(chosen.values())
+
+
+def _counts(texts: list[bytes], y: np.ndarray) -> tuple[Counter, Counter]:
+    yes, no = Counter(), Counter()
+    for t, v in zip(texts, y.tolist(), strict=True):
+        (yes if v else no).update(terms_of(set(words_of(t))))
+    return yes, no
+
+
+def choose_terms(texts: list[bytes], y: np.ndarray, most: int) -> dict[bytes, int]:
+    """The terms that tell the two classes apart best."""
+    best = _best_terms(*_counts(texts, y), int(y.sum()), int(len(y) - y.sum()), most)
+    return {w: i for i, w in enumerate(best)}
+
+
+def fold_matrices(texts: list[bytes], y: np.ndarray, most: int, k: int) -> list[np.ndarray]:
+    """The features of all texts for each of ``k`` folds, with terms chosen without the texts of that fold."""
+    fold = folds(len(texts), k)
+    own = [_counts([t for t, g in zip(texts, fold.tolist(), strict=True) if g == f], y[fold == f]) for f in range(k)]
+    yes, no = sum((c[0] for c in own), Counter()), sum((c[1] for c in own), Counter())
+    chosen = []
+    for f in range(k):
+        n1 = int(y[fold != f].sum())
+        chosen.append(_best_terms(yes - own[f][0], no - own[f][1], n1, int((fold != f).sum()) - n1, most))
+    union = Features({w: i for i, w in enumerate(dict.fromkeys(w for c in chosen for w in c))})
+    x, first = union.matrix(texts), union.size - len(union.terms)
+    out = []
+    for terms in chosen:
+        columns = x[:, [first + union.terms[w] for w in terms]]
+        out.append(np.c_[x[:, : first - 1], np.log1p(columns.sum(axis=1)), columns])
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,12 +149,12 @@ def folds(n: int, k: int) -> np.ndarray:
     return np.arange(n) % k
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, sample_weights: np.ndarray, k: int) -> np.ndarray:
-    """Each row's probability by a model that was fitted without its fold."""
-    out, fold = np.full(len(y), y.mean() if len(y) else 0.0), folds(len(y), k)
-    for f in range(k):
+def out_of_fold(matrices: list[np.ndarray], y: np.ndarray, sample_weights: np.ndarray) -> np.ndarray:
+    """Each row's probability by a model that was fitted without its fold, on that fold's matrix of features."""
+    out, fold = np.full(len(y), y.mean() if len(y) else 0.0), folds(len(y), len(matrices))
+    for f, x in enumerate(matrices):
         train = fold != f
-        if train.any() and not train.all():
+        if train.any() and not train.all() and y[train].min() < y[train].max():
             out[~train] = fit(x[train], y[train], sample_weights[train]).predict(x[~train])
     return out
 
@@ -143,11 +170,11 @@ def threshold(p: np.ndarray, y: np.ndarray, sample_weights: np.ndarray) -> float
     return float((q[i] + (q[i + 1] if i + 1 < len(q) else 0.0)) / 2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
-    """(texts, labels, weights, label rows) of at most ``most`` labelled documents, in a seeded order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, most_bytes: int = 1 << 16) -> tuple[list[bytes], np.ndarray, np.ndarray, list]:
+    """(texts, labels, weights, label rows) of at most ``most`` labelled documents of at most ``most_bytes``, in a seeded order.
 
     Up to half are positive rows, the least by a hash of their id; weights restore the shares of the classes.
-    A document with several labels takes the greatest.
+    A document with several labels takes the greatest, one with several texts the least.
     """
     value = [c for c in labels.columns if c != "doc_id"]
     rows = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in value])
@@ -155,10 +182,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int)
     totals = {bool(r["y"]): r["n"] for r in rows.groupBy((F.col(column) > 0).alias("y")).count().withColumnRenamed("count", "n").collect()}
     parts = [rows.filter(F.col(column) > 0).orderBy(*order).limit(most // 2), rows.filter(F.col(column) <= 0).orderBy(*order).limit(most // 2)]
     picked = parts[0].unionByName(parts[1])
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # at most ``most`` rows
-    got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: (r["doc_id"] * 2654435761) % 4294967296)
+    # at most ``most`` ids go out and as many texts of bounded size come back
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    texts = texts.join(F.broadcast(picked.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = sorted(texts.join(picked, "doc_id").collect(), key=lambda r: ((r["doc_id"] * 2654435761) % 4294967296, r["doc_id"]))
     y = np.array([float(r[column] > 0) for r in got])
     n = {v: max(1, int((y == v).sum())) for v in (0.0, 1.0)}
     weights = np.array([totals.get(bool(v), 1) / n[v] for v in y.tolist()])
     weights *= len(y) / max(weights.sum(), 1e-9) if len(y) else 1
-    return [(r["text"] or "").encode() for r in got], y, weights, got
+    return [r["text"].encode() for r in got], y, weights, got

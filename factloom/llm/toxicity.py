@@ -1,12 +1,15 @@
 """Toxicity by a chain of classifiers.
 
-The chain predicts categories one after another: low quality, severe and toxic. Each is a logistic
+The chain predicts categories one after another: toxic junk (a toxic text of low quality), toxic prose (a toxic text
+of good quality) and toxic. All three are defined by the labels alone. Each is a logistic
 model of the text's features and of the probabilities of the categories before it; in training these
-are out-of-fold predictions, so a later model sees what it will see on new texts. The last
+are out-of-fold predictions, so a later model sees what it will see on new texts; the telling terms among the
+features are chosen anew without each fold. The last
 probability decides; its threshold has the best F1 on out-of-fold predictions.
 
 Training reads at most ``max_train`` labelled documents; with no positive or no negative label all
-probabilities are 0 or 1 of the class that is there (0 without labels).
+probabilities are 0 or 1 of the class that is there (0 without labels). Where labels tell no quality, the first two
+categories have no positive rows and the probability 0.
 
 Defined results: a null text is an empty one; repeated rows stay and score alike; an empty table
 gives no rows; other columns are ignored by ``score`` and kept by ``keep_clean``.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from factloom.llm import textmodel as tm
 
-CATEGORIES = ("low_quality", "severe", "toxic")
+CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 
 
 @dataclass
@@ -45,27 +48,24 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, terms: int = 128, k: int = 5) -> Chain:
-    """Fit the chain on at most ``max_train`` rows of ``labels`` (doc_id, quality, toxic).
-
-    severe: a toxic document with at least the median number of the toxic documents' telling terms.
-    """
+    """Fit the chain on at most ``max_train`` rows of ``labels`` (doc_id, quality, toxic)."""
     texts, toxic, weights, rows = tm.labelled_sample(docs, labels, "toxic", max_train)
     if not len(toxic) or toxic.min() == toxic.max():
         return Chain(tm.Features({}), [], 0.5, float(toxic.max(initial=0)))
     features = tm.Features(tm.choose_terms(texts, toxic, terms))
-    x = features.matrix(texts)
-    hits = x[:, features.size - len(features.terms) :].sum(axis=1)
-    severe = toxic * (hits >= np.median(hits[toxic > 0]))
-    low = np.array([float((r["quality"] if "quality" in r else None) == 0) for r in rows])
+    x, folded = features.matrix(texts), tm.fold_matrices(texts, toxic, terms, k)
+    quality = [r["quality"] if "quality" in r else None for r in rows]
+    junk = toxic * np.array([float(q is not None and q <= 0) for q in quality])
+    prose = toxic * np.array([float(q is not None and q > 0) for q in quality])
     models, before = [], []
-    for y in (low, severe, toxic):
-        inputs = np.c_[x, np.array(before).T] if before else x
+    for y in (junk, prose, toxic):
         if y.min() == y.max():
             models.append(float(y.max()))
             before.append(np.full(len(y), y.max()))
             continue
-        models.append(tm.fit(inputs, y, weights))
-        before.append(tm.out_of_fold(inputs, y, weights, k))
+        with_before = lambda m: np.c_[m, np.array(before).T] if before else m
+        models.append(tm.fit(with_before(x), y, weights))
+        before.append(tm.out_of_fold(list(map(with_before, folded)), y, weights))
     return Chain(features, models, tm.threshold(before[-1], toxic, weights))
 
 

@@ -43,7 +43,7 @@ def edge_docs(spark, ids=True):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(edge_rows(ids), SCHEMA)
-    clash = ["ids", "n_tokens", "fp", "node", "key", "value", "size", "target", "copy", "carried", "_o", "shard", "p_text", "n", "host", "path", "component_id", "part", "kept", "n_bytes", "n_removed", "n_spans", "carried", "row", "_id", "_copies", "_copy", "taken", "a.b"]
+    clash = ["ids", "n_tokens", "fp", "node", "key", "value", "size", "target", "copy", "carried", "_o", "shard", "p_text", "n", "host", "path", "component_id", "part", "kept", "n_bytes", "n_removed", "n_spans", "carried", "row", "_id", "_copies", "_copy", "taken"]
     return df.withColumns({c: F.lit(c) for c in clash}).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -382,12 +382,92 @@ def test_quality_on_held_out_rows(spark):
 def test_sparse_sites_shrink_to_their_priors(spark):
     rows = [("big", "x", 0.9)] * 200 + [("bad", "x", 0.1)] * 200 + [("bad", "y", 0.9)] + [("new", "x", 0.9)]
     scores = spark.createDataFrame(rows, "host string, path string, p_text double")
-    paths, strength, mean = quality.site_posteriors(scores)
+    paths, strength, _, mean = quality.site_posteriors(scores)
     got = {(r["host"], r["path"]): (r["s"] + strength * r["host_mean"]) / (r["n"] + strength) for r in paths.collect()}
     assert abs(got["big", "x"] - 0.9) < 0.02 and got["bad", "y"] < 0.9 and 0.45 < mean < 0.55
     assert got["new", "x"] <= got["big", "x"]
 
 
+def brute_strength(groups, mean):
+    """Pseudo-counts by the method of moments of groups of values around ``mean(group)``."""
+    n, k = sum(map(len, groups.values())), len(groups)
+    between = sum(len(v) * (np.mean(v) - mean(g)) ** 2 for g, v in groups.items()) / n
+    within = sum(np.sum((np.array(v) - np.mean(v)) ** 2) for v in groups.values()) / n
+    all_ = sum(len(v) * mean(g) * (1 - mean(g)) for g, v in groups.items()) / n
+    excess = between - within * k / n
+    return min(1e6, max(1.0, all_ / excess)) if excess > 1e-12 else 1e6
+
+
+def test_posteriors_against_brute_force(spark):
+    """Hosts and paths of very different sizes, many with one document; each posterior by plain Python from all other documents."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(700):
+        host = "hot" if i % 3 == 0 else f"h{int(rng.integers(0, 60) ** 1.3)}"
+        rows.append((i, "good " * int(rng.integers(1, 9)), host if i % 50 else None, f"p{int(rng.integers(0, 4))}"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = quality.TextModel(tm.Features({}), None)
+    p = {i: float(np.clip(0.1 + 0.8 * (len(t) % 7) / 7 + 0.1 * (h == "hot"), 0, 1)) for i, t, h, _ in rows}
+    lookup = {t.encode(): None for _, t, *_ in rows}
+    model.predict = lambda texts: np.array([0.1 + 0.8 * (len(t) % 7) / 7 for t in texts])
+    p = {i: 0.1 + 0.8 * (len(t) % 7) / 7 for i, t, *_ in rows}
+    assert lookup
+    got = {r["doc_id"]: r for r in quality.grade(docs, model, "lang", "source").collect()}
+    hosts, paths = {}, {}
+    for i, _, h, q in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, q), []).append(p[i])
+    mean = np.mean(list(p.values()))
+    k1 = brute_strength(hosts, lambda g: mean)
+    host_mean = {h: (sum(v) + k1 * mean) / (len(v) + k1) for h, v in hosts.items()}
+    k2 = brute_strength(paths, lambda g: host_mean[g[0]])
+    assert sum(len(v) == 1 for v in paths.values()) > 20
+    for i, _, h, q in rows:
+        at_host = (sum(hosts[h]) - p[i] + k1 * mean) / (len(hosts[h]) - 1 + k1)
+        at_path = (sum(paths[h, q]) - p[i] + k2 * at_host) / (len(paths[h, q]) - 1 + k2)
+        odds = p[i] / (1 - p[i]) / (mean / (1 - mean)) * at_path / (1 - at_path)
+        assert abs(got[i]["p_host"] - at_host) < 1e-6 and abs(got[i]["p_path"] - at_path) < 1e-6 and abs(got[i]["p_good"] - odds / (1 + odds)) < 1e-6
+
+
+def test_chain_against_brute_force(spark):
+    """The chain's models by plain gradient descent, and its terms and out-of-fold inputs by plain loops."""
+    docs, labels, n = labelled(spark, 200)
+    chain = toxicity.train(docs, labels, terms=4, k=3)
+    texts, toxic, weights, rows = tm.labelled_sample(docs, labels, "toxic", 6000)
+    fold = np.arange(len(texts)) % 3
+
+    def descend(x, y, w):
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 0.05
+        z, b = np.c_[(x - mean) / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+        ridge = np.array([2.0] * x.shape[1] + [1e-3])
+        rate = 1 / (0.25 * np.linalg.norm((z * w[:, None]).T @ z, 2) + 2)
+        for _ in range(40000):
+            b -= rate * (z.T @ (w * (1 / (1 + np.exp(-z @ b)) - y)) + ridge * b)
+        return lambda v: 1 / (1 + np.exp(-np.c_[(v - mean) / scale, np.ones(len(v))] @ b))
+
+    junk = np.array([float(r["toxic"] > 0 and r["quality"] <= 0) for r in rows])
+    prose = np.array([float(r["toxic"] > 0 and r["quality"] > 0) for r in rows])
+    full = tm.Features(tm.choose_terms(texts, toxic, 4))
+    held, parts, want = [], [], []
+    for f in range(3):
+        keep = [t for t, g in zip(texts, fold) if g != f]
+        parts.append(tm.Features(tm.choose_terms(keep, toxic[fold != f], 4)).matrix(texts))
+    new = [t.encode() for t in ["tree vilefool hill", "RIVER!! STONE!! GRASS!!", "cloud wind"]]
+    for y in (junk, prose, toxic):
+        cols = lambda m, extra: np.c_[m, np.array(extra).T] if extra else m
+        if y.max() == 0:
+            held.append(np.zeros(len(y)))
+            want.append(np.zeros(len(new)))
+            continue
+        model = descend(cols(full.matrix(texts), held), y, weights)
+        own = np.full(len(y), y.mean())
+        for f in range(3):
+            own[fold == f] = descend(cols(parts[f], held)[fold != f], y[fold != f], weights[fold != f])(cols(parts[f], held)[fold == f])
+        want.append(model(cols(full.matrix(new), want)))
+        held.append(own)
+    assert np.abs(chain.predict(new) - np.array(want).T).max() < 0.02
+
+
 def test_url_parts(spark):
     df = spark.createDataFrame([("https://u@Blog.Example.com:80/en/7?x#y",), ("nothing",), (None,)], "u string")
     assert [tuple(r) for r in df.select(quality.url_host(F.col("u")), quality.url_path(F.col("u"))).collect()] == [("blog.example.com", "en"), ("", ""), (None, None)]
