@@ -2,9 +2,11 @@
 
 ``mux`` stores a payload as 8-bit mono PCM frames in a Matroska file: EBML header, segment, one
 audio track, clusters of laced simple blocks, and cues. ``packets`` parses any file of that
-container: variable-length element ids and sizes, unknown sizes, clusters, simple blocks and block
-groups, the four kinds of lacing (none, Xiph, fixed, EBML) and cues, giving one packet a frame with
-its track, timestamp and byte range. Features come from the packet table and the bytes it points to.
+container: variable-length element ids and sizes, unknown sizes, the timestamp scale, the tracks' frame
+durations, clusters, simple blocks and block groups with durations, the four kinds of lacing (none, Xiph,
+fixed, EBML) and cues, giving one packet a frame with its track, timestamp in nanoseconds and byte range. A laced
+frame follows the one before by its share of the block's duration, else by the track's frame duration, else at
+the same time. Features come from the packet table and the bytes it points to.
 
 Defined results: a null text is an empty payload, padded like any other; equal texts give equal
 files; repeated rows stay; an empty table gives none; other columns are ignored. A file that breaks
@@ -28,7 +30,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, DEFAULT_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0x23E383
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements whose content is elements.
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -37,6 +39,8 @@ NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = range(4)
 #: A frame's bytes (an 8-bit sample each), samples a second, frames in a laced block, blocks in a cluster.
 FRAME, RATE, LACED, BLOCKS = 576, 8000, 4, 32
 FRAME_MS = FRAME * 1000 // RATE
+#: Nanoseconds of a tick where a file does not say.
+TICK = 1_000_000
 
 
 class Packet(NamedTuple):
@@ -66,11 +70,11 @@ _HEAD = element(
     uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8)
     + element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2),
 )
-_SETUP = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"factloom") + element(WRITING_APP, b"factloom")) + element(
+_SETUP = element(INFO, uint(TIMESTAMP_SCALE, TICK) + element(MUXING_APP, b"factloom") + element(WRITING_APP, b"factloom")) + element(
     TRACKS,
     element(
         TRACK_ENTRY,
-        uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT")
+        uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(DEFAULT_DURATION, FRAME_MS * TICK) + element(CODEC_ID, b"A_PCM/INT/LIT")
         + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8)),
     ),
 )
@@ -181,24 +185,48 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
+def _setup(data: bytes, parts: list[tuple[int, int, int]]) -> tuple[int, dict[int, int]]:
+    """The nanoseconds of a tick, and those of a frame of each track that tells them."""
+    tick, frames = TICK, {}
+    for part, a, b in parts:
+        if part == INFO:
+            tick = next((_uint(data, x, y) for k, x, y in elements(data, a, b) if k == TIMESTAMP_SCALE), TICK)
+        elif part == TRACKS:
+            for entry, c, d in elements(data, a, b):
+                if entry == TRACK_ENTRY:
+                    own = {k: (x, y) for k, x, y in elements(data, c, d)}
+                    if TRACK_NUMBER in own and DEFAULT_DURATION in own:
+                        frames[_uint(data, *own[TRACK_NUMBER])] = _uint(data, *own[DEFAULT_DURATION])
+    return tick, frames
+
+
 def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]]]:
-    """The packet table and the cues (time, track, place of the cluster in the file) of a file."""
+    """The packet table and the cues (time in nanoseconds, track, place of the cluster in the file) of a file."""
     found: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     for kind, a, b in elements(data, 0, len(data)):
         if kind != SEGMENT:
             continue
-        for part, c, d in elements(data, a, b):
+        parts = list(elements(data, a, b))
+        tick, frame_of = _setup(data, parts)
+        for part, c, d in parts:
             if part == CLUSTER:
                 time = 0
                 for k, e, f in elements(data, c, d):
+                    duration, inside = None, [(k, e, f)] if k == SIMPLE_BLOCK else []
                     if k == TIMESTAMP:
                         time = _uint(data, e, f)
-                    for block, x, y in [(k, e, f)] if k == SIMPLE_BLOCK else [g for g in elements(data, e, f) if g[0] == BLOCK] if k == BLOCK_GROUP else ():
+                    elif k == BLOCK_GROUP:
+                        group = list(elements(data, e, f))
+                        inside = [g for g in group if g[0] == BLOCK]
+                        duration = next((tick * _uint(data, x, y) for g, x, y in group if g == BLOCK_DURATION), None)
+                    for block, x, y in inside:
                         track, x, _ = _vint(data, x)
                         offset, flags = struct.unpack_from(">hB", data, x)
-                        for i, (s, t) in enumerate(_frames(data, x + 3, y, flags >> 1 & 3)):
-                            found.append(Packet(track, time + offset + i * FRAME_MS, s, t, block == SIMPLE_BLOCK and bool(flags & 0x80)))
+                        ranges = _frames(data, x + 3, y, flags >> 1 & 3)
+                        step = frame_of.get(track, 0) if duration is None else duration // len(ranges)
+                        for i, (s, t) in enumerate(ranges):
+                            found.append(Packet(track, tick * (time + offset) + i * step, s, t, block == SIMPLE_BLOCK and bool(flags & 0x80)))
             elif part == CUES:
                 for point, e, f in elements(data, c, d):
                     if point == CUE_POINT:
@@ -207,7 +235,7 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]]]:
                         for k, x, y in inner:
                             if k == CUE_TRACK_POSITIONS:
                                 at = {z: _uint(data, v, w) for z, v, w in elements(data, x, y)}
-                                cues.append((time, at.get(CUE_TRACK, 0), a + at.get(CUE_CLUSTER_POSITION, 0)))
+                                cues.append((tick * time, at.get(CUE_TRACK, 0), a + at.get(CUE_CLUSTER_POSITION, 0)))
     return found, cues
 
 
@@ -243,7 +271,7 @@ def features(media: bytes) -> tuple[bytes, str]:
         level = int(samples.astype(np.int64).sum()) // len(samples)
         cross = int(np.count_nonzero(np.diff(samples >= 128)))
     last = max((p.timestamp for p in table), default=0)
-    end = last + FRAME_MS if table else 0
+    end = last // TICK + FRAME_MS if table else 0
     return raw, f"packets={len(table)};cues={len(cues)}/{good};ms={end};mean={level};crossings={cross};key={sum(p.key for p in table)}"
 
 

@@ -323,7 +323,31 @@ def test_lacings_parse(kind):
     unknown = media.SEGMENT.to_bytes(4, "big") + b"\x01\xff\xff\xff\xff\xff\xff\xff" + cluster
     data = media._HEAD + unknown
     table, _ = media.packets(data)
-    assert [data[p.start : p.end] for p in table] == frames and {p.track for p in table} == {3} and table[0].timestamp == 116
+    assert [data[p.start : p.end] for p in table] == frames and {p.track for p in table} == {3} and [p.timestamp for p in table] == [116_000_000] * len(frames)
+
+
+def test_timestamps_of_laced_frames():
+    """The timestamp scale, a track's frame duration and a block's own duration."""
+    frames = [b"x" * 4, b"y" * 9]
+    block = lambda track: media.size_bytes(track) + b"\x00\x02" + bytes([media.XIPH_LACING << 1]) + media.lace(frames, media.XIPH_LACING)
+    entry = lambda number, ns: media.element(media.TRACK_ENTRY, media.uint(media.TRACK_NUMBER, number) + (media.uint(media.DEFAULT_DURATION, ns) if ns else b""))
+    group = media.element(media.BLOCK_GROUP, media.element(media.BLOCK, block(2)) + media.uint(media.BLOCK_DURATION, 10))
+    cluster = media.element(media.CLUSTER, media.uint(media.TIMESTAMP, 7) + media.element(media.SIMPLE_BLOCK, block(1)) + group + media.element(media.SIMPLE_BLOCK, block(3)))
+    setup = media.element(media.INFO, media.uint(media.TIMESTAMP_SCALE, 1000)) + media.element(media.TRACKS, entry(1, 333) + entry(2, 50) + entry(3, 0))
+    table, _ = media.packets(media._HEAD + media.element(media.SEGMENT, cluster + setup))
+    assert [(p.track, p.timestamp) for p in table] == [(1, 9000), (1, 9333), (2, 9000), (2, 14000), (3, 9000), (3, 9000)]
+
+
+def test_media_features_against_the_payload(spark):
+    """Features by plain Python from the padded texts."""
+    got = {(r["doc_id"], r["n_bytes"]): r["feature"] for r in media.read_column(media.mux_column(edge_docs(spark))).collect()}
+    for i, t, *_ in edge_rows():
+        raw = (t or "").encode()
+        raw += b"\xff" * (-len(raw) % 576 if raw else 576)
+        n = len(raw) // 576
+        cues = -(-n // 128)
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(raw, raw[1:]))
+        assert got[i, len((t or "").encode())] == f"packets={n};cues={cues}/{cues};ms={72 * n};mean={sum(raw) // len(raw)};crossings={crossings};key={n}"
 
 
 def test_broken_media_raises():
