@@ -18,15 +18,16 @@ PHASES = ("syntax", "structure", "semantic", "security", "artifact")
 def pattern_scan(lines: DataFrame, patterns: list[dict]) -> DataFrame:
     """Findings of lines (file, line, text) for patterns (code, regex, topic, confidence, severity).
 
-    Every pattern is a column of one pass over the lines, not a join. The first match of a line counts.
+    Every pattern is a column of one pass over the lines, not a join. The first match of a line counts; an empty one is none.
     """
     hits = []
+    lines = lines.select("file", "line", "text", *[F.regexp_extract("text", p["regex"], 0).alias(f"_m{seq}") for seq, p in enumerate(patterns)])
     for seq, p in enumerate(patterns):
-        match = F.regexp_extract("text", p["regex"], 0)
+        match = F.col(f"_m{seq}")
         start = F.instr("text", match) - 1
         hits.append(
             F.when(
-                F.col("text").rlike(p["regex"]),
+                match != "",
                 F.struct(
                     F.lit(seq).alias("rule_seq"),
                     start.alias("start_char"),
@@ -154,14 +155,21 @@ def suppress(findings: DataFrame, directives: DataFrame, ranges: DataFrame | Non
     ``line * 2^20 + char``; files (file): suppressed as a whole. Patterns are expanded so that the match is an equi
     join. A suppressed finding does not bring back one that it demoted.
     """
-    wide = findings.withColumn("_id", F.struct("file", *RANGE, *ORDER)).withColumn("_p", F.explode(patterns_of()))
-    d = directives.select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("pattern").alias("_q"))
-    same = (F.col("file") == F.col("_f")) & (F.col("_p") == F.col("_q"))
-    hit = wide.join(d, same & (F.col("_l").isNull() | (F.col("_l") == F.col("start_line"))), "left_semi").select("_id")
+    patterns = lambda rows, *k: rows.groupBy(*k).agg(F.collect_set("pattern").alias("_q"))
+    whole = patterns(directives.filter("line is null"), "file").select(F.col("file").alias("_f0"), F.col("_q").alias("_q0"))
+    single = patterns(directives.filter("line is not null"), "file", "line").select(F.col("file").alias("_f1"), F.col("line").alias("_l1"), F.col("_q").alias("_q1"))
+    # a document's directives become one row, so findings are read once and joined on equality
+    rows = findings.withColumn("_p", patterns_of())
+    rows = rows.join(whole, F.col("file") == F.col("_f0"), "left")
+    rows = rows.join(single, (F.col("file") == F.col("_f1")) & (F.col("start_line") == F.col("_l1")), "left")
+    meets = lambda q: F.coalesce(F.arrays_overlap("_p", q), F.lit(False))
+    hit = meets("_q0") | meets("_q1")
     if ranges is not None:
-        r = ranges.select(F.col("file").alias("_f"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("pattern").alias("_q"))
-        hit = hit.unionByName(wide.join(r, same & packed("start_line", "start_char").between(F.col("_a"), F.col("_b")), "left_semi").select("_id"))
-    out = findings.withColumn("_id", F.struct("file", *RANGE, *ORDER)).join(hit.distinct(), "_id", "left_anti").drop("_id")
+        own = ranges.groupBy(F.col("file").alias("_f2")).agg(F.collect_set(F.struct("start", "end", "pattern")).alias("_r"))
+        rows = rows.join(own, F.col("file") == F.col("_f2"), "left")
+        at = packed("start_line", "start_char")
+        hit = hit | F.coalesce(F.exists("_r", lambda r: at.between(r["start"], r["end"]) & F.array_contains("_p", r["pattern"])), F.lit(False))
+    out = rows.filter(~hit).select(*findings.columns)
     return out if files is None else out.join(files.select("file"), "file", "left_anti")
 
 

@@ -149,10 +149,27 @@ def argument_refs(sources: list[DataFrame], context: str, name: str) -> DataFram
 
 
 def closest(missing: DataFrame, candidates: DataFrame, scope: list[str], k: int = 8, role: Column | None = None) -> DataFrame:
-    """O1: the ``k`` nearest candidates (scope, candidate) of each missing name (scope, name): by role rank, edit distance, name."""
-    pairs = missing.join(candidates, scope).withColumn("distance", F.levenshtein("name", "candidate"))
+    """O1: the ``k`` nearest candidates (scope, candidate) of each missing name (scope, name): by role rank, edit distance, name.
+
+    Without roles names meet candidates of near lengths only: those of the same length first, whose k-th best distance
+    bounds by how much the lengths of the others may differ; so the joins are on scope and length.
+    """
     order = ([role] if role is not None else []) + [F.col("distance"), F.col("candidate")]
     rank = F.row_number().over(W.partitionBy(*scope, "name").orderBy(*order))
+    if role is not None:
+        pairs = missing.join(candidates, scope).withColumn("distance", F.levenshtein("name", "candidate"))
+        return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    sized = candidates.withColumn("_n", F.length("candidate"))
+    asked = missing.withColumn("_n", F.length("name"))
+    same = asked.join(sized, [*scope, "_n"]).withColumn("distance", F.levenshtein("name", "candidate"))
+    first = same.withColumn("_r", rank).filter(F.col("_r") == k).select(*scope, "name", F.col("distance").alias("_most"))
+    lengths = sized.groupBy(*scope).agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+    bounded = asked.drop("_n").join(first, [*scope, "name"], "left").join(lengths, scope)
+    n = F.length("name")
+    low = F.greatest(F.col("_lo"), F.coalesce(n - F.col("_most"), F.col("_lo")))
+    high = F.least(F.col("_hi"), F.coalesce(n + F.col("_most"), F.col("_hi")))
+    wide = bounded.filter(low <= high).withColumn("_n", F.explode(F.sequence(low, high))).drop("_most", "_lo", "_hi")
+    pairs = wide.join(sized, [*scope, "_n"]).drop("_n").withColumn("distance", F.levenshtein("name", "candidate"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 

@@ -7,17 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float, buckets: int = 4096) -> DataFrame:
     """(keys, n, value) of the nearest-rank percentile: the sorted value number ceil(p n), at least the first. Nulls take no part.
 
-    Equal values are counted first, so a group's rows become one row for each distinct value.
+    Equal values are counted first; the counts of a key's buckets (equal parts of its range) tell which bucket holds the
+    rank, and only that bucket's values are ordered. So no task sees all values of a key.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(*keys)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "n": F.sum("_c").over(w)})
+    key = F.struct(*keys).alias("_k")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).select(key, F.col(value).alias("_v"), "_c")
+    spans = counts.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
+    as_double = lambda c: F.col(c).cast("double")
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((as_double("_v") - as_double("_lo")) / (as_double("_hi") - as_double("_lo")) * buckets)).otherwise(0)
+    placed = counts.join(spans, "_k").select("_k", "_v", "_c", "n", part.alias("_b"))
     want = F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
-    return ranked.filter(F.col("_upto") >= want).groupBy(*keys).agg(F.first("n").alias("n"), F.min(value).alias(value))
+    upto = lambda *k: F.sum("_c").over(W.partitionBy("_k").orderBy(*k).rowsBetween(W.unboundedPreceding, 0))
+    held = placed.groupBy("_k", "_b", "n").agg(F.sum("_c").alias("_c")).withColumn("_upto", upto("_b"))
+    held = held.filter((F.col("_upto") >= want) & (F.col("_upto") - F.col("_c") < want)).select("_k", "_b", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = placed.join(held, ["_k", "_b"]).withColumn("_upto", F.col("_before") + upto("_v"))
+    found = inside.filter(F.col("_upto") >= want).groupBy("_k").agg(F.first("n").alias("n"), F.min("_v").alias(value))
+    return found.select("_k.*", "n", value)
 
 
 def budget_check(measures: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -86,15 +94,30 @@ def unsorted(df: DataFrame, scope: list[str], ordinal: str, name: str) -> DataFr
 
 
 def tree_digest(files: DataFrame, keys: list[str], path: str, content: Column) -> DataFrame:
-    """(keys, digest): SHA-256 over the sorted lines ``shard:digest`` of a tree's 256 shards; a shard's digest is
-    that of its sorted lines ``path|sha256``, and a path's shard the first byte of its SHA-256.
+    """(keys, digest): a tree of digests. A leaf is the SHA-256 of the sorted lines ``path|sha256`` of the paths whose
+    SHA-256 begins with the same two bytes; a branch that of its sorted ``leaf:digest`` lines, by the first byte; the root of its branches.
 
-    Shards keep the lines of a large tree out of one group.
+    65,536 leaves and branches of at most 256 lines keep a large tree out of one group.
     """
-    lines = files.select(*keys, F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 2).alias("_s"), F.concat_ws("|", F.col(path).cast("string"), F.sha2(content, 256)).alias("_l"))
+    lines = files.select(*keys, F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 4).alias("_s"), F.concat_ws("|", F.col(path).cast("string"), F.sha2(content, 256)).alias("_l"))
     joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
-    shards = lines.groupBy(*keys, "_s").agg(joined("_l").alias("_d")).withColumn("_d", F.concat_ws(":", "_s", "_d"))
-    return shards.groupBy(*keys).agg(joined("_d").alias("digest"))
+    for width in (2, 0):
+        level = lines.groupBy(*keys, "_s").agg(joined("_l").alias("_d"))
+        lines = level.select(*keys, F.substring("_s", 1, width).alias("_s"), F.concat_ws(":", "_s", "_d").alias("_l"))
+    return lines.groupBy(*keys).agg(joined("_l").alias("digest"))
+
+
+def source_coverage(rows: DataFrame, sources: DataFrame, path: str = "path") -> DataFrame:
+    """(path) of sources that no row covers; a row's path covers itself or, ending in ``/*``, all paths below it.
+
+    A source's folders are exploded, so the match is on equality.
+    """
+    parts = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i - 1), "/"), F.when(i > 1, "/").otherwise(""), F.lit("*")))
+    asked = sources.select(path).distinct()
+    wide = asked.withColumn("_p", F.explode(F.concat(F.array(path), folders)))
+    covered = wide.join(rows.select(F.col(path).alias("_p")).distinct(), "_p", "left_semi").select(path).distinct()
+    return asked.join(covered, path, "left_anti")
 
 
 def audit_failures(rows: DataFrame, sources: DataFrame, key: str, text: str, vague: str) -> DataFrame:

@@ -472,6 +472,34 @@ def u3_union(spark, sf_dir):
     return out.select("file", "start_line", "code", "rule_seq")
 
 
+@query("""
+with s as (select distinct 'p/' || (page_id % 3) || '/q/' || (page_id % 40) as path from pages),
+r as (select distinct 'p/' || (doc_id % 3) || '/q/' || (doc_id % 23) as path from documents where doc_id % 3 <> 1 union all select 'p/1/*' union all select 'x/*')
+select path from s where not exists (select 1 from r where r.path = s.path or (right(r.path, 2) = '/*' and starts_with(s.path, left(r.path, -1))))""")
+def a20_coverage(spark, sf_dir):
+    """Sources that no row covers, by its path or a wildcard above it."""
+    path = lambda c, n: _text("p/", (F.col(c) % 3).cast("string"), "/q/", (F.col(c) % n).cast("string")).alias("path")
+    rows = _t(spark, sf_dir, "documents").filter("doc_id % 3 <> 1").select(path("doc_id", 23))
+    wild = spark.createDataFrame([("p/1/*",), ("x/*",)], "path string")
+    return telemetry.source_coverage(rows.unionByName(wild), _t(spark, sf_dir, "pages").select(path("page_id", 40)))
+
+
+@query("""
+select l_orderkey as target, round(sum(l_linenumber * (l_quantity::int * 60)) / 3600.0, 2) as hours, count(*) filter (l_returnflag = 'N') as failed, count(*) filter (l_linestatus = 'O') as off from lineitem group by all""")
+def a15_fuzz(spark, sf_dir):
+    """Hours and failures of each target's runs."""
+    lines, hours = _t(spark, sf_dir, "lineitem"), F.col("shards") * F.col("seconds_per_shard") / 3600
+    runs = lines.select(
+        F.col("l_orderkey").alias("target"), F.when(F.col("l_returnflag") == "N", "failed").otherwise("passed").alias("status"), F.col("l_linenumber").alias("shards"),
+        (F.col("l_quantity").cast("int") * 60).alias("seconds_per_shard"), F.col("l_linestatus").alias("s"),
+    )
+    runs = runs.withColumn("fuzz_hours", F.when(F.col("s") == "O", hours + 1).otherwise(hours))
+    _, failures = telemetry.fuzz_rollup(runs)
+    each = runs.groupBy("target").agg(F.round(F.sum(F.col("shards") * F.col("seconds_per_shard")) / 3600, 2).alias("hours"))
+    counted = failures.groupBy("target").agg(F.count_if(F.col("failure") == "status").alias("failed"), F.count_if(F.col("failure") == "hours").alias("off"))
+    return each.join(counted, "target", "left").select("target", "hours", F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("off", F.lit(0)).alias("off"))
+
+
 # --- column functions -------------------------------------------------------------------------------
 
 

@@ -297,27 +297,44 @@ def s6_idl(spark, sf_dir):
     return readers.idl_facts(docs).select("file", "name", "format")
 
 
-@query("select event_id, case when (props->>'k')::int < 50 then 'InstructionMissing' else 'AccountReallocExceedsLimit' end as name from events")
+@query("""
+with k as (select event_id, (props->>'k')::int as k, event_type as t, event_id % 5 as m from events)
+select event_id, case when k < 50 then 'InstructionMissing' else 'AccountReallocExceedsLimit' end as name from k where m <= 1 union all
+select event_id, case when t = 'error' then 'reject: malformed' when t = 'view' then 'reject: no evidence' else 'reject: discriminator' end from k where m = 2 and t in ('error', 'view', 'click') union all
+select event_id, 'InstructionMissing' from k where (m = 2 and t not in ('error', 'view', 'click')) or (m >= 3 and k % 13 < 8)""")
 def s3_invocations(spark, sf_dir):
     from factloom.operators import preflight
 
     k = F.get_json_object("props", "$.k").cast("int")
     single = F.lit('{"instruction":{"dataLen":3}}')
     listed = F.lit('{"invocations":[{"reallocs":[{"requestedDataIncrease":10241}]}]}')
-    docs = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(k < 50, single).otherwise(listed).alias("text"))
-    good, _ = readers.read_invocations(docs)
-    return preflight.preflight(good).select(F.col("id").alias("event_id"), "name")
+    # two forms of good documents, one whose length comes from the row, and three kinds that are rejected
+    bad = F.when(F.col("event_type") == "error", '{"instruction":').when(F.col("event_type") == "view", '{"note":1}')
+    bad = bad.when(F.col("event_type") == "click", '{"accounts":[{"expectedDiscriminator":"xyz"}]}').otherwise(single)
+    length = F.concat(F.lit('{"invocations":[{"instruction":{"dataLen":'), (k % 13).cast("string"), F.lit("}}]}"))
+    m = F.col("event_id") % 5
+    text = F.when((m <= 1) & (k < 50), single).when(m <= 1, listed).when(m == 2, bad).otherwise(length)
+    good, rejected = readers.read_invocations(_t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("text")))
+    out = preflight.preflight(good).select(F.col("id").alias("event_id"), "name")
+    return out.unionByName(rejected.select(F.col("id").alias("event_id"), F.concat(F.lit("reject: "), "reason").alias("name")))
 
 
-@query("select s_suppkey, case when s_acctbal < 0 then 'sha,license' else 'sha' end as failures from supplier")
+@query("""
+select s_suppkey, array_to_string(list_filter([case when s_suppkey % 7 = 0 then 'name' end, case when s_nationkey % 2 = 0 then 'repo' end, case when s_suppkey % 3 <> 0 then 'sha' end,
+  case when s_acctbal < 0 then 'license' end], lambda x: x is not null), ',') as failures from supplier""")
 def s8_manifest(spark, sf_dir):
-    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", F.replace("s_name", F.lit("#"), F.lit("-")).alias("name"), F.lit("https://host/r").alias("repo"), F.lit("head").alias("sha"), F.when(F.col("s_acctbal") >= 0, "MIT").alias("license"))
+    sha = F.when(F.col("s_suppkey") % 3 == 0, F.substring(F.sha2(F.col("s_name"), 256), 1, 40)).when(F.col("s_suppkey") % 3 == 1, "head")
+    repo = F.concat(F.when(F.col("s_nationkey") % 2 == 0, "git://").otherwise("https://"), F.lit("host/r"))
+    name = F.when(F.col("s_suppkey") % 7 == 0, F.col("s_name")).otherwise(F.replace("s_name", F.lit("#"), F.lit("-")))
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"), repo.alias("repo"), sha.alias("sha"), F.when(F.col("s_acctbal") >= 0, "MIT").alias("license"))
     return readers.corpus_manifest(rows).select("s_suppkey", F.array_join("failures", ",").alias("failures"))
 
 
-@query("""select source, '[' || string_agg('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}', ',' order by doc_id) || ']' as report from documents group by source""")
+@query(_findings_sql() + """
+select file, '{"rows":[' || string_agg('{"start_line":' || start_line || ',"code":"' || code || '"}', ',' order by start_line, code) || '],"totals":{"rows":' || count(*)
+  || ',"errors":' || count(*) filter (severity = 'error') || '}}' as report from f group by file""")
 def s11_report(spark, sf_dir):
-    return sinks.to_report(_t(spark, sf_dir, "documents"), "source", ["doc_id", "lang"])
+    return sinks.to_report(line_findings(spark, sf_dir), "file", ["start_line", "code"], {"errors": F.col("severity") == "error"})
 
 
 @query("""

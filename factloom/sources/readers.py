@@ -40,7 +40,7 @@ def read_invocations(documents: DataFrame, text: str = "text") -> tuple[DataFram
     rows = parsed.withColumn("_all", F.when(listed, F.col("_p.invocations")).when(single, F.array(top)))
     bad_hex = lambda x: x.isNotNull() & ~x.rlike(_DISCRIMINATOR)
     bad = F.exists("_all", lambda i: F.exists(F.coalesce(i["accounts"], F.expr("array()")), lambda a: bad_hex(a["expectedDiscriminator"]) | bad_hex(a["actualDiscriminator"])))
-    reason = F.when(F.col("_p").isNull(), "malformed").when(F.col("_all").isNull(), "no evidence").when(bad, "discriminator")
+    reason = F.when(F.try_parse_json(text).isNull(), "malformed").when(F.col("_all").isNull(), "no evidence").when(bad, "discriminator")
     rows = rows.withColumn("reason", reason)
     good = rows.filter("reason is null").select("id", F.posexplode("_all").alias("index", "invocation"))
     return good, rows.filter("reason is not null").select("id", "reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -43,9 +43,11 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "factloom") -> None:
     listed.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(tool).alias("tool"), "rules")).alias("value")).write.text(f"{path}/run")
 
 
-def to_report(files: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, report): one JSON document a file with its rows in order."""
-    return files.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("report"))
+def to_report(files: DataFrame, key: str, columns: list[str], totals: dict[str, Column] | None = None) -> DataFrame:
+    """(key, report): one JSON document a file with its rows in order and its totals. A key should be a file, whose rows are bounded."""
+    rows = F.sort_array(F.collect_list(F.struct(*columns))).alias("rows")
+    sums = F.struct(F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in (totals or {}).items()]).alias("totals")
+    return files.groupBy(key).agg(rows, sums).select(key, F.to_json(F.struct("rows", "totals")).alias("report"))
 
 
 def stream_findings(findings: DataFrame, path: str, key: str = "file"):
