@@ -67,9 +67,13 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes:
     v votes gains or loses at most v (|D| + P) / V + 1 seats, so only so many of its quotients are ranked: some three a party.
     """
     keys = list(dict.fromkeys(group + party))
+    parties = staged(parties, "mix-parties")  # it is read several times
     v, n = F.col(votes).cast("double"), F.col(seats)
     totals = parties.groupBy(*group).agg(F.sum(v).alias("_v"), F.count(F.lit(1)).alias("_p"))
-    start = parties.join(totals, group).withColumn("_r", F.when(F.col("_v") > 0, F.floor(v * n / F.col("_v") + 0.5)).otherwise(0).cast("long"))
+    start = parties.join(totals, group)
+    start = start.withColumn("_r", F.when(F.col("_v") > 0, F.floor(v * n / F.col("_v") + 0.5)).otherwise(0).cast("long"))
+    start = staged(start, "mix-start")
+    dropped(parties)
     given = start.groupBy(*group).agg(F.sum("_r").alias("_given"))
     start = start.join(given, group).withColumn("_d", F.when(F.col("_v") > 0, n - F.col("_given")).otherwise(0).cast("long"))
     most = F.least(F.abs("_d"), (F.floor(v * (F.abs("_d") + F.col("_p")) / F.col("_v")) + 2).cast("long"))
