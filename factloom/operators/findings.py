@@ -59,6 +59,15 @@ def level_of(c: Column) -> Column:
     return F.when(c.isin("off", "disabled", "false"), "off").when(c.isin("warn", "warning", "true"), "warn").when(c == "error", "error").when(c == "hint", "hint")
 
 
+def switched_off(settings: dict[str, bool], classes: dict[str, Column]) -> Column:
+    """whether a finding belongs to a class whose setting is off; a class without a setting is on."""
+    out = F.lit(False)
+    for name, member in classes.items():
+        if not settings.get(name, True):
+            out = out | F.coalesce(member, F.lit(False))
+    return out
+
+
 def apply_settings(findings: DataFrame, off_codes: Column, levels: DataFrame | None = None) -> DataFrame:
     """without the findings whose code a setting switches off; levels (config_key, level) rewrite severities.
 

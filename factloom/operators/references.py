@@ -81,6 +81,25 @@ def resolve_tiers(subjects: DataFrame, tiers: list[tuple[str, DataFrame]], key:
     return out.withColumn("tier", tier.otherwise(otherwise)).drop(*[f"_t{i}" for i in range(len(tiers))])
 
 
+def classify_framework(files: DataFrame, dependencies: DataFrame, by_dependency: list[tuple[str, list[str]]], by_hint: list[tuple[str, list[str]]], otherwise: str = "unknown") -> DataFrame:
+    """files (file, root, text) with ``framework``: the first id one of whose dependencies the root's manifest
+    (root, dependency) names; in roots without such a dependency the first id one of whose hints the text holds.
+    """
+    rank = None
+    for i, (_, names) in enumerate(by_dependency):
+        rank = (F if rank is None else rank).when(F.col("dependency").isin(*names), i)
+    ranked = dependencies.select("root", rank.alias("_r")).filter("_r is not null").groupBy("root").agg(F.min("_r").alias("_r"))
+    named = None
+    for i, (name, _) in enumerate(by_dependency):
+        named = (F if named is None else named).when(F.col("_r") == i, name)
+    for name, hints in by_hint:
+        held = F.lit(False)
+        for h in hints:
+            held = held | F.coalesce(F.col("text").contains(h), F.lit(False))
+        named = named.when(held, name)
+    return files.join(ranked, "root", "left").withColumn("framework", named.otherwise(otherwise)).drop("_r")
+
+
 def resolve_context(uses: DataFrame, local: DataFrame, workspace: DataFrame, structs: DataFrame, visible: Column) -> DataFrame:
     """Uses (name, ...) with ``state``: found, exists (no derive), silent (visibility unknown) or missing."""
     out = resolve_tiers(uses, [("found", local), ("found", workspace), ("exists", structs)], "name", "missing")

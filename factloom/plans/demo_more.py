@@ -117,6 +117,26 @@ def f3_settings(spark, sf_dir):
     return findings.apply_settings(rows, F.col("code") == "pipe", levels).select("file", "start_line", "code", "severity")
 
 
+@query(_findings_sql() + " select file, start_line, code from f where not (code = 'email' or topic like 'style%' and severity = 'hint' and confidence = 'low')")
+def f3_classes(spark, sf_dir):
+    """three classes of codes, two of them switched off."""
+    classes = {"pii": F.col("code") == "email", "style": F.col("topic").startswith("style") & (F.col("confidence") == "low"), "legal": F.col("topic") == "legal"}
+    off = findings.switched_off({"pii": False, "style": False, "legal": True}, classes)
+    return findings.apply_settings(line_findings(spark, sf_dir), off).select("file", "start_line", "code")
+
+
+@query("""
+with r as (select c_nationkey as root, min(case c_mktsegment when 'BUILDING' then 0 when 'MACHINERY' then 1 end) as k from customer where c_acctbal > 9500 group by all)
+select page_id as file, case k when 0 then 'first' when 1 then 'second' else case when contains(html, 'lang="de"') then 'first' when contains(html, 'lang="fr"') or contains(url, '/es/') and contains(html, '/es/') then 'third' else 'unknown' end end as framework
+from pages left join r on root = page_id % 25""")
+def f1_frameworks(spark, sf_dir):
+    """by a root's dependencies, else by hints in the text."""
+    files = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), (F.col("page_id") % 25).cast("int").alias("root"), F.concat(F.when(F.col("url").contains("/es/") & F.col("html").contains("/es/"), "spanish ").otherwise(""), "html").alias("text"))
+    deps = _t(spark, sf_dir, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("root"), F.col("c_mktsegment").alias("dependency"))
+    out = references.classify_framework(files, deps, [("first", ["BUILDING"]), ("second", ["MACHINERY"])], [("first", ['lang="de"']), ("third", ['lang="fr"', "spanish "])])
+    return out.select("file", "framework")
+
+
 _DIRECTIVES = {"click": "// allow: style.case, pii", "view": "// allow-file: legal", "error": "// ignore", "signup": "// ignore-file"}
 
 
