@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 
 #: Entries that a worker's caches hold at most (about 200 bytes each).
 CACHE = 1 << 18
-#: Bytes of text that are split at a time.
-SLICE_BYTES = 1 << 22
+#: Bytes of text that are split at a time; so small that what a worker holds for them stays in tens of megabytes.
+SLICE_BYTES = 1 << 20
 
 
 def byte_chars() -> dict[int, str]:
@@ -53,7 +53,7 @@ class PairTable:
         found = self.known.get(key)
         if found is None:
             found = self.apart(left, right, None)
-            if len(self.known) < CACHE:
+            if len(self.known) < CACHE // 2:
                 self.known[key] = found
         return found
 
@@ -182,7 +182,7 @@ class Encoder:
                 ids = self.pieces.get(piece)
                 if ids is None:
                     ids = np.array(self.merge(piece), self.dtype).tobytes()
-                    if len(self.pieces) < CACHE // 2:
+                    if len(self.pieces) < CACHE // 8:
                         self.pieces[piece] = ids
                 out.append(ids)
         return b"".join(out)
@@ -353,13 +353,13 @@ def encoder(path: str) -> Encoder:
     return (LatinEncoder if splits_latin(path) else Encoder)(path)
 
 
-def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Texts of about ``SLICE_BYTES`` together."""
+def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """Texts of about ``most`` bytes together."""
     some, size = [], 0
     for t in texts:
         some.append(t)
         size += len(t)
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield some
             some, size = [], 0
     yield some

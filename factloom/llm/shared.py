@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of input whose keys are gathered before they are sent, and keys that a task gets on average.
-CHUNK, KEYS = 1 << 25, 1 << 20
+CHUNK, KEYS = 1 << 25, 1 << 19
 #: Tasks that keys are dealt to, at most 2 ** MOST_BITS.
 MOST_BITS = 17
 
@@ -106,13 +106,15 @@ def shared_keys(rows: DataFrame, extract: Callable, bits: int, many: int = 1 <<
         if not keys:
             return
         keys_, ids_, counts_ = np.concatenate(keys), np.concatenate(ids), np.concatenate(counts)
+        keys.clear(), ids.clear(), counts.clear()
         order = np.argsort(keys_, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], keys_[order][1:] != keys_[order][:-1]]))
+        keys_, ids_, counts_ = keys_[order], ids_[order], counts_[order]
+        start = np.flatnonzero(np.concatenate([[True], keys_[1:] != keys_[:-1]]))
         size = np.diff(np.concatenate([start, [len(order)]]))
-        n_ids = np.add.reduceat(counts_[order], start)
-        known, per_row = keys_[order][start], np.repeat(n_ids, size)
-        pick = (counts_[order] == 1) & (per_row > 1)
-        out = [(ids_[order][pick], keys_[order][pick], per_row[pick] > many)]
+        n_ids = np.add.reduceat(counts_, start)
+        known, per_row = keys_[start], np.repeat(n_ids, size)
+        pick = (counts_ == 1) & (per_row > 1)
+        out = [(ids_[pick], keys_[pick], per_row[pick] > many)]
         for k, d in told:
             out.append((d, k, n_ids[np.searchsorted(known, k)] > many))
         for d, k, h in out:

@@ -70,7 +70,7 @@ def _best_terms(yes: Counter, no: Counter, n1: int, n0: int, most: int) -> list[
     n1, n0, scored = max(1, n1), max(1, n0), []
     for w in yes.keys() | no.keys():
         a, b = yes[w], no[w]
-        if a + b < 4:
+        if a + b < LEAST:
             continue
         p = (a + b + 1) / (n1 + n0 + 2)
         scored.append((-abs(a / n1 - b / n0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5, w, (w[:4], a, b)))
@@ -82,23 +82,36 @@ def _best_terms(yes: Counter, no: Counter, n1: int, n0: int, most: int) -> list[
     return list(chosen.values())
 
 
-def _counts(texts: list[bytes], y: np.ndarray) -> tuple[Counter, Counter]:
+#: Documents that a term must be in to be chosen.
+LEAST = 4
+
+
+def _frequent(texts: list[bytes]) -> set[bytes]:
+    """The terms that are in enough texts; the others, which are most, are not counted by class."""
+    total: Counter = Counter()
+    for t in texts:
+        total.update(terms_of(set(words_of(t))))
+    return {w for w, n in total.items() if n >= LEAST}
+
+
+def _counts(texts: list[bytes], y: np.ndarray, frequent: set[bytes]) -> tuple[Counter, Counter]:
     yes, no = Counter(), Counter()
     for t, v in zip(texts, y.tolist(), strict=True):
-        (yes if v else no).update(terms_of(set(words_of(t))))
+        (yes if v else no).update(terms_of(set(words_of(t))) & frequent)
     return yes, no
 
 
 def choose_terms(texts: list[bytes], y: np.ndarray, most: int) -> dict[bytes, int]:
     """The terms that tell the two classes apart best."""
-    best = _best_terms(*_counts(texts, y), int(y.sum()), int(len(y) - y.sum()), most)
+    best = _best_terms(*_counts(texts, y, _frequent(texts)), int(y.sum()), int(len(y) - y.sum()), most)
     return {w: i for i, w in enumerate(best)}
 
 
 def fold_matrices(texts: list[bytes], y: np.ndarray, most: int, k: int) -> list[np.ndarray]:
     """The features of all texts for each of ``k`` folds, with terms chosen without the texts of that fold."""
     fold = folds(len(texts), k)
-    own = [_counts([t for t, g in zip(texts, fold.tolist(), strict=True) if g == f], y[fold == f]) for f in range(k)]
+    frequent = _frequent(texts)
+    own = [_counts([t for t, g in zip(texts, fold.tolist(), strict=True) if g == f], y[fold == f], frequent) for f in range(k)]
     yes, no = sum((c[0] for c in own), Counter()), sum((c[1] for c in own), Counter())
     chosen = []
     for f in range(k):

@@ -34,8 +34,8 @@ from factloom.llm.common import new_path, staged
 
 #: Header of a block: magic, global number of the first token, documents, control bytes, data bytes.
 MAGIC, HEADER = b"TKB1", struct.Struct("<4sqqqq")
-#: Pieces that the library encodes in one call, and rows that are coded at a time.
-CALL_WORDS, ROWS = 256, 512
+#: Pieces that the library encodes in one call, bytes of text that are split and rows that are coded at a time.
+CALL_WORDS, TEXT_BYTES, ROWS = 256, 1 << 22, 512
 #: Pieces that a worker keeps at most (about 150 bytes each).
 CACHE = 1 << 19
 #: Files of a corpus and bytes of a file at least and at most, if the caller does not say.
@@ -214,7 +214,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         names, digest = ["doc_id", "n_tokens", "spread", "ids", "counts"], xxhash.xxh64_intdigest
         for b in batches:
             at = 0
-            for some in slices(texts_of(b.column(1))):
+            for some in slices(texts_of(b.column(1)), TEXT_BYTES):
                 ids, begins = enc.encode(some)
                 if end_id is not None:
                     ids = np.insert(ids, begins[1:], end_id)
