@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
-from factloom.operators import constraints, findings, graph, guards, preflight, references, reports, rules, telemetry
+from factloom.operators import artifacts, constraints, drift, findings, graph, guards, preflight, references, reports, rules, telemetry
 from factloom.plans.demo import _EVENTS_SQL, _INVOCATION_SQL, _by_day, _findings_sql, _t, call_edges, invocations_of, line_findings, lines_of, query
 from factloom.plans.demo_rules import _keys
 from factloom.sources import readers, sinks
@@ -384,6 +384,112 @@ def o6_sorted_unique(spark, sf_dir):
     return references.sorted_unique(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"), ["o_custkey", "o_orderpriority"])
 
 
+@query("""
+with s as (select l_orderkey as k, bool_and(l_linestatus = 'O') as st from lineitem group by all),
+f as (select l_orderkey as k, arg_min('f' || l_suppkey, (l_partkey, l_suppkey)) as scope from lineitem where l_returnflag = 'R' group by all)
+select k as l_orderkey, scope as scope_field from s left join f using (k) where st""")
+def f11_hints(spark, sf_dir):
+    """static-only addresses with the first sibling field of a scoping type."""
+    lines = _t(spark, sf_dir, "lineitem")
+    seed = F.when(F.col("l_linestatus") == "O", F.lit('b"open"')).otherwise(F.lit("f()"))
+    pda = lines.groupBy(F.col("l_orderkey").alias("container")).agg(F.collect_list(seed).alias("seeds")).withColumns({"seed_kind": F.lit("list"), "bump_kind": F.lit("missing")})
+    fields = lines.select(F.col("l_orderkey").alias("container"), _text("f", F.col("l_suppkey").cast("string")).alias("name"), F.col("l_returnflag").alias("type_name"), F.struct("l_partkey", "l_suppkey").alias("ordinal"))
+    return constraints.static_seed_hints(pda, fields, ["R"]).select(F.col("container").alias("l_orderkey"), "scope_field")
+
+
+@query("""
+with p as (select p_partkey as k, p_size as z, p_partkey % 7 as d, p_partkey % 5 as y, p_partkey % 4 as i from part)
+select k, case when d = 0 then 'deploy_missing' when d = 1 then 'deploy_invalid' end as issue from p where d <= 1 union all
+select k, case when y = 0 then 'keypair_missing' when y = 1 then 'keypair_invalid' else 'keypair_mismatch' end from p where (y = 0 and d >= 2) or y in (1, 2) union all
+select k, case when i = 0 then 'idl_missing' when i = 1 then 'idl_invalid' when z > 25 then 'idl_name' else 'idl_address' end from p where i in (0, 1) or (i >= 2 and (z > 25 or i = 2)) union all
+select k, 'types_missing' from p where z <= 10""")
+def j17_states(spark, sf_dir):
+    """Every state and mismatch of the four artifacts."""
+    part = _t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    artifact = lambda kind, state, key, name, address: F.struct(F.lit(kind).alias("kind"), state.alias("state"), key.cast("string").alias("public_key"), name.cast("string").alias("idl_name"), address.cast("string").alias("idl_address"))
+    three = lambda c: F.when(c == 0, "missing").when(c == 1, "invalid").otherwise("present")
+    none = F.lit(None)
+    each = F.array(
+        artifact("deploy", three(k % 7), none, none, none),
+        artifact("keypair", three(k % 5), F.when(k % 5 == 2, "other").otherwise("id"), none, none),
+        artifact("idl", three(k % 4), none, F.when(F.col("p_size") > 25, "other").otherwise(_text(' "my-', k.cast("string"), '"')), F.when(k % 4 == 2, "other").otherwise("id")),
+        artifact("types", F.when(F.col("p_size") <= 10, "missing").otherwise("present"), none, none, none),
+    )
+    name = _text("my_", k.cast("string"))
+    rows = part.select(F.lit("r").alias("root"), name.alias("program"), F.explode(each).alias("_")).select("root", "program", "_.*")
+    out = artifacts.artifact_findings(part.select(F.lit("r").alias("root"), name.alias("name"), F.lit("id").alias("program_id")), rows)
+    return out.select(F.substring("name", 4, 20).cast("long").alias("k"), "issue")
+
+
+@query("""
+with s as (select s_suppkey as k, case s_suppkey % 5 when 0 then s_name when 1 then sha256(s_name) when 2 then upper(sha256(s_name)) else sha256(s_name) end as e,
+  case when s_suppkey % 5 = 3 then sha256('x') else sha256(s_name) end as a from supplier)
+select k, case when k % 9 = 7 then 'unexpected' when k % 11 = 3 then 'missing' when k % 5 in (0, 2) then 'malformed' else 'mismatch' end as drift from s
+where k % 9 = 7 and k % 11 <> 3 or k % 9 <> 7 and (k % 11 = 3 or k % 5 in (0, 2, 3))""")
+def u2_malformed(spark, sf_dir):
+    s, k = _t(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    sha = F.sha2("s_name", 256)
+    want = F.when(k % 5 == 0, F.col("s_name")).when(k % 5 == 2, F.upper(sha)).otherwise(sha)
+    have = F.when(k % 5 == 3, F.sha2(F.lit("x"), 256)).otherwise(sha)
+    return drift.lock_drift(s.filter(k % 9 != 7).select(k.alias("k"), want.alias("sha256")), s.filter(k % 11 != 3).select(k.alias("k"), have.alias("sha256")), ["k"])
+
+
+@query("""
+with r as (select o_orderkey as k, o_custkey % 3 as c, o_orderstatus as st from orders)
+select k as review, 'signoff' as failure from r where not (st = 'F' and c <> 1) union all
+select k, 'timestamp' from r where c = 2 union all select k, 'order' from r where c = 1""")
+def a22_signoffs(spark, sf_dir):
+    """Missing sign-offs of two roles, missing and reversed times."""
+    o, c = _t(spark, sf_dir, "orders"), F.col("o_custkey") % 3
+    start = F.col("o_orderdate").cast("timestamp")
+    end = F.when(c == 0, start + F.expr("interval 40 days")).when(c == 1, start - F.expr("interval 3 days"))
+    reviews = o.select(F.col("o_orderkey").alias("review"), start.alias("started"), end.alias("ended"), F.when(c == 0, 40).when(c == 1, -3).alias("declared_days"))
+    owner = o.filter(c != 1).select(F.col("o_orderkey").alias("review"), F.lit("owner").alias("role"))
+    second = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("review"), F.lit("reviewer").alias("role"))
+    return telemetry.review_checks(reviews, owner.unionByName(second), ["owner", "reviewer"])
+
+
+@query("""
+with f as (select s_nationkey as k, sum(case s_suppkey % 3 when 0 then 8 when 1 then 1 + 4 * 3 else 4 + 10 end)::bigint as b from supplier group by all),
+r as (select n_regionkey as r, count(*) as n, count(b) as m, sum(2 * b + 1)::bigint as b from nation left join f on k = n_nationkey group by all)
+select 'n' || k as container, b as bytes from f union all select 'r' || r, case when n = m then b else -1 end from r union all select 'e', 9 union all select 'loop', -1""")
+def a17_nested(spark, sf_dir):
+    """Nested structs, arrays, vectors, options, an enum and a recursive struct."""
+    kind = F.col("s_suppkey") % 3
+    none = F.lit(None).cast("int")
+    row = lambda container, type_name, optional=F.lit(False), enum=F.lit(False), count=none, most=none: [container.alias("container"), type_name.alias("type_name"), optional.alias("optional"), enum.alias("is_enum_variant"), count.alias("count"), most.alias("max_len")]
+    own = _t(spark, sf_dir, "supplier").select(*row(_text("n", F.col("s_nationkey").cast("string")), F.when(kind == 0, "u64").when(kind == 1, "u32").otherwise("u8"), kind == 1, count=F.when(kind == 1, 3), most=F.when(kind == 2, 10)))
+    outer = _t(spark, sf_dir, "nation").select(*row(_text("r", F.col("n_regionkey").cast("string")), _text("n", F.col("n_nationkey").cast("string")), F.lit(True), count=F.lit(2)))
+    enum = spark.range(2).select(*row(F.lit("e"), F.when(F.col("id") == 0, "u64").otherwise("u8"), enum=F.lit(True)))
+    loop = spark.range(1).select(*row(F.lit("loop"), F.lit("loop")))
+    sizes = spark.createDataFrame([("u8", 1), ("u32", 4), ("u64", 8)], "type_name string, bytes int")
+    out = artifacts.estimate_space(own.unionByName(outer).unionByName(enum).unionByName(loop), sizes, depth=3)
+    return out.select("container", F.coalesce("bytes", F.lit(-1).cast("long")).alias("bytes"))
+
+
+@query("""
+with c as (select s_nationkey as k, 'MakeS' || s_suppkey % 4 as o from supplier group by all), n as (select k, count(*) as n, min(o) as o from c group by all)
+select c_custkey, case when exists (select 1 from c where c.k = c_nationkey and c.o = 'MakeS' || c_custkey % 4) then 'MakeS' || c_custkey % 4 when n.n = 1 then n.o end as context
+from customer left join n on n.k = c_nationkey""")
+def j7_names(spark, sf_dir):
+    """The context of the Pascal-case name, else the only one."""
+    contexts = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file"), _text("MakeS", (F.col("s_suppkey") % 4).cast("string")).alias("name")).distinct()
+    functions = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), _text("make_s", (F.col("c_custkey") % 4).cast("string")).alias("name"), "c_custkey")
+    found = references.infer_context(functions.select("file", "name").distinct(), contexts)
+    return functions.join(found, ["file", "name"], "left").select("c_custkey", "context")
+
+
+@query(_findings_sql() + """, g as (select file, start_line, topic, code, rule_seq from f union all select file, start_line, topic, code, rule_seq + 10 from f where severity = 'error')
+select file, start_line, code, min(rule_seq) as rule_seq, count(*) as n from (select *, row_number() over (partition by file, start_line, code order by rule_seq) as p from g) where p = 1 group by file, start_line, code""")
+def w2_dedupe(spark, sf_dir):
+    """Findings that two rules report, the first kept."""
+    rows = line_findings(spark, sf_dir).withColumns({"message": F.col("code"), "start_char": F.lit(0), "end_char": F.lit(0)})
+    again = rows.filter("severity = 'error'").withColumn("rule_seq", F.col("rule_seq") + 10)
+    out = findings.dedupe(rows.unionByName(again))
+    return out.groupBy("file", "start_line", "code").agg(F.min("rule_seq").alias("rule_seq"), F.count(F.lit(1)).alias("n"))
+
+
 # --- graph ------------------------------------------------------------------------------------------
 
 _CONTEXTS_SQL = """
