@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that a worker's caches hold at most (about 200 bytes each).
-CACHE = 1 << 18
+CACHE = 1 << 16
 #: Bytes of text that are split at a time; so small that what a worker holds for them stays in tens of megabytes.
 SLICE_BYTES = 1 << 20
 
