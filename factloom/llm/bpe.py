@@ -28,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from factloom.llm.common import released
+
 #: Entries that a worker's caches hold at most (about 200 bytes each).
-CACHE = 1 << 16
+CACHE = 1 << 18
 #: Bytes of text that are split at a time; so small that what a worker holds for them stays in tens of megabytes.
 SLICE_BYTES = 1 << 20
 
@@ -382,7 +384,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> D
                 at += len(some)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_tokens long, ids binary")
+    return docs.select(key, "text").mapInArrow(released(run), f"{key} {kind}, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
@@ -409,4 +411,4 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFra
                 at += len(some)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+    return docs.select(key, "text").mapInArrow(released(run), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")

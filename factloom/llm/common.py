@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.sources.staging import new_path
@@ -24,6 +27,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def released(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; gives back what Arrow's pool keeps when a task ends, since workers live on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def dropped(*frames: DataFrame) -> None:
     """Remove the folders of ``staged`` tables that no later step reads."""
     for df in frames:

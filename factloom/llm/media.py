@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from factloom.llm.common import released
+
 # Fixed values of the container format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -256,7 +258,7 @@ def mux_column(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in texts], pa.int64()), media], [key, "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_bytes long, media binary")
+    return docs.select(key, "text").mapInArrow(released(run), f"{key} {kind}, n_bytes long, media binary")
 
 
 def features(media: bytes) -> tuple[bytes, str]:
@@ -291,6 +293,6 @@ def read_column(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     kind = media.schema[key].dataType.simpleString()
     return media.mapInArrow(
-        run,
+        released(run),
         f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textmodel as tm
-from factloom.llm.common import staged
+from factloom.llm.common import released, staged
 
 
 @dataclass
@@ -72,7 +72,7 @@ def text_scores(docs: DataFrame, model: TextModel, host: str, path: str, key: st
 
     kind = docs.schema[key].dataType.simpleString()
     columns = docs.select(F.col(key), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, f"{key} {kind}, host string, path string, p_text double")
+    return columns.mapInArrow(released(run), f"{key} {kind}, host string, path string, p_text double")
 
 
 def _strength(groups: DataFrame, mean: Column, spread: Column) -> float:

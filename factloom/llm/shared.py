@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import released
+
 #: Bytes of input whose keys are gathered before they are sent, and keys that a task gets on average.
 CHUNK, KEYS = 1 << 25, 1 << 19
 #: Tasks that keys are dealt to, at most 2 ** MOST_BITS.
@@ -122,5 +124,5 @@ def shared_keys(rows: DataFrame, extract: Callable, bits: int, many: int = 1 <<
                 s = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(k[s].view(np.int64)), pa.array(h[s])], ["id", "key", "hot"])
 
-    sent = rows.mapInArrow(send, "bucket int, key binary, slot binary, ids binary, counts binary")
-    return sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(meet, "id long, key long, hot boolean")
+    sent = rows.mapInArrow(released(send), "bucket int, key binary, slot binary, ids binary, counts binary")
+    return sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(released(meet), "id long, key long, hot boolean")

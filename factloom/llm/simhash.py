@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import graph
-from factloom.llm.common import dropped, staged
+from factloom.llm.common import dropped, released, staged
 
 #: Fingerprints that are compared in one bucket at most.
 BUCKET = 128
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, repeats: bool
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], [key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp array<long>")
+    return docs.select(key, "text").mapInArrow(released(run), f"{key} {kind}, fp array<long>")
 
 
 class Planes:
@@ -270,7 +270,7 @@ def similar_links(nodes: DataFrame, keys: list[frozenset], cut, radius: int, wid
             yield some(pa.Table.from_batches(held))
 
     full = small.join(nodes, "node").select("key", "value", "node", "label", "fp")
-    found = staged(full.repartition("key", "value").sortWithinPartitions("key", "value").mapInArrow(compare, "a long, b long"), "links")
+    found = staged(full.repartition("key", "value").sortWithinPartitions("key", "value").mapInArrow(released(compare), "a long, b long"), "links")
     dropped(*held)
     return found
 

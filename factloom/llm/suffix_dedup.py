@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from factloom.llm import shared
-from factloom.llm.common import new_path, staged
+from factloom.llm.common import new_path, released, staged
 
 LENGTH, GRAM = 50, 20
 #: Documents from which an anchor's strings are dealt one by one.
@@ -384,11 +384,11 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     anchors = shared.shared_keys(judged, _anchor_keys, bits, hot)
     keys = anchors.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("very"))
     asked = judged.join(keys, "doc_id").select("doc_id", "text", "keys", "very")
-    sent = asked.mapInArrow(lambda it: _send_runs(it, bits), "key long, doc_id long, tag long, starts binary, n long, strings binary")
+    sent = asked.mapInArrow(released(lambda it: _send_runs(it, bits)), "key long, doc_id long, tag long, starts binary, n long, strings binary")
     tasks = max(buckets, total // (32 << 20))
     spread = F.coalesce("key", F.xxhash64("doc_id", "starts"))
     dealt = sent.repartition(tasks, spread).sortWithinPartitions("key")
-    ranges = dealt.mapInArrow(_meet_runs, "doc_id long, tag long, start long, end long")
+    ranges = dealt.mapInArrow(released(_meet_runs), "doc_id long, tag long, start long, end long")
     ranges = ranges.groupBy("doc_id").agg(F.collect_list("tag").alias("tags"), F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,5 +403,5 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     final = lying.join(ranges, "doc_id", "left").select("doc_id", "text", "carried", "copy", "tags", "starts", "ends")
     longs = [StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
-    out = final.mapInArrow(apply, StructType([*longs, StructField("kept", BinaryType()), lying.schema["carried"]]))
+    out = final.mapInArrow(released(apply), StructType([*longs, StructField("kept", BinaryType()), lying.schema["carried"]]))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *([F.col(f"carried.`{c}`") for c in more]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import LatinEncoder, flat, gathered, latin_pieces, names_of, packed, slices, splits_latin, texts_of
-from factloom.llm.common import new_path, staged
+from factloom.llm.common import new_path, released, staged
 
 #: Header of a block: magic, global number of the first token, documents, control bytes, data bytes.
 MAGIC, HEADER = b"TKB1", struct.Struct("<4sqqqq")
@@ -228,7 +228,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([total.tobytes()])], names)
 
     kind = "doc_id long, n_tokens long, spread int, ids binary, counts binary"
-    encoded = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, kind), "tokens")
+    encoded = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(encode), kind), "tokens")
     tokens = encoded.filter("n_tokens is not null").drop("counts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
     # one row for each id of the vocabulary at most, however large the corpus
-    counted = encoded.filter("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = encoded.filter("counts is not null").select("counts").mapInArrow(released(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(((-r["n"], r["id"]) for r in counted))
     by_rank = np.array([i for _, i in order], np.int64)
     n_bytes = -sum(n for n, _ in order) * 3 // 2
@@ -268,7 +268,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n_tokens", "spread", "control", "data"])
 
-    coded = tokens.mapInArrow(code, "part int, doc_id long, n_tokens long, spread int, control binary, data binary")
+    coded = tokens.mapInArrow(released(code), "part int, doc_id long, n_tokens long, spread int, control binary, data binary")
     totals = _starts(tokens, bounds)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = None, file_byte
             yield pack_block(start, rows)
 
     dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "spread", "data", "control")
-    blocks = dealt.drop("spread").mapInArrow(block, "block binary")
+    blocks = dealt.drop("spread").mapInArrow(released(block), "block binary")
     blocks.select(F.col("block").cast("string")).write.option("lineSep", "\n").text(f"{path}/blocks")
     return path
 
@@ -313,7 +313,7 @@ def _bounds(tokens: DataFrame, files: int) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(coarse, b.column(0).to_numpy(), "left"))], ["id", "step"])
 
-    fine = ids.mapInArrow(place, "id long, step long").groupBy("step").agg(cut(-(-files // steps))).collect()  # a figure a file
+    fine = ids.mapInArrow(released(place), "id long, step long").groupBy("step").agg(cut(-(-files // steps))).collect()  # a figure a file
     # an id of several coarse cuts has all its rows in one step, which is that much larger
     times = {i: int((coarse == c).sum()) for i, c in enumerate(coarse.tolist())}
     return np.sort(np.concatenate([coarse, *(np.repeat(np.array(r["c"], np.int64), times.get(r["step"], 1)) for r in fine)]))
@@ -329,7 +329,7 @@ def _starts(tokens: DataFrame, bounds: np.ndarray) -> dict[int, int]:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["part", "n"])
 
-    rows = tokens.select("doc_id", "n_tokens", "spread").mapInArrow(add, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("doc_id", "n_tokens", "spread").mapInArrow(released(add), "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(len(bounds) + 1, np.int64)
     for r in rows:
         n[r["part"]] = r["n"]
@@ -350,7 +350,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("content")
-    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(released(decode), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def checksums(read_back: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factloom.llm import textmodel as tm
+from factloom.llm.common import released
 
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 
@@ -81,7 +82,7 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, p.T.copy()), pa.array(p[:, -1] >= chain.threshold)], [key, *names, "toxic"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, {', '.join(f'{n} double' for n in names)}, toxic boolean")
+    return docs.select(key, "text").mapInArrow(released(run), f"{key} {kind}, {', '.join(f'{n} double' for n in names)}, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -95,4 +96,4 @@ def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
                 p = chain.predict([t or b"" for t in some.column(at).cast(pa.binary()).to_pylist()])
                 yield some.filter(pa.array(p[:, -1] < chain.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
