@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import staged
 
 #: Queries in a block, vectors in a shard, and vectors whose bounds are taken together.
-QUERY_BLOCK, SHARD_ROWS, ROW_BLOCK = 4096, 16384, 1024
+QUERY_BLOCK, SHARD_ROWS, ROW_BLOCK = 4096, 16384, 4096
 #: Integers below this are exact as doubles.
 EXACT = float(1 << 53)
 
@@ -68,8 +68,7 @@ class Block:
         self.ids = ids[order]
         self.dims = np.flatnonzero(vectors.any(axis=0))
         self.postings = np.ascontiguousarray(vectors[order][:, self.dims].T)
-        self.squares = self.postings * self.postings
-        self.lengths = self.squares.sum(axis=0)
+        self.lengths = (self.postings * self.postings).sum(axis=0)
         self.high, self.low = vectors.max(axis=0), vectors.min(axis=0)
         self.norm = float(np.sqrt(self.lengths.max(initial=0)))
 
@@ -123,27 +122,32 @@ class Shard:
         """(ids, scores) of a block's vectors that reach ``floor``."""
         q = query[block.dims]
         order = np.argsort(-np.abs(q), kind="stable")
-        q, postings, squares = q[order], block.postings, block.squares
+        q, postings = q[order], block.postings
         most = np.maximum(q * block.high[block.dims][order], q * block.low[block.dims][order])
         rest = np.concatenate([np.cumsum(most[::-1])[::-1], [0.0]])  # the most that the dimensions from each on can add
         length = np.sqrt(np.concatenate([np.cumsum((q * q)[::-1])[::-1], [0.0]])) * (1 + 1e-9)
         reach = np.minimum(rest, length * block.norm)
         # non-essential: the longest tail that cannot reach the k-th best score on its own
         at = int(np.argmax(reach < floor)) if reach[-1] < floor else len(order)
-        essential = order[:at]
-        part = q[:at] @ postings[essential]
-        rows, left, step = np.arange(len(block.ids)), None, 8
+        taken = postings[order[:at]]
+        part = q[:at] @ taken
+        rows, left, step = np.arange(len(block.ids)), None, 16
         self.read += at * len(rows)
         while at < len(order):
-            if left is None:
-                left = block.lengths - squares[essential].sum(axis=0)
-            live = part + np.minimum(rest[at], length[at] * np.sqrt(left)) >= floor
+            live = np.flatnonzero(part >= floor - reach[at])
+            rows, part = rows[live], part[live]
+            if left is None:  # what is left of the lengths of the vectors that still compete
+                taken = taken[:, live]
+                left = block.lengths[rows] - np.einsum("ij,ij->j", taken, taken)
+            else:
+                left = left[live]
+            live = np.flatnonzero(part + length[at] * np.sqrt(left) >= floor)
             rows, part, left = rows[live], part[live], left[live]
             if not len(rows):
                 break
-            dims = np.ix_(order[at : at + step], rows)
-            part, left = part + q[at : at + step] @ postings[dims], left - squares[dims].sum(axis=0)
-            self.read += min(step, len(order) - at) * len(rows)
+            more = postings[np.ix_(order[at : at + step], rows)]
+            part, left = part + q[at : at + step] @ more, left - np.einsum("ij,ij->j", more, more)
+            self.read += more.size
             at, step = at + step, 2 * step
         keep = part >= floor
         return block.ids[rows[keep]], part[keep]
