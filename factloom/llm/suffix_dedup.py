@@ -404,4 +404,5 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     final = lying.join(ranges, "doc_id", "left").select("doc_id", "text", "carried", "copy", "tags", "starts", "ends")
     longs = [StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
     out = final.mapInArrow(released(apply), StructType([*longs, StructField("kept", BinaryType()), lying.schema["carried"]]))
+    spark.sql(f"drop table {name}")  # its plan and its files stay, only the catalog's entry goes
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *([F.col(f"carried.`{c}`") for c in more]))
