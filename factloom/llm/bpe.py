@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from factloom.llm.common import released
 
 #: Entries that a worker's caches hold at most (about 200 bytes each).
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Bytes of text that are split at a time; so small that what a worker holds for them stays in tens of megabytes.
 SLICE_BYTES = 1 << 20
 
@@ -55,7 +55,7 @@ class PairTable:
         found = self.known.get(key)
         if found is None:
             found = self.apart(left, right, None)
-            if len(self.known) < CACHE // 2:
+            if len(self.known) < CACHE // 4:
                 self.known[key] = found
         return found
 
@@ -119,9 +119,8 @@ class Encoder:
         for i in sorted(symbols):  # a merged token counts only if merging its own string gives it
             if i not in halves or all(h in formed for h in halves[i]) and self.table.apart(*halves[i], i):
                 formed.add(i)
-        self.symbols = {i: s for i, s in symbols.items() if i in formed}
-        self.lengths = {i: len(s) for i, s in self.symbols.items()}
-        by_string = {s: i for i, s in self.symbols.items()}
+        by_string = {s: i for i, s in symbols.items() if i in formed}
+        self.lengths = {i: len(s) for s, i in by_string.items()}
         self.shorter = {i: next((by_string[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_string), None) for s, i in by_string.items()}
         self.automaton = ahocorasick.Automaton()
         for s, i in by_string.items():

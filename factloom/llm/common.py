@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,12 +30,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _give_back() -> None:
+    """Return unused memory of Arrow's pool and, where there is glibc, of its heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(run: Callable) -> Callable:
-    """``run`` for ``mapInArrow``; gives back what Arrow's pool keeps when a task ends, since workers live on between stages."""
+    """``run`` for ``mapInArrow``; gives unused memory back now and then and when a task ends, since workers live on between stages."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > 1:
+                _give_back()
+                last = time.monotonic()
+        _give_back()
 
     return wrapped
 
