@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, media, mixing, quality, simhash, suffix_dedup, token_store, topk, toxicity
+from factloom.llm import bpe, chat, collocations, media, mixing, quality, simhash, suffix_dedup, token_counts, token_store, topk, toxicity, whitening
 from factloom.llm.common import table
 
 
@@ -81,6 +81,20 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    whole = counts.select("doc_id", "n_bytes", "n_chars", token_counts.count_at(F.col("n_chars")).alias("n_tokens"))
+    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "n_chars")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _op8_sql() -> str:
     text = "t"
     for old, new in [(chat.LEAD, chat.LEAD + "0"), *chat._codes(chat.CONTROLS, ord("1"))]:
@@ -163,7 +177,7 @@ select doc_id, size::bigint as size, source_size, target,
   least(passes * size + greatest(0, least(e, words - passes * shard_size) - (e - size)), 3 * size)::bigint as taken
 from l"""
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op3_simhash": op3_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op6_matroska": op6_matroska, "op7_toxicity": op7_toxicity, "op10_quality": op10_quality, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+QUERIES = {"op1_token_files": op1_token_files, "op2_maxscore": op2_maxscore, "op3_simhash": op3_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op6_matroska": op6_matroska, "op7_toxicity": op7_toxicity, "op10_quality": op10_quality, "op9_bpe": op9_bpe, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op11_token_counts": op11_token_counts, "op12_whitening": op12_whitening, "op13_collocations": op13_collocations}
 OP2_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
