@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from factloom.functions.scalars import sarif_level
+from factloom.streaming.tables import VersionedTable, run_batches
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
@@ -50,22 +51,16 @@ def to_report(files: DataFrame, key: str, columns: list[str], totals: dict[str,
     return files.groupBy(key).agg(rows, sums).select(key, F.to_json(F.struct("rows", "totals")).alias("report"))
 
 
-def stream_findings(findings: DataFrame, path: str, key: str = "file"):
-    """Each micro-batch replaces the findings of the documents in it. Start it and read with ``read_stream_findings``.
+def stream_findings(findings: DataFrame, path: str, key: str = "file", present: str = "code") -> None:
+    """Each micro-batch replaces the findings of the documents in it, in the table in ``path``; read them with ``read_stream_findings``.
 
-    A batch is a folder, written again as a whole if it is repeated; a document without findings comes as a row with
-    null elsewhere and clears what it had.
+    A document without findings comes as a row whose ``present`` column is null and clears what it had. Runs over all data at
+    hand; a later start on the same folder goes on where this one ended.
     """
+    table = VersionedTable(findings.sparkSession, f"{path}/table", [key])
+    run_batches(findings, path, lambda batch, query, number: table.replace(batch, F.col(present).isNull(), query, number))
 
-    def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    return findings.writeStream.foreachBatch(publish).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
-
-
-def read_stream_findings(spark: SparkSession, path: str, schema: StructType, key: str = "file", present: str = "code") -> DataFrame:
-    """The findings of each document's last batch; rows whose ``present`` column is null only clear."""
-    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
-    last = rows.groupBy(F.col(key).alias("_k")).agg(F.max("batch").alias("_b"))
-    current = rows.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_b")))
-    return current.filter(F.col(present).isNotNull()).select(*schema.names)
+def read_stream_findings(spark: SparkSession, path: str, schema: StructType, key: str = "file") -> DataFrame:
+    """The findings of each document's last batch."""
+    return VersionedTable(spark, f"{path}/table", [key]).read(schema)

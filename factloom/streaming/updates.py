@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from factloom.operators.preflight import detected_errors
 from factloom.operators.references import latest
+from factloom.streaming.tables import VersionedTable, run_batches
 
 
 def read_updates(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,13 +63,6 @@ def changed_only(facts: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return facts.join(changed.select(key).distinct(), key, "left_semi")
 
 
-def run_available(result: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data at hand into a memory table of the driver; for tests of small replays only."""
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
-
-
 def run_files(result: DataFrame, path: str) -> DataFrame:
     """Run a stream over all data at hand, appended to files in ``path``; return what they hold."""
     started = result.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).outputMode("append")
@@ -78,30 +71,17 @@ def run_files(result: DataFrame, path: str) -> DataFrame:
 
 
 def run_latest(result: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Run a stream of aggregates over all data at hand in update mode; return the last row of each key.
-
-    Each batch writes only its changed rows, into a folder of its own, so a repeated batch changes nothing.
-    """
-
-    def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-
-    started = result.writeStream.foreachBatch(publish).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).outputMode("update")
-    started.start().awaitTermination()
-    rows = result.sparkSession.read.schema(StructType([*result.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*result.columns), "batch").alias("_"))
-    return last.select("_.*")
+    """Run a stream of aggregates over all data at hand in update mode; return the last row of each key. Starting again goes on from there."""
+    table = VersionedTable(result.sparkSession, f"{path}/table", keys)
+    run_batches(result, path, lambda batch, query, number: table.replace(batch, None, query, number), "update")
+    return table.read(result.schema)
 
 
 def run_upserts(spark: SparkSession, stream: DataFrame, path: str, key: str, order: list[Column], removed: Column | None = None) -> DataFrame:
-    """T1 over a stream: each batch makes the next version of the index in ``path``; return the last version."""
-    versions = {"last": None}
+    """T1 over a stream: each batch's latest row of each key replaces the key's row in the table in ``path``; return the table.
 
-    def publish(batch: DataFrame, number: int) -> None:
-        index = spark.read.schema(batch.schema).parquet(versions["last"]) if versions["last"] else batch.limit(0)
-        place = f"{path}/version={number}"
-        upsert_index(index, batch, key, order, removed).write.mode("overwrite").parquet(place)
-        versions["last"] = place
-
-    stream.writeStream.foreachBatch(publish).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions["last"]) if versions["last"] else spark.createDataFrame([], stream.schema)
+    A batch writes its own keys only; a later start on the same folder goes on with the table that is there.
+    """
+    table = VersionedTable(spark, f"{path}/table", [key])
+    run_batches(stream, path, lambda batch, query, number: table.replace(latest(batch, [key], order), removed, query, number))
+    return table.read(stream.schema)

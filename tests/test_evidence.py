@@ -152,7 +152,7 @@ def test_sinks_write(spark, tmp_path):
     sinks.write_findings(df, f"{tmp_path}/f")
     sinks.write_sarif(df, f"{tmp_path}/s")
     assert spark.read.json(f"{tmp_path}/f").count() == 1 and spark.read.text(f"{tmp_path}/s/run").count() == 1
-    assert json.loads(sinks.to_report(df, "file", ["start_line", "code"]).first()["report"]) == [{"start_line": 0, "code": "c"}]
+    assert json.loads(sinks.to_report(df, "file", ["start_line", "code"]).first()["report"]) == {"rows": [{"start_line": 0, "code": "c"}], "totals": {"rows": 1}}
 
 
 # scalars
@@ -367,16 +367,23 @@ def test_reports(spark):
 
 
 # streaming
+def run_available(result, name, checkpoint, mode="append"):
+    """Run a stream over all data at hand into a table in memory."""
+    query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return result.sparkSession.table(name)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     data = [("d", 1, "2024-01-01 00:00:00.0", "p1"), ("d", 2, "2024-01-01 00:00:00.5", "p2"), ("d", 3, "2024-01-01 00:00:05", "p3"), ("e", 1, "2024-01-01 00:00:01", "q"), ("x", 1, "2024-01-01 06:00:00", "end")]
     df = spark.createDataFrame(data, "doc string, version int, at string, payload string").select("doc", "version", F.to_timestamp("at").alias("ts"), "payload")
     df.write.parquet(f"{tmp_path}/in")
     want = updates.debounce(df, "doc", "ts", "payload", "version")
     stream = updates.read_updates(spark, f"{tmp_path}/in", df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    got = updates.run_available(updates.debounce(stream, "doc", "ts", "payload", "version"), "bursts", f"{tmp_path}/cp", "complete")
+    got = run_available(updates.debounce(stream, "doc", "ts", "payload", "version"), "bursts", f"{tmp_path}/cp", "complete")
     assert rows(got) == rows(want) and ("p2" in [r["payload"] for r in got.collect()])
     hot, cold = updates.lanes(stream.withColumn("phase", F.col("version")), hot=1)
-    assert rows(updates.run_available(hot.select("doc", "version"), "hot", f"{tmp_path}/cp2")) == [("d", 1), ("e", 1), ("x", 1)]
+    assert rows(run_available(hot.select("doc", "version"), "hot", f"{tmp_path}/cp2")) == [("d", 1), ("e", 1), ("x", 1)]
 
 
 def test_typing_and_versions(spark):
@@ -396,7 +403,7 @@ def test_typing_and_versions(spark):
 def test_stream_sink_replaces_documents(spark, tmp_path):
     schema = "file string, code string, line int"
     publish = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda: sinks.stream_findings(updates.read_updates(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out").awaitTermination()
+    run = lambda: sinks.stream_findings(updates.read_updates(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out")
     publish([("f", "a", 1), ("f", "b", 2), ("g", "c", 3), ("h", "d", 4)])
     run()
     publish([("f", "e", 5), ("h", None, None)])
