@@ -11,7 +11,7 @@ from factloom.plans.demo import _EVENTS_SQL, _INVOCATION_SQL, _by_day, _findings
 from factloom.plans.demo_rules import _keys
 from factloom.sources import readers, sinks
 from factloom.sources.staging import new_path
-from factloom.streaming import updates
+from factloom.streaming import keyed, updates
 
 
 def _text(*parts) -> Column:
@@ -87,14 +87,23 @@ def s9_findings_sink(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
-def _in_parts(df: DataFrame, order: str, parts: int = 3):
-    """A stream's folder that gets ``df`` in ``parts`` appends by ranges of ``order``; yields the stream after each."""
+def _in_parts(df: DataFrame, part: Column, parts: int = 3):
+    """A stream's folder that gets the rows of ``df`` in appends by their number ``part``; yields the stream after each."""
     path = new_path(df.sparkSession, "arriving")
     for i in range(parts):
-        df.filter(F.pmod(F.floor(F.col(order) / 1000), F.lit(parts)) == i).write.mode("append").parquet(path)
+        df.filter(part == i).write.mode("append").parquet(path)
         yield df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def _half(ts: str, last: Column) -> Column:
+    """0 for the first half of January 2024, 1 for what comes later, 2 for the rows that only end a stream."""
+    return F.when(last, 2).when(F.dayofmonth(ts) <= 15, 0).otherwise(1)
+
+
+def _third(number: str) -> Column:
+    return F.pmod(F.floor(F.col(number) / 1000), F.lit(3))
+
+
 @query("""
 with e as (select *, event_id // 1000 % 3 as part from events), l as (select user_id, max(part) as part from e group by all)
 select user_id as file, event_type as code, count(*) as n from e join l using (user_id, part) where event_type <> 'view' group by all""")
@@ -102,7 +111,7 @@ def s12_stream_sink(spark, sf_dir):
     """Three starts of one stream; a user's last part replaces those before, and views only clear."""
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("code"), F.col("event_id").alias("line"))
     path = new_path(spark, "stream-findings")
-    for stream in _in_parts(rows, "line"):
+    for stream in _in_parts(rows, _third("line")):
         sinks.stream_findings(stream, path)
     return sinks.read_stream_findings(spark, path, rows.schema).groupBy("file", "code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -717,7 +726,7 @@ def t1_stream_upsert(spark, sf_dir):
     """Three starts of one stream on one table; the latest row of a user's last part stays, unless it removes the user."""
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     path = new_path(spark, "index")
-    for stream in _in_parts(rows, "event_id"):
+    for stream in _in_parts(rows, _third("event_id")):
         out = updates.run_upserts(spark, stream, path, "user_id", [F.col("event_id")], F.col("event_type") == "error")
     return out.select("user_id", "event_id")
 
@@ -732,6 +741,54 @@ def t2_stream_drop_stale(spark, sf_dir):
     return updates.run_files(updates.drop_stale(stream, current, "user_id"), new_path(spark, "fresh")).select(F.col("version").alias("event_id"))
 
 
+@query("""
+with e as (select event_id, user_id, event_type = 'click' as announces, case when event_id % 11 > 0 then (event_id * 7 + user_id) % 40 + event_id // 500 end as version from events),
+m as (select *, max(case when announces then version end) over (partition by user_id order by event_id rows unbounded preceding) as newest from e)
+select event_id, version from m where not announces and (version is null or newest is null or version >= newest)""")
+def t2_stream_guard(spark, sf_dir):
+    """Announcements and results in one stream; what an earlier batch announced drops results of later ones."""
+    e = _t(spark, sf_dir, "events")
+    version = F.when(F.col("event_id") % 11 > 0, (F.col("event_id") * 7 + F.col("user_id")) % 40 + F.floor(F.col("event_id") / 500))
+    rows = e.select(F.col("user_id").alias("key"), F.timestamp_seconds(F.col("event_id") + 1_700_000_000).alias("ts"), F.col("event_id").alias("seq"), version.alias("version"), (F.col("event_type") != "click").alias("is_result"))
+    top = e.agg(F.max("event_id")).first()[0]
+    path = new_path(spark, "guarded")
+    for stream in _in_parts(rows, F.floor(F.col("seq") * 3 / (top + 1))):
+        out = updates.run_files(keyed.guard_versions(stream), path)
+    return out.select(F.col("seq").alias("event_id"), "version")
+
+
+@query("""
+with e as (select user_id as key, epoch_us(ts) // 1000 as t, event_id as seq, case event_type when 'error' then 'cancel' when 'signup' then 'flush' else 'schedule' end as kind from events),
+n as (select *, lead(t) over w as next_t, lead(kind) over w as next_kind, lag(t) over w as last_t, lag(kind) over w as last_kind from e window w as (partition by key order by t, seq)),
+b as (select *, sum(case when last_kind = 'schedule' and t < last_t + 21600000 then 0 else 1 end) over (partition by key order by t, seq rows unbounded preceding) as burst from n),
+g as (select key, burst, min(t) as first, count(*) as n, max(t) as t, arg_max(seq, [t, seq]) as seq, arg_max(coalesce(next_t, 9000000000000000), [t, seq]) as next_t, arg_max(coalesce(next_kind, 'end'), [t, seq]) as next_kind from b where kind = 'schedule' group by all)
+select key as user_id, first, case when next_t < t + 21600000 then next_t else t + 21600000 end as fired, seq::varchar as payload, n
+from g where next_t >= t + 21600000 or next_kind = 'flush'""")
+def t3_stream_debounce(spark, sf_dir):
+    """Bursts of schedules that fire six hours after their last, at once on a flush, and not after a cancel."""
+    kind = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "signup", "flush").otherwise("schedule")
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").cast("string").alias("payload"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.timestamp_seconds(F.lit(4102444800)).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit("cancel").alias("kind"), F.lit(None).cast("string").alias("payload"))
+    path = new_path(spark, "bursts")
+    for stream in _in_parts(rows.unionByName(end), _half("ts", F.col("key") == -1)):
+        out = updates.run_files(keyed.debounce_commands(stream, 6 * 3_600_000), path)
+    return out.withColumnRenamed("key", "user_id")
+
+
+@query("""
+select event_id from events e where event_type = 'view' and not exists (select 1 from events c where c.event_type = 'click' and c.user_id = e.user_id and c.ts <= e.ts and c.ts >= e.ts - interval 2 hour and e.value <= c.value + 20 and c.value <= e.value + 20)""")
+def t4_stream_recent(spark, sf_dir):
+    """T4 as two streams: findings that no recent change touches come out when both watermarks have passed them."""
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("file"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("start"), (F.col("value") + 20).alias("end"))
+    end = spark.range(2).select(F.lit(-1).cast("long").alias("event_id"), F.when(F.col("id") == 0, "view").otherwise("click").alias("event_type"), F.lit(-1).cast("long").alias("file"), F.timestamp_seconds(F.lit(4102444800)).alias("ts"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))
+    rows = e.unionByName(end)
+    path = new_path(spark, "touched")
+    part = _half("ts", F.col("file") == -1)
+    for found, changed in zip(_in_parts(rows.filter("event_type = 'view'"), part), _in_parts(rows.filter("event_type = 'click'"), part), strict=True):
+        out = updates.run_files(updates.suppress_recent(found, changed, ttl="2 hours"), path)
+    return out.filter("event_id >= 0").select("event_id")
+
+
 @query("select 'hot' as lane, event_id from events where event_id % 4 <= 1 union all select 'cold', event_id from events")
 def t5_lanes(spark, sf_dir):
     stream = _stream(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("phase"))
