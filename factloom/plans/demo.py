@@ -453,8 +453,7 @@ def d11_reachable(spark, sf_dir):
 @query(_EDGES_SQL.format(depth=2) + " select distinct source from m where depth = 2 and name in (select src from e)")
 def d11_truncated(spark, sf_dir):
     edges = call_edges(spark, sf_dir)
-    reach = graph.reachable(edges, _all_sources(edges), depth=2)
-    return graph.truncated(reach, edges, depth=2)
+    return _truncated(edges)
 
 
 @query("""
@@ -471,6 +470,11 @@ def d11_unambiguous(spark, sf_dir):
 
 
 
+def _truncated(edges) -> DataFrame:
+    starts = _all_sources(edges)
+    return graph.truncated(graph.search(edges, starts.withColumn("name", F.col("source")), depth=2), edges, depth=2)
+
+
 def _all_sources(edges) -> DataFrame:
     return edges.select(F.col("src").alias("source")).distinct()
 
@@ -484,7 +488,7 @@ def d11_reachable_all(spark, sf_dir):
 @query()
 def d11_truncated_all(spark, sf_dir):
     edges = call_edges(spark, sf_dir)
-    return graph.truncated(graph.reachable(edges, _all_sources(edges), depth=2), edges, depth=2)
+    return _truncated(edges)
 
 
 @query()

@@ -57,8 +57,8 @@ def test_invocations_single_form_and_rejects(spark):
 # graph
 def reach(spark, calls, source, **more):
     edges = spark.createDataFrame([(a, b) for a, c in calls.items() for b in c], "src string, dst string")
-    out = graph.reachable(edges, spark.createDataFrame([(source,)], "source string"), **more)
-    return {r["name"] for r in out.collect()}, graph.truncated(out, edges).count() > 0
+    found = graph.search(edges, spark.createDataFrame([(source, source)], "source string, name string"), **more)
+    return {r["name"] for r in graph.pairs(found).collect()}, graph.truncated(found, edges).count() > 0
 
 
 def test_reachability(spark):
