@@ -3,8 +3,8 @@
 1. Texts become codes: slices of the words of one language with their 64-bit hashes, written once. Words are counted; the hash
    of a frequent word stands for it alone (else all is done again with another seed), so hashes are names from here on.
 2. Candidates, length by length: a phrase can only be frequent if its first and its last part, one word shorter, are. Both are
-   looked up in a table of bits of fixed size, where a clash only lets more pass. What passes is counted by
-   (first part, last word), slice by slice and then in a shuffle, and kept from ``min_count`` on. Nothing frequent is missed.
+   looked up in a table of bits of fixed size, where a clash only lets more pass. What passes is counted by a short hash, slice by
+   slice and then in a shuffle, and where that is frequent by (first part, last word). Nothing frequent is missed.
 3. Counting: the candidates go into double-array tries of a bounded number of nodes, dealt by their first two words; each is
    broadcast, and numpy moves the states of all text positions at once, word by word, counting the accepting states. The
    counts of all tasks are summed; they are exact whatever hashes of phrases met in step 2.
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import dropped, released, staged
 
 #: Bytes of text of a slice, bits of a table of frequent phrases, keys a task holds before it sends them, nodes of a trie.
-SLICE, BITS, HELD, NODES = 1 << 22, 1 << 26, 1 << 20, 1 << 20
+SLICE, BITS, HELD, NODES = 1 << 22, 1 << 26, 1 << 21, 1 << 20
+#: Bits of the hash by which phrases are counted first, and states whose counts travel as one row.
+SHORT, STATES = 40, 1 << 12
 #: Bits of one row of a table of bits.
 ROW_BITS = 1 << 15
 #: Bytes: of words, blanks between words, ends of pieces.
@@ -153,22 +155,38 @@ def _counted(p: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return p[new], w[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int) -> DataFrame:
-    """(p, w, n): first parts and last words of phrases of ``length`` words that occur ``min_count`` times or more.
-
-    bits: the table of frequent phrases one word shorter.
-    """
-    shared = slices.sparkSession.sparkContext.broadcast(bits)
+def _passing(rows: DataFrame, bits: bytes) -> DataFrame:
+    """The rows (h, ...) whose hash is in a table of bits."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
-        held: list[tuple] = []
-        size = 0
+        for b in batches:
+            yield b.filter(pa.array(_has(table, b.column(0).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(released(run), rows.schema)
+
+
+def _once(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys once, with their numbers summed."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[new], np.add.reduceat(n, new)
+
 
-        def send() -> pa.RecordBatch:
-            p, w, n = _counted(*map(np.concatenate, zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], ["p", "w", "n"])
+def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int) -> DataFrame:
+    """(p, w): first parts and last words of phrases of ``length`` words that occur ``min_count`` times or more.
+
+    bits: the table of frequent phrases one word shorter. Phrases are counted by a short hash first, which is all that is
+    shuffled of most of them; only those whose hash is as frequent are counted by (p, w).
+    """
+    sc = slices.sparkSession.sparkContext
+    shared = sc.broadcast(bits)
 
+    def phrases_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First parts, last words and short hashes of the phrases of each slice whose parts are frequent."""
+        table = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             for hashes, codes in zip(b.column(0), b.column(1), strict=True):
                 code = np.frombuffer(codes.as_buffer(), np.uint32)
@@ -179,15 +197,37 @@ def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int) -> D
                 often = inside & _has(table, part)
                 at = np.flatnonzero(often[:-1] & often[1:])
                 if len(at):
-                    held.append(_counted(part[at], h[at + length - 1], np.ones(len(at), np.int64)))
-                    size += len(held[-1][0])
-                if size >= HELD:
-                    yield send()
-                    held, size = [], 0
+                    p, w = part[at], h[at + length - 1]
+                    yield p, w, joined(p, w) >> np.uint64(64 - SHORT)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for _, _, key in phrases_of(batches):
+            held.append(_once(key, np.ones(len(key), np.int64)))
+            size += len(held[-1][0])
+            if size >= HELD:
+                held = [_once(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+            if size >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["h", "n"])
+                held, size = [], 0
         if held:
-            yield send()
+            key, n = _once(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    chosen = slices.select("hashes", "codes")
+    counted = chosen.mapInArrow(released(short), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    dense = sc.broadcast(_bits_of(counted.select("h"), "h"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(dense.value, np.uint8)
+        for p, w, key in phrases_of(batches):
+            keep = _has(table, key)
+            p, w, n = _counted(p[keep], w[keep], np.ones(int(keep.sum()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], ["p", "w", "n"])
 
-    found = slices.select("hashes", "codes").mapInArrow(released(run), "p long, w long, n long")
+    found = chosen.mapInArrow(released(whole), "p long, w long, n long")
     return found.groupBy("p", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).drop("n")
 
 
@@ -269,7 +309,8 @@ def occurrences(slices: DataFrame, candidates: DataFrame) -> DataFrame:
         keys[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = symbol + 1
         base, check, slots = double_array(keys)
         trie = sc.broadcast((words, base.astype(np.int32), check.astype(np.int32), slots.astype(np.int32), rows.column("id").to_numpy()))
-        counted = staged(slices.select("hashes", "codes").mapInArrow(released(_counting(trie)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "occurrences")
+        blocks = slices.select("hashes", "codes").mapInArrow(released(_counting(trie)), "block long, counts binary").repartition("block")
+        counted = staged(blocks.mapInArrow(released(_summed(trie)), "id long, n long"), "occurrences")
         trie.unpersist()
         out = counted if out is None else out.unionByName(counted)
     return out
@@ -297,8 +338,23 @@ def _counting(trie):
                     at, state = at[live], to[live]
                     total += np.bincount(state, minlength=len(total))
         n = total[slots]
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some])], ["id", "n"])
+        blocks = [(k, n[at : at + STATES]) for k, at in enumerate(range(0, len(n), STATES)) if n[at : at + STATES].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int64()), pa.array([x.tobytes() for _, x in blocks], pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _summed(trie):
+    """Sums of the counts of each block of states, as (id, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sums = trie.value[-1], {}
+        for b in batches:
+            for k, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(counts.as_buffer(), np.int64)
+                sums[k] = sums[k] + x if k in sums else x
+        for k, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k * STATES : k * STATES + len(n)]), pa.array(n)], ["id", "n"])
 
     return run
 
@@ -308,7 +364,11 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, seed: int =
     rows = staged(encode(docs, seed), "coded")
     slices = rows.filter("codes is not null").select("lang", "n", "hashes", "codes")
     totals = staged(slices.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    counted = staged(rows.filter("word is not null").groupBy("h", "lang", "word").agg(F.sum("n").alias("f")), "words")
+    each = rows.filter("word is not null").select("h", "lang", "word", "n")
+    dense = each.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    # only the words of frequent hashes travel as strings
+    named = _passing(each, _bits_of(dense.select("h"), "h"))
+    counted = staged(named.groupBy("h", "lang", "word").agg(F.sum("n").alias("f")), "words")
     clash = counted.groupBy("h").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("c")).filter((F.col("c") > 1) & (F.col("f") >= min_count))
     if not clash.isEmpty():
         dropped(rows, totals, counted)
