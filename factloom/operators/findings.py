@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators import tiles
+
 RANGE = ["start_line", "start_char", "end_line", "end_char"]
 ORDER = ["rule_seq", "emit_seq"]
 PHASES = ("syntax", "structure", "semantic", "security", "artifact")
@@ -160,7 +162,7 @@ def patterns_of() -> Column:
 def suppress(findings: DataFrame, directives: DataFrame, ranges: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """The findings that no directive matches.
 
-    directives (file, line or null, pattern); ranges (file, start, end, pattern) in packed positions
+    directives (file, line or null, pattern); ranges (file, start, end, pattern), both ends included, in packed positions
     ``line * 2^20 + char``; files (file): suppressed as a whole. Patterns are expanded so that the match is an equi
     join. A suppressed finding does not bring back one that it demoted.
     """
@@ -174,10 +176,15 @@ def suppress(findings: DataFrame, directives: DataFrame, ranges: DataFrame | Non
     meets = lambda q: F.coalesce(F.arrays_overlap("_p", q), F.lit(False))
     hit = meets("_q0") | meets("_q1")
     if ranges is not None:
-        own = ranges.groupBy(F.col("file").alias("_f2")).agg(F.collect_set(F.struct("start", "end", "pattern")).alias("_r"))
-        rows = rows.join(own, F.col("file") == F.col("_f2"), "left")
-        at = packed("start_line", "start_char")
-        hit = hit | F.coalesce(F.exists("_r", lambda r: at.between(r["start"], r["end"]) & F.array_contains("_p", r["pattern"])), F.lit(False))
+        # a position's patterns come from the ranges whose tiles are around it
+        own = ranges.select(F.col("file").alias("_f2"), "start", (F.col("end") + 1).alias("end"), "pattern")
+        own = tiles.tiled(own).select("_f2", "_level", "_tile", "pattern").distinct()
+        rows = rows.withColumn("_at", packed("start_line", "start_char"))
+        places = tiles.around(rows.select("file", "_at").distinct(), F.col("_at"), tiles.levels_of(own))
+        places = places.join(own, (F.col("file") == F.col("_f2")) & tiles.meet())
+        found = places.groupBy(F.col("file").alias("_f3"), F.col("_at").alias("_at3")).agg(F.collect_set("pattern").alias("_q2"))
+        rows = rows.join(found, (F.col("file") == F.col("_f3")) & (F.col("_at") == F.col("_at3")), "left")
+        hit = hit | meets("_q2")
     out = rows.filter(~hit).select(*findings.columns)
     return out if files is None else out.join(files.select("file"), "file", "left_anti")
 
@@ -187,9 +194,10 @@ def packed(line: str, char: str) -> Column:
 
 
 def in_range(points: DataFrame, spans: DataFrame, key: str = "file") -> DataFrame:
-    """Points (key, at) inside half-open spans (key, start, end), as rows of both; the key bounds the range join."""
-    s = spans.withColumnRenamed(key, "_k")
-    return points.join(s, (F.col(key) == F.col("_k")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).drop("_k")
+    """Points (key, at) inside half-open spans (key, start, end), as rows of both. They meet on the one tile they share."""
+    s = tiles.tiled(spans.withColumnRenamed(key, "_k"))
+    p = tiles.around(points, F.col("at"), tiles.levels_of(s))
+    return p.join(s, (F.col(key) == F.col("_k")) & tiles.meet()).drop("_k", "_level", "_tile", "_point_level", "_point_tile")
 
 
 def touch(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -199,14 +207,18 @@ def touch(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Col
 
 def filter_by_region(findings: DataFrame, regions: DataFrame, scope: list[str], confidence: str, applicability: str, topic: str) -> DataFrame:
     """findings whose start lies in a region of ``scope``: the shortest half-open span (file, start, end, region) around it, or ``other``.
+    Of equally short ones the first region counts.
 
     confidence, applicability and topic are filled in where they are absent.
     """
-    rows = findings.withColumn("_id", F.struct("file", *RANGE, *ORDER)).withColumn("_at", packed("start_line", "start_char"))
-    r = regions.select(F.col("file").alias("_f"), F.col("start").alias("_a"), F.col("end").alias("_b"), "region")
-    inside = rows.join(r, (F.col("file") == F.col("_f")) & (F.col("_at") >= F.col("_a")) & (F.col("_at") < F.col("_b")))
-    best = inside.groupBy("_id").agg(F.min_by("region", F.col("_b") - F.col("_a")).alias("_region"))
-    named = rows.join(best, "_id", "left").filter(F.coalesce("_region", F.lit("other")).isin(*scope)).drop("_id", "_at", "_region")
+    rows = findings.withColumn("_at", packed("start_line", "start_char"))
+    size = F.struct((F.col("end") - F.col("start")).alias("size"), "region")
+    # the shortest span of each tile, then of the tiles around a position
+    best = tiles.tiled(regions).groupBy(F.col("file").alias("_f"), "_level", "_tile").agg(F.min(size).alias("_best"))
+    places = tiles.around(rows.select("file", "_at").distinct(), F.col("_at"), tiles.levels_of(tiles.tiled(regions)))
+    places = places.join(best, (F.col("file") == F.col("_f")) & tiles.meet())
+    shortest = places.groupBy("file", "_at").agg(F.min("_best").alias("_best"))
+    named = rows.join(shortest, ["file", "_at"], "left").filter(F.coalesce("_best.region", F.lit("other")).isin(*scope)).select(*findings.columns)
     fill = {"confidence": confidence, "applicability": applicability, "topic": topic}
     return named.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in findings.columns else F.lit(v) for c, v in fill.items()})
 

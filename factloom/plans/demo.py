@@ -233,14 +233,17 @@ def d21_enrich(spark, sf_dir):
 
 @query(
     _findings_sql()
-    + """, p as (select file, line * 1048576 as a, (line + 3) * 1048576 as b, case line % 2 when 0 then 'even' else 'odd' end as region from l where line % 3 = 0)
-select f.file, f.start_line, f.code from f join p on p.file = f.file and f.start_line * 1048576 + f.start_char >= a and f.start_line * 1048576 + f.start_char < b where region = 'even'"""
+    + """, p as (select file, line * 1048576 as a, (line + 3 + 4 * (line % 4)) * 1048576 as b, case line % 2 when 0 then 'even' else 'odd' end as region from l where line % 3 = 0),
+q as (select f.file, f.start_line, f.start_char, f.code, arg_min(region, [b - a, (region = 'odd')::int]) as region from f join p on p.file = f.file and f.start_line * 1048576 + f.start_char >= a and f.start_line * 1048576 + f.start_char < b group by all)
+select file, start_line, code from q where region = 'even'"""
 )
 def d6_regions(spark, sf_dir):
+    """regions of several lengths that overlap; the shortest around a finding decides."""
     rows = line_findings(spark, sf_dir)
     starts = lines_of(_t(spark, sf_dir, "documents")).filter("line % 3 = 0")
     packed = lambda n: (F.col("line") + n).cast("long") * (1 << 20)
-    regions = starts.select("file", packed(0).alias("start"), packed(3).alias("end"), F.when(F.col("line") % 2 == 0, "even").otherwise("odd").alias("region"))
+    length = F.lit(3) + 4 * (F.col("line") % 4)
+    regions = starts.select("file", packed(0).alias("start"), packed(length).alias("end"), F.when(F.col("line") % 2 == 0, "even").otherwise("odd").alias("region"))
     out = findings.filter_by_region(rows, regions, ["even"], "low", "review", "none")
     return out.select("file", "start_line", "code")
 
