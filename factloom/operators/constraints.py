@@ -156,6 +156,42 @@ def program_overrides(constraints: DataFrame, fields: DataFrame, key: str, progr
     return typed.filter(~F.col("type_name").isin(*programs)).select("container", "field", "program", "type_name").distinct()
 
 
+def argument_types(constraints: DataFrame, arguments: DataFrame, key: str, expected: list[str]) -> DataFrame:
+    """(container, field, argument, type_name) where the value of ``key`` names an instruction argument (container, name, type_name) of another type.
+
+    Values that are no plain name, and names of no argument, are silent.
+    """
+    named = constraints.select("container", "field", value_of(F.col("keys"), key).alias("argument")).filter(F.col("argument").rlike("^[A-Za-z_][A-Za-z0-9_]*$"))
+    typed = named.join(arguments.select("container", F.col("name").alias("argument"), "type_name").distinct(), ["container", "argument"])
+    return typed.filter(~F.col("type_name").isin(*expected)).select("container", "field", "argument", "type_name").distinct()
+
+
+def extension_programs(constraints: DataFrame, programs: DataFrame, prefix: str, program_keys: list[str], wrapper: str, data: list[str]) -> DataFrame:
+    """(container, field, program, issue) of fields with a key of the family ``prefix``, by the token program that the first of ``program_keys`` names.
+
+    constraints (container, field, type_name, data_type, keys); programs (container, name, extended): token programs and
+    whether they take extensions. A program that does not is ``program``; else token data in the plain ``wrapper`` is
+    ``wrapper``. Fields whose program is unknown are silent.
+    """
+    rows = constraints.filter(F.exists("keys", lambda k: k["key"].startswith(prefix)))
+    named = rows.withColumn("program", F.coalesce(*[value_of(F.col("keys"), k) for k in program_keys]))
+    typed = named.join(programs.select("container", F.col("name").alias("program"), "extended").distinct(), ["container", "program"])
+    plain = F.coalesce((F.col("type_name") == wrapper) & F.col("data_type").isin(*data), F.lit(False))
+    issue = F.when(~F.col("extended"), "program").when(plain, "wrapper")
+    return typed.withColumn("issue", issue).filter("issue is not null").select("container", "field", "program", "issue").distinct()
+
+
+def hook_programs(constraints: DataFrame, fields: DataFrame, key: str, programs: list[str], unchecked: list[str], guards: list[str]) -> DataFrame:
+    """(container, field, target, type_name) where ``key`` names a field (container, name, type_name, keys) that is no program.
+
+    An unchecked field with one of the ``guards`` counts as one; names of no field are silent.
+    """
+    named = constraints.select("container", "field", value_of(F.col("keys"), key).alias("target")).filter("target is not null")
+    guarded = F.col("type_name").isin(*unchecked) & F.exists("keys", lambda k: k["key"].isin(*guards))
+    typed = named.join(fields.select("container", F.col("name").alias("target"), "type_name", (F.col("type_name").isin(*programs) | guarded).alias("_ok")), ["container", "target"])
+    return typed.filter(~F.coalesce("_ok", F.lit(False))).select("container", "field", "target", "type_name").distinct()
+
+
 def exclusive_groups(constraints: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
     """(container, field, families) of fields whose keys come from more than one of exclusive families (key prefixes)."""
     keys = F.transform("keys", lambda k: F.concat(F.substring_index(k["key"], "::", 1), F.lit("::")))
@@ -195,3 +231,14 @@ def shape_checks(fields: DataFrame, functions: DataFrame, known: DataFrame, wrap
     sysvar = fields.filter((F.col("type_name") == "Sysvar") & ~first.isin(*sysvars)).select(F.col("container").alias("scope"), "name", F.lit("sysvar").alias("issue"))
     twice = functions.filter("is_fallback").groupBy(F.col("file").alias("scope")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return bare.unionByName(unknown).unionByName(sysvar).unionByName(twice.select("scope", "name", F.lit("fallback").alias("issue")))
+
+
+def bad_returns(functions: DataFrame, result: str = "Result") -> DataFrame:
+    """(file, name, issue) of handlers (file, name, takes_context, return_type, return_args) that do not return ``Result`` of a type.
+
+    ``generic``: a Result without a type argument; ``return``: another type or none. Functions without a context are no handlers.
+    """
+    named = F.coalesce(F.col("return_type") == result, F.lit(False))
+    bare = F.coalesce(F.size("return_args") < 1, F.lit(True))
+    issue = F.when(~named, "return").when(bare, "generic")
+    return functions.filter("takes_context").withColumn("issue", issue).filter("issue is not null").select("file", "name", "issue")

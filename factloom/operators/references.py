@@ -43,6 +43,22 @@ def gated_absence(subjects: DataFrame, present: DataFrame, gate: DataFrame, keys
     return subjects.select(*keys).distinct().join(gate.select(*keys).distinct(), keys, "left_semi").join(present.select(*keys).distinct(), keys, "left_anti")
 
 
+def missing_init(fields: DataFrame, handlers: DataFrame, usages: DataFrame, gates: list[DataFrame], kinds: list[str]) -> DataFrame:
+    """(container, name) of fields (container, name, type_name, is_init) of ``kinds`` that are not initialised although an init-like handler (container, handler) is there.
+
+    Containers that one of ``gates`` (container) lacks, such as those with a payer or a system program, are silent. Where the
+    handler changes some field of the container (handler, account, mutable), only such fields count.
+    """
+    own = handlers.select("container", "handler").distinct()
+    for gate in gates:
+        own = own.join(gate.select("container").distinct(), "container", "left_semi")
+    changed = usages.filter("mutable").select("handler", F.col("account").alias("name")).distinct()
+    changed = own.join(changed, "handler").select("container", "name").distinct().join(fields.select("container", "name").distinct(), ["container", "name"], "left_semi")
+    bare = fields.filter(F.col("type_name").isin(*kinds) & ~F.coalesce("is_init", F.lit(False))).join(own, "container", "left_semi").select("container", "name").distinct()
+    restricted = bare.join(changed, ["container", "name"], "left_semi")
+    return restricted.unionByName(bare.join(changed.select("container").distinct(), "container", "left_anti"))
+
+
 def missing_args(uses: DataFrame, args: DataFrame, handlers: DataFrame) -> DataFrame:
     """(context, name) used as an instruction argument but not declared, where the context has a handler; leading ``_`` is ignored."""
     u = uses.withColumn("_n", strip_underscores(F.col("name")))
@@ -158,6 +174,21 @@ def lookup(symbols: DataFrame, references: DataFrame, name: str, container: str
     return own.select(F.lit("definition").alias("role"), *cols).unionByName(refs.select(F.lit("reference").alias("role"), *cols))
 
 
+def references_of(symbols: DataFrame, references: DataFrame, names: DataFrame, kinds: list[str], container: bool = False) -> DataFrame:
+    """The references of ``names`` (name, and with ``container`` also container) of some kinds, only of names that have a definition of these kinds.
+
+    So type references, function references and references inside one container are one lookup each for many names at once.
+    """
+    keys = ["name", "container"] if container else ["name"]
+    known = names.select(*keys).distinct().join(symbols.filter(F.col("kind").isin(*kinds)).select("name").distinct(), "name", "left_semi")
+    return references.filter(F.col("kind").isin(*kinds)).join(known, keys, "left_semi")
+
+
+def implementations(functions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The program instructions (context, name, file, is_open) that implement ``contexts`` (context); helpers are none."""
+    return functions.filter("is_program_instruction").join(contexts.select("context").distinct(), "context", "left_semi").select("context", "name", "file", "is_open")
+
+
 def argument_refs(sources: list[DataFrame], context: str, name: str) -> DataFrame:
     """Distinct places (file, start_line, start_char) of an argument in several tables (context, name, file, ...), ``_`` aliases included."""
     out = None

@@ -206,10 +206,11 @@ def d4_corpus_gate(spark, sf_dir):
 
 @query(
     _findings_sql()
-    + """, r as (select *, case severity when 'error' then 'error' when 'information' then 'note' when 'hint' then 'note' else 'warning' end as level from f)
-select file, code as rule_id, level, '{"ruleId":"' || code || '","level":"' || level || '","message":{"text":"' || code
+    + """, r as (select *, case severity when 'error' then 'error' when 'information' then 'note' when 'hint' then 'note' else 'warning' end as level from f),
+x as (select code, row_number() over (order by min((file::varchar, start_line, start_char)), code) - 1 as i from r group by code)
+select file, code as rule_id, level, '{"ruleId":"' || code || '","ruleIndex":' || i || ',"level":"' || level || '","message":{"text":"' || code
   || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || (start_line + 1) || ',"startColumn":' || (start_char + 1)
-  || ',"endLine":' || (end_line + 1) || ',"endColumn":' || (end_char + 1) || '}}}],"properties":{"topic":"' || topic || '","confidence":"' || confidence || '"}}' as json from r"""
+  || ',"endLine":' || (end_line + 1) || ',"endColumn":' || (end_char + 1) || '}}}],"properties":{"topic":"' || topic || '","confidence":"' || confidence || '"}}' as json from r join x using (code)"""
 )
 def d21_sarif(spark, sf_dir):
     rows = line_findings(spark, sf_dir).withColumns({"message": F.col("code"), "file": F.col("file").cast("string")})

@@ -716,6 +716,121 @@ def c14_spaced(spark, sf_dir):
     return hits.filter(inside).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- references, tokens and shapes by every branch --------------------------------------------------
+
+
+@query("""
+with o as (select distinct o_custkey as k, o_orderstatus as s from orders)
+select c_custkey as name, case when c_custkey in (select k from o where s = 'P') then 'found' when c_custkey in (select k from o where s = 'F') and c_nationkey % 5 = 0 then 'found'
+  when c_custkey in (select k from o) then 'exists' when c_nationkey % 2 = 1 then 'silent' else 'missing' end as state from customer""")
+def j6_context(spark, sf_dir):
+    """A context that is found here or in the workspace, exists underived, may be elsewhere, or is missing."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), "o_orderstatus")
+    uses = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), (F.col("c_nationkey") % 2 == 0).alias("sees"), "c_nationkey")
+    near = o.filter("o_orderstatus = 'F'").join(uses.filter("c_nationkey % 5 = 0").select("name"), "name", "left_semi")
+    local = o.filter("o_orderstatus = 'P'")
+    return references.resolve_context(uses, local.select("name").distinct(), near.select("name").distinct(), o.select("name").distinct(), F.col("sees")).select("name", "state")
+
+
+@query("""
+with f as (select user_id as container, event_id % 20 as name, case when bool_or(event_type = 'view') then 'Account' else 'Signer' end as type_name, bool_or(event_id % 7 = 0) as is_init from events where event_type in ('view', 'click') group by all),
+h as (select distinct user_id as container from events where user_id % 2 = 0 and user_id % 3 <> 0 and user_id in (select user_id from events where event_type = 'signup' and value > 5)),
+u as (select distinct user_id as container, event_id % 20 as name from events where event_type = 'error' and value > 60 and user_id % 4 = 0),
+m as (select container, name from u semi join f using (container, name) where container in (select container from h)),
+b as (select distinct container, name from f where type_name = 'Account' and not is_init and container in (select container from h))
+select container, name from b where (container, name) in (select (container, name) from m) or container not in (select container from m)""")
+def j10_missing_init(spark, sf_dir):
+    """Two gates, and only the changed fields where a handler changes any."""
+    e = _t(spark, sf_dir, "events").withColumns({"container": F.col("user_id"), "name": F.col("event_id") % 20})
+    fields = e.filter("event_type in ('view', 'click')").groupBy("container", "name").agg(
+        F.when(F.bool_or(F.col("event_type") == "view"), "Account").otherwise("Signer").alias("type_name"), F.bool_or(F.col("event_id") % 7 == 0).alias("is_init")
+    )
+    handlers = e.filter("user_id % 2 = 0").select("container", F.col("container").alias("handler")).distinct()
+    gates = [e.filter("user_id % 3 <> 0"), e.filter("event_type = 'signup' and value > 5")]
+    usages = e.filter("event_type = 'error'").select(F.col("user_id").alias("handler"), F.col("name").alias("account"), ((F.col("value") > 60) & (F.col("user_id") % 4 == 0)).alias("mutable"))
+    return references.missing_init(fields, handlers, usages, gates, ["Account"])
+
+
+@query("""
+with r as (select l_orderkey as file, p_name as name, case when l_linenumber % 2 = 1 then 'struct' else 'function' end as kind, l_returnflag as container from lineitem join part on p_partkey = l_partkey),
+d as (select p_name as name, case when p_size % 3 = 0 then 'struct' else 'function' end as kind from part where p_size > 20)
+select 'type' as role, name, count(*) as n from r where kind = 'struct' and name in (select name from d where kind = 'struct') and name like 'red%' group by name
+union all select 'inside', name, count(*) from r where kind = 'function' and container = 'A' and name in (select name from d where kind = 'function') and name like 'red%' group by name
+union all select 'implementation', (user_id % 5)::varchar, count(*) from events where event_type = 'purchase' and user_id % 5 in (1, 3) group by all""")
+def j24_lookups(spark, sf_dir):
+    """Type references, references inside a container, and implementations of contexts."""
+    part = _t(spark, sf_dir, "part")
+    symbols = part.filter("p_size > 20").select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "struct").otherwise("function").alias("kind"))
+    lines = _t(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    refs = lines.select(F.col("l_orderkey").alias("file"), F.col("p_name").alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "struct").otherwise("function").alias("kind"), F.col("l_returnflag").alias("container"))
+    asked = part.filter("p_name like 'red%'").select(F.col("p_name").alias("name"), F.lit("A").alias("container"))
+    functions = _t(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("context"), F.col("event_id").alias("name"), F.col("user_id").alias("file"), F.lit(False).alias("is_open"), (F.col("event_type") == "purchase").alias("is_program_instruction"))
+    contexts = spark.createDataFrame([(1,), (3,)], "context long")
+    count = lambda df, role, name: df.groupBy(name.cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(role).alias("role"), "name", "n")
+    types = count(references.references_of(symbols, refs, asked, ["struct"]), "type", F.col("name"))
+    inside = count(references.references_of(symbols, refs, asked, ["function"], container=True), "inside", F.col("name"))
+    return types.unionByName(inside).unionByName(count(references.implementations(functions, contexts), "implementation", F.col("context")))
+
+
+@query("""
+with c as (select l_orderkey as container, l_linenumber as field, case l_returnflag when 'A' then 'n' when 'R' then '9' else 'other' end as v from lineitem)
+select distinct container, field, v as argument, o_orderpriority as type_name from c join orders on o_orderkey = container where v = 'n' and o_orderpriority <> '1-URGENT'""")
+def f19_decimals(spark, sf_dir):
+    """a value that names an argument of another type; literals and unknown names are silent."""
+    value = F.when(F.col("l_returnflag") == "A", "n").when(F.col("l_returnflag") == "R", "9").otherwise("other")
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("container"), F.col("l_linenumber").alias("field"), _keys([F.lit("mint::decimals")], [value]).alias("keys"))
+    arguments = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("container"), F.lit("n").alias("name"), F.col("o_orderpriority").alias("type_name"))
+    return constraints.argument_types(rows, arguments, "mint::decimals", ["1-URGENT"])
+
+
+@query("""
+with c as (select l_orderkey as container, l_linenumber as field, case when l_quantity > 25 then 'Account' else 'Interface' end as type_name, case l_linestatus when 'O' then 'Mint' else 'Other' end as data_type,
+  'p' || l_linenumber % 3 as program from lineitem where l_returnflag = 'A'),
+p as (select o_orderkey as container, 'p' || (o_orderkey % 3) as name, o_orderstatus <> 'F' as extended from orders)
+select distinct container, field, program, case when not extended then 'program' else 'wrapper' end as issue from c join p using (container) where program = name and (not extended or type_name = 'Account' and data_type = 'Mint')""")
+def f19_extensions(spark, sf_dir):
+    """extensions with a program that takes none, or token data in the plain wrapper."""
+    lines = _t(spark, sf_dir, "lineitem")
+    keys = _keys([F.when(F.col("l_returnflag") == "A", "extensions::close_authority").otherwise("mint::decimals"), F.lit("token::token_program")], [F.lit("x"), F.concat(F.lit("p"), (F.col("l_linenumber") % 3).cast("string"))])
+    kind, data = F.when(F.col("l_quantity") > 25, "Account").otherwise("Interface"), F.when(F.col("l_linestatus") == "O", "Mint").otherwise("Other")
+    rows = lines.select(F.col("l_orderkey").alias("container"), F.col("l_linenumber").alias("field"), kind.alias("type_name"), data.alias("data_type"), keys.alias("keys"))
+    programs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("container"), F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string")).alias("name"), (F.col("o_orderstatus") != "F").alias("extended"))
+    return constraints.extension_programs(rows, programs, "extensions::", ["mint::token_program", "token::token_program"], "Account", ["Mint", "TokenAccount"])
+
+
+@query("""
+select distinct l_orderkey as container, l_linenumber as field, 'h' as target, o_orderpriority as type_name from lineitem join orders on o_orderkey = l_orderkey
+where l_returnflag = 'R' and o_orderpriority <> '1-URGENT' and not (o_orderpriority = '2-HIGH' and o_orderstatus = 'F')""")
+def f19_hooks(spark, sf_dir):
+    """a hook that names a field that is no program; guarded unchecked fields pass."""
+    name = F.when(F.col("l_returnflag") == "R", "h").when(F.col("l_returnflag") == "A", "unknown")
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("container"), F.col("l_linenumber").alias("field"), _keys([F.lit("hook")], [name]).alias("keys"))
+    fields = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("container"), F.lit("h").alias("name"), F.col("o_orderpriority").alias("type_name"), _keys([F.when(F.col("o_orderstatus") == "F", "executable").otherwise("mut")]).alias("keys"))
+    return constraints.hook_programs(rows, fields, "hook", ["1-URGENT"], ["2-HIGH"], ["executable", "address"])
+
+
+@query("""
+select user_id as file, event_id as name, case when event_type in ('view', 'click') then 'generic' else 'return' end as issue from events
+where event_id % 3 <> 0 and not (event_type = 'view' and value > 50) and not (event_type = 'click' and value > 90)""")
+def f23_returns(spark, sf_dir):
+    """handlers whose return is another type, none, or a Result without a type; functions without a context pass."""
+    kind = F.col("event_type")
+    args = F.when((kind == "view") & (F.col("value") > 50), F.array(F.lit("()"))).when((kind == "click") & (F.col("value") > 90), F.array(F.lit("T"))).when(kind == "view", F.array().cast("array<string>"))
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("name"), (F.col("event_id") % 3 != 0).alias("takes_context"), F.when(kind.isin("view", "click"), "Result").when(kind == "error", "u64").alias("return_type"), args.alias("return_args"))
+    return constraints.bad_returns(rows)
+
+
+@query(_findings_sql() + """, r as (select code, min((file::varchar, start_line, start_char)) as p, arg_min(topic, (file::varchar, start_line, start_char)) as topic, arg_min(confidence, (file::varchar, start_line, start_char)) as confidence from f group by code)
+select '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"factloom","version":"2","informationUri":"https://tool.example","rules":['
+  || string_agg('{"id":"' || code || '","name":"' || topic || '","shortDescription":{"text":"' || code || '"},"helpUri":"https://docs.example/' || topic || '","properties":{"topic":"' || topic || '","confidence":"' || confidence || '","applicability":"review"}}', ',' order by p, code)
+  || ']}}}]}' as json from r""")
+def s10_header(spark, sf_dir):
+    """The header of a run, its rules in the order of their first findings."""
+    more = {"message": F.col("code"), "file": F.col("file").cast("string"), "docs_url": F.concat(F.lit("https://docs.example/"), "topic"), "applicability": F.lit("review")}
+    rules, _ = sinks.sarif_rows(line_findings(spark, sf_dir).withColumns(more))
+    return sinks.sarif_header(rules, "factloom", "2", "https://tool.example")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

@@ -16,32 +16,58 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.orderBy("file", "start_line", "start_char").write.json(path)
 
 
+_OPTIONAL = ("applicability", "docs_url")
+
+
 def sarif_rows(findings: DataFrame, fallback: str = "finding") -> tuple[DataFrame, DataFrame]:
-    """(rule_id, level, message) of each rule, by its first finding, and (file, rule_id, level, json) of each result.
+    """(rule_index, rule_id, level, message, name, help_uri, properties) of each rule by its first finding, and (file, rule_id, level, json) of each result.
 
-    Positions count from 1.
+    Rules are numbered from 0 in the order of their first findings; their number is that of a catalog. Positions count from 1.
     """
-    rows = findings.withColumns({"rule_id": F.coalesce("code", "topic", F.lit(fallback)), "level": sarif_level(F.col("severity"))})
-    first = F.row_number().over(W.partitionBy("rule_id").orderBy("file", "start_line", "start_char", "message"))
-    rules = rows.withColumn("_n", first).filter("_n = 1").select("rule_id", "level", "message")
+    have = {c: F.col(c) if c in findings.columns else F.lit(None).cast("string") for c in _OPTIONAL}
+    rows = findings.withColumns({"rule_id": F.coalesce("code", "topic", F.lit(fallback)), "level": sarif_level(F.col("severity")), **have})
+    about = F.when(F.col("topic").isNotNull(), F.struct("topic", "confidence", "applicability"))
+    first = F.struct("file", "start_line", "start_char", "message", "level", F.coalesce("topic", "rule_id").alias("name"), F.col("docs_url").alias("help_uri"), about.alias("properties"))
+    rules = rows.groupBy("rule_id").agg(F.min(first).alias("_first"))
+    rules = rules.withColumn("rule_index", F.row_number().over(W.orderBy("_first", "rule_id")) - 1)
+    rules = rules.select("rule_index", "rule_id", *[f"_first.{c}" for c in ("level", "message", "name", "help_uri", "properties")])
     region = F.struct(*[(F.col(a) + 1).alias(b) for a, b in (("start_line", "startLine"), ("start_char", "startColumn"), ("end_line", "endLine"), ("end_char", "endColumn"))])
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
+        F.col("rule_index").alias("ruleIndex"),
         "level",
         F.struct(F.col("message").alias("text")).alias("message"),
         F.array(place).alias("locations"),
-        F.when(F.col("topic").isNotNull(), F.struct("topic", "confidence")).alias("properties"),
+        about.alias("properties"),
+    )
+    indexed = rows.join(rules.select("rule_id", "rule_index"), "rule_id")
+    return rules, indexed.select("file", "rule_id", "level", F.to_json(result).alias("json"))
+
+
+def sarif_header(rules: DataFrame, tool: str = "factloom", version: str = "1", uri: str | None = None) -> DataFrame:
+    """(json): the one run header: schema, version, the tool and its rules in order. Results follow beside it."""
+    rule = F.struct(
+        "rule_index",
+        F.struct(
+            F.col("rule_id").alias("id"),
+            "name",
+            F.struct(F.col("message").alias("text")).alias("shortDescription"),
+            F.col("help_uri").alias("helpUri"),
+            "properties",
+        ).alias("rule"),
     )
-    return rules, rows.select("file", "rule_id", "level", F.to_json(result).alias("json"))
+    listed = rules.agg(F.transform(F.sort_array(F.collect_list(rule)), lambda r: r["rule"]).alias("rules"))
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.lit(uri).cast("string").alias("informationUri"), "rules")
+    run = F.array(F.struct(F.struct(driver.alias("driver")).alias("tool")))
+    return listed.select(F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), run.alias("runs"))).alias("json"))
 
 
 def write_sarif(findings: DataFrame, path: str, tool: str = "factloom") -> None:
     """Results as JSON lines in ``path/results`` and one run header with the rules in ``path/run``."""
     rules, results = sarif_rows(findings)
     results.orderBy("file").select("json").write.text(f"{path}/results")
-    listed = rules.agg(F.sort_array(F.collect_list(F.struct(F.col("rule_id").alias("id"), "level", "message"))).alias("rules"))
-    listed.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(tool).alias("tool"), "rules")).alias("value")).write.text(f"{path}/run")
+    sarif_header(rules, tool).select(F.col("json").alias("value")).write.text(f"{path}/run")
 
 
 def to_report(files: DataFrame, key: str, columns: list[str], totals: dict[str, Column] | None = None) -> DataFrame:
