@@ -198,19 +198,75 @@ def argument_refs(sources: list[DataFrame], context: str, name: str) -> DataFram
     return out.dropDuplicates()
 
 
-def closest(missing: DataFrame, candidates: DataFrame, scope: list[str], k: int = 8, role: Column | None = None) -> DataFrame:
-    """O1: the ``k`` nearest candidates (scope, candidate) of each missing name (scope, name): by role rank, edit distance, name.
+#: Edit distances that are tried by segments before names are compared by length.
+RADII = (1, 2)
 
-    Without roles names meet candidates of near lengths only: those of the same length first, whose k-th best distance
-    bounds by how much the lengths of the others may differ; so the joins are on scope and length.
+
+def _segments(n: Column, d: int) -> list[tuple[Column, Column]]:
+    """Where the d + 1 segments of a word of ``n`` characters begin (from 0) and how long they are; the last ones are the longer."""
+    short, longer = F.floor(n / (d + 1)).cast("int"), (n % (d + 1)).cast("int")
+    first = F.lit(d + 1) - longer  # segments of the shorter length
+    return [(F.lit(i) * short + F.greatest(F.lit(i) - first, F.lit(0)), short + F.when(F.lit(i) >= first, 1).otherwise(0)) for i in range(d + 1)]
+
+
+def within_distance(asked: DataFrame, candidates: DataFrame, scope: list[str], d: int) -> DataFrame:
+    """(scope, name, candidate, distance) of all pairs of a scope within edit distance ``d``, of names longer than 2 d + 1.
+
+    A candidate is cut into d + 1 segments, of which ``d`` edits leave one as it is; in a name it begins at most ``d`` places
+    off. So pairs meet on scope, length, segment and place, however many names a scope has.
+    """
+    n = F.length("candidate")
+    cut = lambda of, at, size: F.substr(F.col(of), (at + 1).cast("int"), size.cast("int"))
+    own = [F.struct(n.alias("_n"), F.lit(i).alias("_i"), cut("candidate", at, size).alias("_s")) for i, (at, size) in enumerate(_segments(n, d))]
+    index = candidates.select(*scope, "candidate").distinct().filter(n > d).select("*", F.inline(F.array(*own)))
+    names = asked.select(*scope, "name").distinct().filter(F.length("name") > 2 * d + 1)
+    parts = []
+    for off in range(-d, d + 1):
+        m = F.length("name") + off
+        for i, (at, size) in enumerate(_segments(m, d)):
+            parts += [F.when((at + by >= 0) & (at + by + size <= F.length("name")), F.struct(m.alias("_n"), F.lit(i).alias("_i"), cut("name", at + by, size).alias("_s"))) for by in range(-d, d + 1)]
+    probes = names.select("*", F.inline(F.array_distinct(F.array_compact(F.array(*parts)))))
+    pairs = probes.join(index, [*scope, "_n", "_i", "_s"]).select(*scope, "name", "candidate").distinct()
+    return pairs.withColumn("distance", F.levenshtein("name", "candidate", d)).filter("distance >= 0")
+
+
+def closest(missing: DataFrame, candidates: DataFrame, scope: list[str], k: int = 8, role: Column | None = None, kind: str | None = None) -> DataFrame:
+    """O1: the ``k`` nearest candidates (scope, candidate) of each missing name (scope, name): by role rank, edit distance, name, kind.
+
+    ``role`` is a rank by columns of a missing name and the column ``kind`` of a candidate. The nearest are looked for in each
+    scope and kind, and the role ranks what is found, so roles make no further pairs. Names with ``k`` candidates within a
+    small distance find them by segments; the others meet candidates of near lengths only: those of the same length first,
+    whose k-th best distance bounds by how much the lengths of the others may differ.
     """
-    order = ([role] if role is not None else []) + [F.col("distance"), F.col("candidate")]
-    rank = F.row_number().over(W.partitionBy(*scope, "name").orderBy(*order))
     if role is not None:
-        pairs = missing.join(candidates, scope).withColumn("distance", F.levenshtein("name", "candidate"))
-        return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+        wide = missing.join(candidates.select(*scope, kind).distinct(), scope)
+        found = _nearest(wide.select(*scope, kind, "name").distinct(), candidates, [*scope, kind], k)
+        rows = wide.join(found.drop("rank"), [*scope, kind, "name"])
+        order = W.partitionBy(*missing.columns).orderBy(role, "distance", "candidate", kind)
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = _nearest(missing.select(*scope, "name").distinct(), candidates, scope, k)
+    return missing.join(found, [*scope, "name"])
+
+
+def _nearest(asked: DataFrame, candidates: DataFrame, scope: list[str], k: int) -> DataFrame:
+    """(scope, name, candidate, distance, rank) of the ``k`` nearest candidates of distinct names."""
+    candidates = candidates.select(*scope, "candidate")
+    rank = F.row_number().over(W.partitionBy(*scope, "name").orderBy("distance", "candidate"))
+    done = None
+    for d in RADII:
+        near = within_distance(asked, candidates, scope, d).join(candidates, [*scope, "candidate"])
+        ranked = near.withColumn("rank", rank).filter(F.col("rank") <= k).select(*scope, "name", "candidate", "distance", "rank")
+        whole = ranked.filter(F.col("rank") == k).select(*scope, "name")
+        ranked = ranked.join(whole, [*scope, "name"], "left_semi")
+        done = ranked if done is None else done.unionByName(ranked)
+        asked = asked.join(whole, [*scope, "name"], "left_anti")
+    return done.unionByName(_nearest_by_length(asked, candidates, scope, k))
+
+
+def _nearest_by_length(asked: DataFrame, candidates: DataFrame, scope: list[str], k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(*scope, "name").orderBy("distance", "candidate"))
     sized = candidates.withColumn("_n", F.length("candidate"))
-    asked = missing.withColumn("_n", F.length("name"))
+    asked = asked.withColumn("_n", F.length("name"))
     same = asked.join(sized, [*scope, "_n"]).withColumn("distance", F.levenshtein("name", "candidate"))
     first = same.withColumn("_r", rank).filter(F.col("_r") == k).select(*scope, "name", F.col("distance").alias("_most"))
     lengths = sized.groupBy(*scope).agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
@@ -220,7 +276,7 @@ def closest(missing: DataFrame, candidates: DataFrame, scope: list[str], k: int
     high = F.least(F.col("_hi"), F.coalesce(n + F.col("_most"), F.col("_hi")))
     wide = bounded.filter(low <= high).withColumn("_n", F.explode(F.sequence(low, high))).drop("_most", "_lo", "_hi")
     pairs = wide.join(sized, [*scope, "_n"]).drop("_n").withColumn("distance", F.levenshtein("name", "candidate"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*scope, "name", "candidate", "distance", "rank")
 
 
 def symbol_search(symbols: DataFrame, query: str, name: str = "name") -> DataFrame:

@@ -831,6 +831,22 @@ def s10_header(spark, sf_dir):
     return sinks.sarif_header(rules, "factloom", "2", "https://tool.example")
 
 
+@query("""
+with c as (select distinct p_brand, p_name as candidate, p_size % 4 as kind from part where p_size <= 25),
+m as (select distinct p_brand, p_name as name, p_size % 4 as wanted from part where p_size > 40),
+n as (select m.*, candidate, kind, levenshtein(name, candidate) as distance, case when wanted = 0 then 0 when kind = wanted then 0 when kind > wanted then 1 else 2 end as r from m join c using (p_brand))
+select p_brand, name, wanted, candidate, kind, distance::int as distance, rank from (
+  select *, row_number() over (partition by p_brand, name, wanted order by r, distance, candidate, kind)::int as rank from n) where rank <= 4""")
+def o1_roles(spark, sf_dir):
+    """O1: the nearest candidates by how well their kind fits, then by edit distance."""
+    part = _t(spark, sf_dir, "part").withColumn("size4", F.col("p_size") % 4)
+    candidates = part.filter("p_size <= 25").select("p_brand", F.col("p_name").alias("candidate"), F.col("size4").alias("kind")).distinct()
+    missing = part.filter("p_size > 40").select("p_brand", F.col("p_name").alias("name"), F.col("size4").alias("wanted")).distinct()
+    role = F.when((F.col("wanted") == 0) | (F.col("kind") == F.col("wanted")), 0).when(F.col("kind") > F.col("wanted"), 1).otherwise(2)
+    out = references.closest(missing, candidates, ["p_brand"], 4, role, "kind")
+    return out.select("p_brand", "name", "wanted", "candidate", "kind", "distance", "rank")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 
