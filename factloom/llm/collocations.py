@@ -18,6 +18,7 @@ between pieces, so a very long one takes a slice's memory unless a single piece
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.llm import shared
 from factloom.llm.common import dropped, released, staged
 
 #: Bytes of text of a slice, bits of a table of frequent phrases, keys a task holds before it sends them, nodes of a trie.
 SLICE, BITS, HELD, NODES = 1 << 22, 1 << 26, 1 << 21, 1 << 20
-#: Bits of the hash by which phrases are counted first, and states whose counts travel as one row.
+#: Bits of the hash by which words and phrases are counted first, and states whose counts travel as one row.
 SHORT, STATES = 40, 1 << 12
 #: Bits of one row of a table of bits.
 ROW_BITS = 1 << 15
@@ -82,14 +84,10 @@ def coded(data: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
     return words, codes
 
 
-_CODED = "lang string, word string, h long, n long, hashes binary, codes binary"
-
-
 def encode(docs: DataFrame, seed: int, slice_bytes: int = SLICE) -> DataFrame:
-    """Rows (lang, word, h, n) of the words of each slice, and one row (lang, n, hashes, codes) of each slice."""
+    """(lang, n, hashes, names, codes) of each slice: its number of words, its distinct words as hashes and as lines, and its codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _CODED.replace(",", "").split()[::2]
         for b in batches:
             langs = b.column(0).dictionary_encode()
             texts = b.column(1).cast(pa.binary())
@@ -100,15 +98,22 @@ def encode(docs: DataFrame, seed: int, slice_bytes: int = SLICE) -> DataFrame:
                     words, codes = coded(data)
                     if not len(words):
                         continue
-                    each = words.dictionary
-                    h = np.fromiter((xxhash.xxh64_intdigest(w, own) for w in each.to_pylist()), np.uint64, len(each))
-                    n = np.bincount(words.indices.to_numpy(), minlength=len(each))
-                    no = pa.nulls(len(each), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(each)), each.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n), no, no], names)
-                    row = [pa.array([x], k) for x, k in ((lang, pa.string()), (None, pa.string()), (None, pa.int64()), (len(words), pa.int64()), (h.tobytes(), pa.binary()), (codes.tobytes(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(row, names)
+                    each = words.dictionary.to_pylist()
+                    h = np.fromiter((xxhash.xxh64_intdigest(w, own) for w in each), np.uint64, len(each))
+                    row = [pa.array([x], k) for x, k in ((lang, pa.string()), (len(words), pa.int64()), (h.tobytes(), pa.binary()), (b"\n".join(each), pa.binary()), (codes.tobytes(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(row, ["lang", "n", "hashes", "names", "codes"])
+
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    return rows.mapInArrow(released(run), "lang string, n long, hashes binary, names binary, codes binary")
+
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(released(run), _CODED)
+def _hashes(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _times(codes: pa.Scalar, words: int) -> np.ndarray:
+    """How often each word of a slice occurs."""
+    return np.bincount(np.frombuffer(codes.as_buffer(), np.uint32), minlength=words + 1)[1:]
 
 
 def joined(p: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -155,16 +160,118 @@ def _counted(p: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return p[new], w[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def _passing(rows: DataFrame, bits: bytes) -> DataFrame:
-    """The rows (h, ...) whose hash is in a table of bits."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+def _sums(rows: DataFrame, extract, keys: dict[str, str], tasks: int, deal_by: str) -> DataFrame:
+    """Sums (keys, n) of tables (keys, n) that ``extract`` makes of the record batches of ``rows``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
+    A task sums what it meets and sends each other task lists of it, dealt by the hash in ``deal_by``.
+    """
+    names = list(keys)
+
+    def together(tables: list[pa.Table]) -> pa.Table:
+        summed = pa.concat_tables(tables).group_by(names).aggregate([("n", "sum")])
+        return pa.table({c: summed.column("n_sum" if c == "n" else c) for c in [*names, "n"]})
+
+    def lists(own: pa.Table) -> Iterator[pa.RecordBatch]:
+        h = own.column(deal_by).to_numpy().view(np.uint64)
+        bucket = (joined(h, h) % np.uint64(tasks)).astype(np.int64)
+        own, bucket = own.take(pa.array(np.lexsort((h, bucket)))).combine_chunks(), np.sort(bucket)
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        columns = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), own.column(c).chunk(0)) for c in own.column_names]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *columns], ["bucket", *own.column_names])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for t in extract(batches):
+            if t.num_rows:
+                held.append(t)
+            if sum(x.num_rows for x in held) >= HELD:
+                held = [together(held)]
+                if held[0].num_rows >= HELD // 2:
+                    yield from lists(held.pop())
+        if held:
+            yield from lists(together(held))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.table({c: b.column(c).flatten() for c in [*names, "n"]}) for b in batches if b.num_rows]
+        if held:
+            yield from together(held).combine_chunks().to_batches()
+
+    many = ", ".join(f"{c} array<{k}>" for c, k in [*keys.items(), ("n", "long")])
+    sent = rows.mapInArrow(released(send), f"bucket int, {many}")
+    return sent.repartitionById(tasks, F.col("bucket")).mapInArrow(released(meet), ", ".join(f"{c} {k}" for c, k in [*keys.items(), ("n", "long")]))
+
+
+def _passing(slices: DataFrame, bits: bytes, tasks: int) -> DataFrame:
+    """(h, lang, word, n) of the words whose short hash is in a table of bits; only these travel as strings."""
+    dense = slices.sparkSession.sparkContext.broadcast(bits)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        table = np.frombuffer(dense.value, np.uint8)
         for b in batches:
-            yield b.filter(pa.array(_has(table, b.column(0).to_numpy().view(np.uint64))))
+            for lang, hashes, names, codes in zip(*b.columns, strict=True):
+                h = _hashes(hashes)
+                keep = np.flatnonzero(_has(table, _short(h)))
+                words = names.as_py().split(b"\n")
+                some = pa.array([words[i] for i in keep.tolist()], pa.binary()).cast(pa.string())
+                yield pa.table({"h": h[keep].view(np.int64), "lang": pa.array([lang.as_py()] * len(keep), pa.string()), "word": some, "n": _times(codes, len(h))[keep]})
 
-    return rows.mapInArrow(released(run), rows.schema)
+    rows = slices.select("lang", "hashes", "names", "codes")
+    return _sums(rows, extract, {"h": "long", "lang": "string", "word": "string"}, tasks, "h")
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The part of a hash by which words and phrases are counted first."""
+    return h >> np.uint64(64 - SHORT)
+
+
+def frequent(rows: DataFrame, extract, bits: int, min_count: int) -> DataFrame:
+    """(h) of the short hashes that occur ``min_count`` times or more.
+
+    extract: turns the record batches of ``rows`` into tuples (short hashes, numbers). A task counts what it meets and sends
+    each other task one message at a time: the gaps between its sorted hashes and their numbers, compressed.
+    """
+    below = np.uint64(SHORT - bits)
+    kind = np.dtype("<u4" if SHORT - bits <= 32 else "<u8")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def messages() -> pa.RecordBatch:
+            key, n = held[0]
+            bucket = (key >> below).astype(np.int64)
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            low = key & ((np.uint64(1) << below) - np.uint64(1))
+            packed = [zlib.compress(np.diff(low[x:y], prepend=np.uint64(0)).astype(kind).tobytes() + n[x:y].astype("<u4").tobytes(), 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            columns = [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([y - x for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.int32()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "packed"])
+
+        for key, n in extract(batches):
+            held.append(_once(key, n))
+            size += len(held[-1][0])
+            if size >= HELD:
+                held = [_once(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+            if size >= HELD // 2 and len(held) == 1:
+                yield messages()
+                held, size = [], 0
+        if held:
+            held = [_once(*map(np.concatenate, zip(*held, strict=True)))]
+            yield messages()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for bucket, keys, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = zlib.decompress(packed)
+                low = np.cumsum(np.frombuffer(raw, kind, keys), dtype=np.uint64)
+                held.append((low | np.uint64(bucket) << below, np.frombuffer(raw, "<u4", keys, keys * kind.itemsize).astype(np.int64)))
+        if held:
+            key, n = _once(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[n >= min_count].view(np.int64))], ["h"])
+
+    sent = rows.mapInArrow(released(send), "bucket int, keys int, packed binary")
+    return sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(released(meet), "h long")
 
 
 def _once(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,18 +282,18 @@ def _once(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.add.reduceat(n, new)
 
 
-def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int) -> DataFrame:
+def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int, dealt: int) -> DataFrame:
     """(p, w): first parts and last words of phrases of ``length`` words that occur ``min_count`` times or more.
 
-    bits: the table of frequent phrases one word shorter. Phrases are counted by a short hash first, which is all that is
+    bits: the table of frequent phrases one word shorter; dealt: the bits of the number of tasks that count. Phrases are counted by a short hash first, which is all that is
     shuffled of most of them; only those whose hash is as frequent are counted by (p, w).
     """
     sc = slices.sparkSession.sparkContext
-    shared = sc.broadcast(bits)
+    known = sc.broadcast(bits)
 
     def phrases_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """First parts, last words and short hashes of the phrases of each slice whose parts are frequent."""
-        table = np.frombuffer(shared.value, np.uint8)
+        table = np.frombuffer(known.value, np.uint8)
         for b in batches:
             for hashes, codes in zip(b.column(0), b.column(1), strict=True):
                 code = np.frombuffer(codes.as_buffer(), np.uint32)
@@ -198,37 +305,25 @@ def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int) -> D
                 at = np.flatnonzero(often[:-1] & often[1:])
                 if len(at):
                     p, w = part[at], h[at + length - 1]
-                    yield p, w, joined(p, w) >> np.uint64(64 - SHORT)
+                    yield p, w, _short(joined(p, w))
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for _, _, key in phrases_of(batches):
-            held.append(_once(key, np.ones(len(key), np.int64)))
-            size += len(held[-1][0])
-            if size >= HELD:
-                held = [_once(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
-            if size >= HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["h", "n"])
-                held, size = [], 0
-        if held:
-            key, n = _once(*map(np.concatenate, zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for *_, key in phrases_of(batches):
+            yield key, np.ones(len(key), np.int64)
 
     chosen = slices.select("hashes", "codes")
-    counted = chosen.mapInArrow(released(short), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    dense = sc.broadcast(_bits_of(counted.select("h"), "h"))
+    counted = frequent(chosen, short, dealt, min_count)
+    dense = sc.broadcast(_bits_of(counted, "h"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         table = np.frombuffer(dense.value, np.uint8)
         for p, w, key in phrases_of(batches):
             keep = _has(table, key)
             p, w, n = _counted(p[keep], w[keep], np.ones(int(keep.sum()), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)], ["p", "w", "n"])
+            yield pa.table({"p": p.view(np.int64), "w": w.view(np.int64), "n": n})
 
-    found = chosen.mapInArrow(released(whole), "p long, w long, n long")
-    return found.groupBy("p", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).drop("n")
+    found = _sums(chosen, whole, {"p": "long", "w": "long"}, 1 << dealt, "w")
+    return found.filter(F.col("n") >= min_count).drop("n")
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -361,24 +456,28 @@ def _summed(trie):
 
 def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(totals, words, phrases): (lang, n); (lang, words, f) of frequent words; (lang, words, f) of frequent phrases of two words or more."""
-    rows = staged(encode(docs, seed), "coded")
-    slices = rows.filter("codes is not null").select("lang", "n", "hashes", "codes")
+    slices = staged(encode(docs, seed), "coded")
     totals = staged(slices.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    each = rows.filter("word is not null").select("h", "lang", "word", "n")
-    dense = each.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    # only the words of frequent hashes travel as strings
-    named = _passing(each, _bits_of(dense.select("h"), "h"))
-    counted = staged(named.groupBy("h", "lang", "word").agg(F.sum("n").alias("f")), "words")
+    dealt = shared.bits_for((totals.agg(F.sum("n")).first()[0] or 0) // 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for hashes, codes in zip(*b.columns, strict=True):
+                h = _hashes(hashes)
+                yield _short(h), _times(codes, len(h))
+
+    dense = frequent(slices.select("hashes", "codes"), by_word, dealt, min_count)
+    counted = staged(_passing(slices, _bits_of(dense, "h"), 1 << dealt).withColumnRenamed("n", "f"), "words")
     clash = counted.groupBy("h").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("c")).filter((F.col("c") > 1) & (F.col("f") >= min_count))
     if not clash.isEmpty():
-        dropped(rows, totals, counted)
+        dropped(slices, totals, counted)
         return phrases(docs, min_count, longest, seed + 1)
     often = staged(counted.filter(F.col("f") >= min_count), "frequent")
     level = often.select(F.col("h").alias("p"), "lang", F.array("word").alias("words"), F.array("h").alias("hashes"))
     last = often.select(F.col("h").alias("w"), F.col("lang").alias("_lang"), "word")
     levels = []
     for length in range(2, longest + 1):
-        found = extensions(slices, length, _bits_of(level, "p"), min_count)
+        found = extensions(slices, length, _bits_of(level, "p"), min_count, dealt)
         pairs = found.join(level, "p").join(last, "w").filter("lang = _lang")
         grown = pairs.select("p", "w", "lang", F.concat("words", F.array("word")).alias("words"), F.concat("hashes", F.array("w")).alias("hashes"))
         level = staged(_named(grown).drop("w"), "level")
@@ -394,7 +493,7 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, seed: int =
     kind = every.select("lang", "words")
     out = kind.limit(0).withColumn("f", F.lit(0).cast("long")) if found is None else every.join(found.filter(F.col("n") >= min_count), "id").select("lang", "words", F.col("n").alias("f"))
     out = staged(out, "phrases")
-    dropped(rows, every)
+    dropped(slices, every)
     return totals, often.select("lang", F.array("word").alias("words"), "f"), out
 
 
