@@ -32,7 +32,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, DEFAULT_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0x23E383
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK, DEFAULT_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB, 0x23E383
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements whose content is elements.
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -168,10 +168,11 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     sizes: list[int] = []
     for i in range(n - 1):
         if kind == XIPH_LACING:
-            size = 0
-            while data[at] == 255:
-                size, at = size + 255, at + 1
-            size, at = size + data[at], at + 1
+            size, more = 0, True
+            while more:
+                if at >= end:
+                    raise ValueError(f"a lacing size runs past the block's end at {at}")
+                size, more, at = size + data[at], data[at] == 255, at + 1
         else:
             value, after, _ = _vint(data, at)
             size = value if i == 0 else sizes[-1] + value - ((1 << 7 * (after - at) - 1) - 1)
@@ -215,20 +216,22 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]]]:
             if part == CLUSTER:
                 time = 0
                 for k, e, f in elements(data, c, d):
-                    duration, inside = None, [(k, e, f)] if k == SIMPLE_BLOCK else []
+                    duration, inside, key = None, [(k, e, f)] if k == SIMPLE_BLOCK else [], False
                     if k == TIMESTAMP:
                         time = _uint(data, e, f)
                     elif k == BLOCK_GROUP:
                         group = list(elements(data, e, f))
                         inside = [g for g in group if g[0] == BLOCK]
                         duration = next((tick * _uint(data, x, y) for g, x, y in group if g == BLOCK_DURATION), None)
+                        # a block of a group depends on no other frame where it refers to none
+                        key = all(g != REFERENCE_BLOCK for g, *_ in group)
                     for block, x, y in inside:
                         track, x, _ = _vint(data, x)
                         offset, flags = struct.unpack_from(">hB", data, x)
                         ranges = _frames(data, x + 3, y, flags >> 1 & 3)
                         step = frame_of.get(track, 0) if duration is None else duration // len(ranges)
                         for i, (s, t) in enumerate(ranges):
-                            found.append(Packet(track, tick * (time + offset) + i * step, s, t, block == SIMPLE_BLOCK and bool(flags & 0x80)))
+                            found.append(Packet(track, tick * (time + offset) + i * step, s, t, bool(flags & 0x80) if block == SIMPLE_BLOCK else key))
             elif part == CUES:
                 for point, e, f in elements(data, c, d):
                     if point == CUE_POINT:

@@ -71,7 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, terms: int
 
 
 def score(docs: DataFrame, chain: Chain, key: str = "doc_id") -> DataFrame:
-    """(key, p_low_quality, p_severe, p_toxic, toxic) of all whole texts."""
+    """(key, a probability ``p_`` for each of ``CATEGORIES``, toxic) of all whole texts."""
     names = [f"p_{c}" for c in CATEGORIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

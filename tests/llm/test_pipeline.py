@@ -63,6 +63,6 @@ def test_run_on_the_smallest_tables(spark):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     spec = importlib.util.find_spec("__spark_entry__")
     assert spec is not None
