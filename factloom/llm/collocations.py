@@ -66,8 +66,8 @@ def _slices(texts: Iterator[bytes], most: int) -> Iterator[bytes]:
         yield b"\n".join(held)
 
 
-def coded(data: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The lowered words of a slice, and their codes from 1 with a 0 wherever a piece ends between two."""
+def coded(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The lowered words of a slice, and their codes from 1 with a 0 wherever a piece ends between two. Frequent words have small codes."""
     raw = np.frombuffer(data, np.uint8)
     kind = _KIND[raw]
     word = np.zeros(len(raw) + 2, bool)
@@ -80,8 +80,22 @@ def coded(data: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
     piece = np.cumsum(kind == END, dtype=np.int32)[np.minimum(begins, max(len(raw) - 1, 0))] if len(begins) else np.zeros(0, np.int32)
     shift = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
     codes = np.zeros(len(begins) + (int(shift[-1]) if len(shift) else 0), np.uint32)
-    codes[np.arange(len(begins)) + shift] = words.indices.to_numpy() + 1
-    return words, codes
+    own = words.indices.to_numpy()
+    order = np.argsort(-np.bincount(own, minlength=len(words.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes[np.arange(len(begins)) + shift] = rank[own] + 1
+    return words.dictionary.take(pa.array(order)), codes
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of integers, all first bytes before all second ones, which compresses better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _values(raw: bytes, kind: np.dtype) -> np.ndarray:
+    """The integers of ``_planes``."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def encode(docs: DataFrame, seed: int, slice_bytes: int = SLICE) -> DataFrame:
@@ -98,9 +112,9 @@ def encode(docs: DataFrame, seed: int, slice_bytes: int = SLICE) -> DataFrame:
                     words, codes = coded(data)
                     if not len(words):
                         continue
-                    each = words.dictionary.to_pylist()
+                    each = words.to_pylist()
                     h = np.fromiter((xxhash.xxh64_intdigest(w, own) for w in each), np.uint64, len(each))
-                    row = [pa.array([x], k) for x, k in ((lang, pa.string()), (len(words), pa.int64()), (h.tobytes(), pa.binary()), (b"\n".join(each), pa.binary()), (codes.tobytes(), pa.binary()))]
+                    row = [pa.array([x], k) for x, k in ((lang, pa.string()), (int(np.count_nonzero(codes)), pa.int64()), (h.tobytes(), pa.binary()), (b"\n".join(each), pa.binary()), (_planes(codes), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(row, ["lang", "n", "hashes", "names", "codes"])
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
@@ -111,9 +125,13 @@ def _hashes(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)
 
 
+def _codes(value: pa.Scalar) -> np.ndarray:
+    return _values(value.as_buffer(), np.dtype("<u4"))
+
+
 def _times(codes: pa.Scalar, words: int) -> np.ndarray:
     """How often each word of a slice occurs."""
-    return np.bincount(np.frombuffer(codes.as_buffer(), np.uint32), minlength=words + 1)[1:]
+    return np.bincount(_codes(codes), minlength=words + 1)[1:]
 
 
 def joined(p: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -242,7 +260,7 @@ def frequent(rows: DataFrame, extract, bits: int, min_count: int) -> DataFrame:
             bucket = (key >> below).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
             low = key & ((np.uint64(1) << below) - np.uint64(1))
-            packed = [zlib.compress(np.diff(low[x:y], prepend=np.uint64(0)).astype(kind).tobytes() + n[x:y].astype("<u4").tobytes(), 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            packed = [zlib.compress(_planes(np.diff(low[x:y], prepend=np.uint64(0)).astype(kind)) + _planes(n[x:y].astype("<u4")), 6) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             columns = [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([y - x for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.int32()), pa.array(packed, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "packed"])
 
@@ -264,8 +282,8 @@ def frequent(rows: DataFrame, extract, bits: int, min_count: int) -> DataFrame:
         for b in batches:
             for bucket, keys, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = zlib.decompress(packed)
-                low = np.cumsum(np.frombuffer(raw, kind, keys), dtype=np.uint64)
-                held.append((low | np.uint64(bucket) << below, np.frombuffer(raw, "<u4", keys, keys * kind.itemsize).astype(np.int64)))
+                low = np.cumsum(_values(raw[: keys * kind.itemsize], kind), dtype=np.uint64)
+                held.append((low | np.uint64(bucket) << below, _values(raw[keys * kind.itemsize :], np.dtype("<u4")).astype(np.int64)))
         if held:
             key, n = _once(*map(np.concatenate, zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(key[n >= min_count].view(np.int64))], ["h"])
@@ -296,7 +314,7 @@ def extensions(slices: DataFrame, length: int, bits: bytes, min_count: int, deal
         table = np.frombuffer(known.value, np.uint8)
         for b in batches:
             for hashes, codes in zip(b.column(0), b.column(1), strict=True):
-                code = np.frombuffer(codes.as_buffer(), np.uint32)
+                code = _codes(codes)
                 h = np.append(np.uint64(0), np.frombuffer(hashes.as_buffer(), np.uint64))[code]
                 inside, part = code > 0, h
                 for j in range(1, length - 1):
@@ -420,7 +438,7 @@ def _counting(trie):
                 h = np.frombuffer(hashes.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(words, h), len(words) - 1)
                 known = np.append(0, np.where(words[place] == h, place + 1, 0))
-                symbol = np.append(known[np.frombuffer(codes.as_buffer(), np.uint32)], 0).astype(np.int32)
+                symbol = np.append(known[_codes(codes)], 0).astype(np.int32)
                 at = np.flatnonzero(symbol)
                 state = symbol[at]
                 live = check[state] == 0

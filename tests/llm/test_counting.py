@@ -240,7 +240,7 @@ def test_slices_lose_no_phrase():
     assert b"".join(co._slices([text], 5)) == text and len(list(co._slices([text], 5))) == 4
     assert list(co._slices([b"no end of a piece"], 3)) == [b"no end of a piece"]
     words, codes = co.coded(b"A b. a  B\tc,,d")
-    assert words.dictionary.to_pylist() == [b"a", b"b", b"c", b"d"] and codes.tolist() == [1, 2, 0, 1, 2, 3, 0, 4]
+    assert words.to_pylist() == [b"a", b"b", b"c", b"d"] and codes.tolist() == [1, 2, 0, 1, 2, 3, 0, 4]
 
 
 def test_double_array_holds_every_row_and_no_other():
