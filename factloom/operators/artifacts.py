@@ -79,16 +79,25 @@ def compute_status(files: DataFrame, artifacts: DataFrame) -> DataFrame:
     return reasons.join(artifacts, "program", "left").select("file", "program", status.alias("status"), "reasons", "instructions")
 
 
+#: Fields of one type name beyond which its size is broadcast.
+MANY_FIELDS = 100_000
+
+
 def estimate_space(fields: DataFrame, sizes: DataFrame, depth: int = 8) -> DataFrame:
     """(container, bytes) of structs, bottom up; null if a field is unknown or the nesting is recursive or deeper than ``depth``.
 
     fields (container, type_name, optional, is_enum_variant, count, max_len): count is an array's length, max_len a
     vector's or string's; sizes (type_name, bytes) are the primitives. A vector adds 4 bytes, an
-    option 1; an enum is its largest variant and 1.
+    option 1; an enum is its largest variant and 1. Type names with more than ``MANY_FIELDS`` fields, of which there are few,
+    are broadcast with their sizes, so no task gets all fields of a common type.
     """
+    common = F.broadcast(fields.groupBy("type_name").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > MANY_FIELDS).select(F.col("type_name").alias("_t")))
+    is_common = F.col("type_name").eqNullSafe(F.col("_t"))
+    rare = fields.join(common, is_common, "left_anti")
+    often = fields.join(common, is_common, "left_semi")
     known = sizes.select("type_name", F.col("bytes").cast("long").alias("bytes"))
     for _ in range(depth):
-        each = fields.join(known, "type_name", "left")
+        each = rare.join(known, "type_name", "left").unionByName(often.join(F.broadcast(known.join(common, is_common, "left_semi")), "type_name", "left"))
         one = F.col("bytes") * F.coalesce("count", F.lit(1)).cast("long")
         one = F.when(F.col("max_len").isNotNull(), 4 + F.col("bytes") * F.col("max_len")).otherwise(one) + F.when(F.col("optional"), 1).otherwise(0)
         total = each.withColumn("_b", one).groupBy("container").agg(
