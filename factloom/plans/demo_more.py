@@ -10,7 +10,7 @@ from factloom.operators import artifacts, constraints, drift, findings, graph, g
 from factloom.plans.demo import _EVENTS_SQL, _INVOCATION_SQL, _by_day, _findings_sql, _t, call_edges, invocations_of, line_findings, lines_of, query
 from factloom.plans.demo_rules import _keys
 from factloom.sources import readers, sinks
-from factloom.sources.staging import new_path
+from factloom.sources.staging import new_path, staged
 from factloom.streaming import keyed, updates
 
 
@@ -611,7 +611,8 @@ def x1_registry(spark, sf_dir):
 
 @query(_findings_sql() + " select file, start_line, code, rule_seq from f where code in ('hex', 'caps') union all select file, start_line, 'all', 7 from f where severity = 'error'")
 def u3_union(spark, sf_dir):
-    rows = line_findings(spark, sf_dir)
+    """Rules that share one scan of the lines, whose findings are written once."""
+    rows = staged(line_findings(spark, sf_dir).filter("code in ('hex', 'caps') or severity = 'error'").select("file", "start_line", "code", "severity"), "scan")
     own = lambda code: rows.filter(F.col("code") == code).select("file", "start_line", "code")
     errors = rows.filter("severity = 'error'").select("file", "start_line", F.lit("all").alias("code"))
     none = rows.limit(0).select("file", "start_line", "code")
