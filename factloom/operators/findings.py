@@ -194,10 +194,29 @@ def packed(line: str, char: str) -> Column:
 
 
 def in_range(points: DataFrame, spans: DataFrame, key: str = "file") -> DataFrame:
-    """Points (key, at) inside half-open spans (key, start, end), as rows of both. They meet on the one tile they share."""
-    s = tiles.tiled(spans.withColumnRenamed(key, "_k"))
-    p = tiles.around(points, F.col("at"), tiles.levels_of(s))
-    return p.join(s, (F.col(key) == F.col("_k")) & tiles.meet()).drop("_k", "_level", "_tile", "_point_level", "_point_tile")
+    """Points (key, at) inside half-open spans (key, start, end), as rows of both.
+
+    A span is the two or three tiles about as wide as itself that it touches. A point that shares one is compared, but where a
+    tile is the edge of very many spans, they and its points meet on the dyadic tiles below it, which need no comparison.
+    """
+    s = tiles.covered(spans.withColumnRenamed(key, "_k"))
+    levels = tiles.levels_of(spans.filter("start < end").select(tiles.level_of(F.col("start"), F.col("end")).alias("_level")))
+    p = tiles.around(points, F.col("at"), levels)
+    edge = (F.col("start") > F.expr("shiftleft(_tile, _level)")) | (F.col("end") < F.expr("shiftleft(_tile + 1, _level)"))
+    cell = ["_k", "_level", "_tile"]
+    crowded = F.broadcast(s.filter(edge).groupBy(*cell).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > tiles.CROWDED).select(*cell))
+    dense = s.filter(edge).join(crowded, cell, "left_semi")
+    s = s.join(crowded.withColumn("_edge", F.lit(True)), cell, "left").filter(F.col("_edge").isNull() | ~edge).drop("_edge")
+    # the side that is many times its file's size must not be broadcast by that size
+    same = (F.col(key) == F.col("_k")) & tiles.meet()
+    found = p.join(s.hint("merge"), same & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    near = p.join(crowded, same, "left_semi")
+    low, high = F.greatest("start", F.expr("shiftleft(_tile, _level)")), F.least("end", F.expr("shiftleft(_tile + 1, _level)"))
+    fine = tiles.tiled(dense.withColumns({"_low": low, "_high": high}).withColumnsRenamed({"_level": "_at_level", "_tile": "_at_tile"}), "_low", "_high").drop("_low", "_high")
+    near = tiles.around(near.withColumnsRenamed({"_point_level": "_near_level", "_point_tile": "_near_tile"}), F.col("at"), list(range(max(levels, default=-1) + 1)))
+    within = same & (F.col("_near_level") == F.col("_at_level")) & (F.col("_near_tile") == F.col("_at_tile"))
+    below = near.join(fine.hint("merge"), within).drop("_at_level", "_at_tile", "_near_level", "_near_tile")
+    return found.unionByName(below).drop("_k", "_level", "_tile", "_point_level", "_point_tile")
 
 
 def touch(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -216,7 +235,7 @@ def filter_by_region(findings: DataFrame, regions: DataFrame, scope: list[str],
     # the shortest span of each tile, then of the tiles around a position
     best = tiles.tiled(regions).groupBy(F.col("file").alias("_f"), "_level", "_tile").agg(F.min(size).alias("_best"))
     places = tiles.around(rows.select("file", "_at").distinct(), F.col("_at"), tiles.levels_of(tiles.tiled(regions)))
-    places = places.join(best, (F.col("file") == F.col("_f")) & tiles.meet())
+    places = places.join(best.hint("merge"), (F.col("file") == F.col("_f")) & tiles.meet())
     shortest = places.groupBy("file", "_at").agg(F.min("_best").alias("_best"))
     named = rows.join(shortest, ["file", "_at"], "left").filter(F.coalesce("_best.region", F.lit("other")).isin(*scope)).select(*findings.columns)
     fill = {"confidence": confidence, "applicability": applicability, "topic": topic}

@@ -30,6 +30,22 @@ def span_tiles(start: Column, end: Column) -> Column:
     return F.when(a < b, F.filter(every, lambda t: t.isNotNull()))
 
 
+#: Spans with their edge in one tile beyond which dyadic tiles take the place of comparisons.
+CROWDED = 10_000
+
+
+def level_of(start: Column, end: Column) -> Column:
+    """The level whose tiles are about as wide as a span."""
+    return F.floor(F.log2((end.cast("long") - start.cast("long")).cast("double"))).cast("int")
+
+
+def covered(spans: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Each span once for each tile of its level that it touches, three at most, in columns _level and _tile."""
+    level, own = level_of(F.col(start), F.col(end)), spans.filter(F.col(start) < F.col(end))
+    own = own.withColumns({"_level": level, "_a": F.col(start).cast("long"), "_b": F.col(end).cast("long") - 1})
+    return own.select("*", F.explode(F.sequence(F.expr("shiftright(_a, _level)"), F.expr("shiftright(_b, _level)"))).alias("_tile")).drop("_a", "_b")
+
+
 def levels_of(tiled: DataFrame) -> list[int]:
     """The levels of a table of tiles; at most 63."""
     return sorted(r["_level"] for r in tiled.select("_level").distinct().collect())

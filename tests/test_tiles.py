@@ -41,3 +41,18 @@ def test_the_shortest_region_decides(spark):
     regions = spark.createDataFrame([("f", at(0), at(20), "all"), ("f", at(2), at(5), "b"), ("f", at(1), at(4), "a"), ("f", at(3), at(3), "none")], "file string, start long, end long, region string")
     run = lambda *scope: sorted((r.file, r.start_line) for r in findings.filter_by_region(data, regions, list(scope), "low", "auto", "t").collect())
     assert run("a") == [("f", 3), ("f", 3)] and run("b") == [] and run("all") == [("f", 9)] and run("other") == [("g", 3)]
+
+
+def test_tiles_that_many_spans_begin_in(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "CROWDED", 20)
+    rng = random.Random(4)
+    spans = [("f", a, a + rng.choice([0, 1, 3, 64, 100, 1000])) for a in [*range(-40, 60), *(rng.randint(-300, 300) for _ in range(200))]] + [(None, 0, 9), ("f", None, 3)]
+    points = [("f", rng.randint(-400, 1200)) for _ in range(150)] + [("g", 3), ("f", None)]
+    got = findings.in_range(spark.createDataFrame(points, "file string, at long"), spark.createDataFrame(spans, "file string, start long, end long"))
+    assert sorted((r.file, r.at, r.start, r.end) for r in got.collect()) == sorted((f, p, a, b) for f, p in points if p is not None for g, a, b in spans if f == g and a is not None and a <= p < b)
+
+
+def test_a_span_of_an_hour_is_three_rows_at_most(spark):
+    hour = spark.range(100).select(F.lit("f").alias("file"), (F.col("id") * 977_777_777).alias("start")).withColumn("end", F.col("start") + 3_600_000_000)
+    plan = findings.in_range(hour.select("file", F.col("start").alias("at")), hour)._jdf.queryExecution().executedPlan().toString()
+    assert tiles.covered(hour).count() <= 300 and "SortMergeJoin [" in plan
