@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import pascal_case, strip_underscores
+from factloom.sources.staging import staged
 
 
 def missing_refs(refs: DataFrame, decls: DataFrame, scope: list[str], name: str = "name", alternatives: DataFrame | None = None) -> DataFrame:
@@ -238,6 +239,8 @@ def closest(missing: DataFrame, candidates: DataFrame, scope: list[str], k: int
     small distance find them by segments; the others meet candidates of near lengths only: those of the same length first,
     whose k-th best distance bounds by how much the lengths of the others may differ.
     """
+    # both are read many times below, often from long plans; their tables also have their true size
+    missing, candidates = staged(missing, "missing"), staged(candidates, "candidates")
     if role is not None:
         wide = missing.join(candidates.select(*scope, kind).distinct(), scope)
         found = _nearest(wide.select(*scope, kind, "name").distinct(), candidates, [*scope, kind], k)
@@ -250,16 +253,16 @@ def closest(missing: DataFrame, candidates: DataFrame, scope: list[str], k: int
 
 def _nearest(asked: DataFrame, candidates: DataFrame, scope: list[str], k: int) -> DataFrame:
     """(scope, name, candidate, distance, rank) of the ``k`` nearest candidates of distinct names."""
-    candidates = candidates.select(*scope, "candidate")
+    asked, candidates = staged(asked, "asked"), staged(candidates.select(*scope, "candidate"), "candidates")
     rank = F.row_number().over(W.partitionBy(*scope, "name").orderBy("distance", "candidate"))
     done = None
     for d in RADII:
         near = within_distance(asked, candidates, scope, d).join(candidates, [*scope, "candidate"])
-        ranked = near.withColumn("rank", rank).filter(F.col("rank") <= k).select(*scope, "name", "candidate", "distance", "rank")
+        ranked = staged(near.withColumn("rank", rank).filter(F.col("rank") <= k).select(*scope, "name", "candidate", "distance", "rank"), "ranked")
         whole = ranked.filter(F.col("rank") == k).select(*scope, "name")
         ranked = ranked.join(whole, [*scope, "name"], "left_semi")
         done = ranked if done is None else done.unionByName(ranked)
-        asked = asked.join(whole, [*scope, "name"], "left_anti")
+        asked = staged(asked.join(whole, [*scope, "name"], "left_anti"), "asked")
     return done.unionByName(_nearest_by_length(asked, candidates, scope, k))
 
 

@@ -36,3 +36,11 @@ def test_one_scope_of_very_many_names(spark):
     assert pairs.filter("distance = 1").count() == 2000
     got = references.closest(names, candidates, ["s"], 1).collect()
     assert len(got) == 2000 and all(r.candidate == r["name"].replace("acount", "account") and r.rank == 1 for r in got)
+
+
+def test_inputs_are_computed_once(spark):
+    candidates = spark.range(50).select(F.lit(1).alias("s"), F.concat(F.lit("account_"), "id").alias("candidate"))
+    names = spark.range(5).select(F.lit(1).alias("s"), F.concat(F.lit("acount_"), "id").alias("name"))
+    out = references.closest(names, candidates, ["s"], 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and out.count() == 10 and {r.distance for r in out.filter("rank = 1").collect()} == {1}
