@@ -41,11 +41,14 @@ class _Debouncer(StatefulProcessor):
         self.pending = handle.getValueState("pending", self.PENDING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = 1 << 62
         for part in rows:
-            values = [(int(r.at), int(r.seq), r.kind, r.payload) for r in part.itertuples()]
+            values = list(zip(part["at"].tolist(), part["seq"].tolist(), part["kind"].tolist(), part["payload"].tolist(), strict=True))
             self.waiting.appendList(values)
-            for at in {v[0] for v in values}:
-                self.handle.registerTimer(at)
+            first = min(first, *(v[0] for v in values)) if values else first
+        # one timer a key and batch: what waits behind it is due with it or gets the next
+        if first < 1 << 62:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -76,6 +79,7 @@ class _Debouncer(StatefulProcessor):
         if due:
             if later:
                 self.waiting.put(later)
+                self.handle.registerTimer(later[0][0])
             else:
                 self.waiting.clear()
         if pending is not None:
@@ -119,14 +123,14 @@ class _Guard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest, until = self.newest.get() if self.newest.exists() else (None, 0)
         before, out = (newest, until), []
-        every = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for r in every.itertuples():
-            version = None if pd.isna(r.version) else int(r.version)
-            if not r.is_result:
+        every = [r for part in rows for r in zip(*(part[c].tolist() for c in ("seq", "version", "is_result", "at")), strict=True)]
+        for seq, number, is_result, at in sorted(every, key=lambda r: r[0]):
+            version = None if pd.isna(number) else int(number)
+            if not is_result:
                 if version is not None:
-                    newest, until = version if newest is None else max(newest, version), max(until, int(r.at) + self.ttl)
+                    newest, until = version if newest is None else max(newest, version), max(until, int(at) + self.ttl)
             elif version is None or newest is None or version >= newest:
-                out.append((key[0], int(r.seq), version))
+                out.append((key[0], int(seq), version))
         if newest is not None and (newest, until) != before:
             self.newest.update((newest, until))
             self.handle.registerTimer(until)

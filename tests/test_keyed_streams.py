@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factloom.streaming import keyed, updates
@@ -84,3 +85,18 @@ def test_suppression_as_a_stream_equals_its_batch(spark, tmp_path):
             shape(rows).write.mode("append").parquet(f"{tmp_path}/{name}")
         got = updates.run_files(updates.suppress_recent(*streams()), f"{tmp_path}/out")
     assert sorted(r.id for r in got.collect() if r.id >= 0) == want and 0 < len(want) < 200
+
+
+def test_a_batch_of_a_key_sets_one_timer():
+    class Kept:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        appendList = lambda self, rows: self.rows.extend(rows)
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    own = keyed._Debouncer(700)
+    own.handle = own.waiting = kept = Kept()
+    parts = [pd.DataFrame([(at, at, "schedule", "x") for at in (9, 5, 7)], columns=["at", "seq", "kind", "payload"]) for _ in range(2)]
+    list(own.handleInputRows(("a",), iter(parts), None))
+    assert kept.timers == [5] and len(kept.rows) == 6
