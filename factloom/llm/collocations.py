@@ -35,6 +35,8 @@ from factloom.llm.common import dropped, released, staged
 SLICE, BITS, HELD, NODES = 1 << 22, 1 << 26, 1 << 21, 1 << 20
 #: Bits of the hash by which words and phrases are counted first, and states whose counts travel as one row.
 SHORT, STATES = 40, 1 << 12
+#: Places of a trie that are searched at a time.
+WINDOW = 1024
 #: Bits of one row of a table of bits.
 ROW_BITS = 1 << 15
 #: Bytes: of words, blanks between words, ends of pieces.
@@ -356,21 +358,39 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(run), rows.schema)
 
 
+def _room(used: np.ndarray, at: int, steps: np.ndarray) -> int:
+    """The first place from ``at`` on, of ``WINDOW`` ones, with free slots so many ``steps`` on, or -1."""
+    tries = at + np.flatnonzero(~used[at : at + WINDOW])
+    # few steps leave fewer places, for which twice as many are looked up
+    i, many = 1, 8
+    while i < len(steps) and len(tries):
+        tries = tries[~used[tries[:, None] + steps[i : i + many]].any(axis=1)]
+        i, many = i + many, 2 * many
+    return int(tries[0]) if len(tries) else -1
+
+
 def double_array(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, check, slots): a trie of rows of symbols from 1 on, 0 after their end; slots are the states of the whole rows.
 
     A state s goes with symbol c to t = base[s] + c if check[t] is s. State 0 is the root; the symbols of its children are their
-    slots. States with many children are placed first, each where all its children's slots are free; single ones fill the gaps.
+    slots. States with many children are placed first, each where all its children's slots are free; single ones fill the gaps. The search
+    goes on where the last state of about as many children found room, so what is full is not searched again for each.
     """
     n, depth = keys.shape
     symbols = int(keys.max(initial=0))
-    size = 2 * (symbols + n + 2) + 1024
+    size = 2 * (symbols + n + 2) + 2 * WINDOW
     base, check, used = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.zeros(size, bool)
     first = np.unique(keys[:, 0])
     used[0] = used[first] = True
     check[first] = 0
     slots = keys[:, 0].astype(np.int64)
-    free = 1
+
+    def reach(end: int) -> None:
+        nonlocal base, check, used
+        while end >= len(used):
+            more = len(used)
+            base, check, used = np.append(base, np.zeros(more, np.int64)), np.append(check, np.full(more, -1, np.int64)), np.append(used, np.zeros(more, bool))
+
     for j in range(1, depth):
         rows = np.flatnonzero(keys[:, j])
         if not len(rows):
@@ -379,26 +399,29 @@ def double_array(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parent, symbol = pairs >> 32, pairs & 0xFFFFFFFF
         begins = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
         counts = np.diff(np.append(begins, len(pairs)))
-        for i in np.argsort(-counts, kind="stable").tolist():
+        several = np.flatnonzero(counts > 1)
+        free, at, like = int(np.argmin(used)), 0, 0
+        for i in several[np.argsort(-counts[several], kind="stable")].tolist():
             a, m = int(begins[i]), int(counts[i])
+            if m.bit_length() != like:
+                at, like = free, m.bit_length()
             own = symbol[a : a + m]
-            while used[free]:
-                free += 1
-            at = free
-            while m > 1:
-                if at + 256 + symbols >= len(used):
-                    more = len(used)
-                    base, check, used = np.append(base, np.zeros(more, np.int64)), np.append(check, np.full(more, -1, np.int64)), np.append(used, np.zeros(more, bool))
-                tries = np.arange(at, at + 256)
-                fits = np.flatnonzero(~used[tries[:, None] + (own - own[0])].any(axis=1))
-                if len(fits):
-                    at += int(fits[0])
+            while True:
+                reach(at + WINDOW + symbols)
+                found = _room(used, at, own - own[0])
+                if found >= 0:
                     break
-                at += 256
-            base[parent[a]] = at - own[0]
-            taken = at + own - own[0]
+                at += WINDOW
+            base[parent[a]] = found - own[0]
+            taken = found + own - own[0]
             used[taken] = True
             check[taken] = parent[a]
+        single = begins[counts == 1]
+        reach(int(np.count_nonzero(used)) + len(single) + symbols)
+        gaps = np.flatnonzero(~used)[: len(single)]
+        base[parent[single]] = gaps - symbol[single]
+        used[gaps] = True
+        check[gaps] = parent[single]
         slots[rows] = (base[parent] + symbol)[back]
     top = int(np.flatnonzero(used)[-1]) + 1
     # beyond the last state there is room for any symbol
